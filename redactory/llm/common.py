@@ -7,8 +7,10 @@ partition. A single longer text is always handled whole.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,7 +76,7 @@ class Words:
 
 def fold_hash(parts: list[np.ndarray]) -> np.ndarray:
     """One hash for a sequence of word hashes, element by element."""
-    h = np.full(len(parts[0]), 0x51ED270B, np.uint64)
+    h = np.full(parts[0].shape, 0x51ED270B, np.uint64)
     for p in parts:
         h = mix(h * np.uint64(0x2545F4914F6CDD1D) + p)
     return h
@@ -94,6 +96,19 @@ def chunks(batches, columns: list[str], text: str = "text", size: int = CHUNK_BY
             yield {c: v[start:] for c, v in values.items()}
 
 
+def per_group(df: DataFrame, by: list[str], fn: Callable, schema: str) -> DataFrame:
+    """fn(key values, iterator of Arrow batches) -> batches, for each group; a group is streamed, not gathered."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(tuple(k.as_py() for k in key), batches)
+
+    return df.groupBy(*by).applyInArrow(run, schema)
+
+
+def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 from redactory.llm.chat import OP7_SQL, op7_chat_format
+from redactory.llm.line_dedup import OP8_SQL, op8_line_dedup
+from redactory.llm.near_dedup import op5_near_dedup
+from redactory.llm.repetition import op6_quality_rules
 from redactory.llm.url_filter import OP3_SQL, op3_url_filter
 
 QUERIES = {
     "op3_url_filter": op3_url_filter,
+    "op5_near_dedup": op5_near_dedup,
+    "op6_quality_rules": op6_quality_rules,
     "op7_chat_format": op7_chat_format,
+    "op8_line_dedup": op8_line_dedup,
 }
 ORACLE_SQL = {
     "op3_url_filter": OP3_SQL,
     "op7_chat_format": OP7_SQL,
+    "op8_line_dedup": OP8_SQL,
 }
