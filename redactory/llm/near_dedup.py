@@ -53,7 +53,7 @@ def super_minhash(owner: np.ndarray, hashes: np.ndarray, n_texts: int, places: i
     flat, perm = out.reshape(-1), None
     rows = np.arange(len(hashes))
     for j in range(places):
-        r = mix(hashes[rows] + np.uint64(2 * j + 1) * np.uint64(0x9E3779B97F4A7C15))
+        r = mix(hashes[rows] + np.uint64((2 * j + 1) * 0x9E3779B97F4A7C15 & 2**64 - 1))
         k = j + (mix(r ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(places - j)).astype(np.int64)
         if j == 0:
             place = k
