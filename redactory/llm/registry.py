@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from redactory.llm.chat import OP7_SQL, op7_chat_format
 from redactory.llm.line_dedup import OP8_SQL, op8_line_dedup
+from redactory.llm.lm_score import op1_lm_score
 from redactory.llm.near_dedup import op5_near_dedup
 from redactory.llm.repetition import op6_quality_rules
+from redactory.llm.substring_dedup import op10_substring_dedup
+from redactory.llm.toxicity import op9_toxicity
 from redactory.llm.url_filter import OP3_SQL, op3_url_filter
 
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op3_url_filter": op3_url_filter,
     "op5_near_dedup": op5_near_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_chat_format": op7_chat_format,
     "op8_line_dedup": op8_line_dedup,
+    "op9_toxicity": op9_toxicity,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE_SQL = {
     "op3_url_filter": OP3_SQL,
