@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from redactory.llm.chat import OP7_SQL, op7_chat_format
+from redactory.llm.decontaminate import op2_decontaminate
 from redactory.llm.line_dedup import OP8_SQL, op8_line_dedup
 from redactory.llm.lm_score import op1_lm_score
 from redactory.llm.near_dedup import op5_near_dedup
+from redactory.llm.packing import op4_packing
 from redactory.llm.repetition import op6_quality_rules
 from redactory.llm.substring_dedup import op10_substring_dedup
 from redactory.llm.toxicity import op9_toxicity
@@ -13,7 +15,9 @@ from redactory.llm.url_filter import OP3_SQL, op3_url_filter
 
 QUERIES = {
     "op1_lm_score": op1_lm_score,
+    "op2_decontaminate": op2_decontaminate,
     "op3_url_filter": op3_url_filter,
+    "op4_packing": op4_packing,
     "op5_near_dedup": op5_near_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_chat_format": op7_chat_format,
