@@ -11,7 +11,8 @@ count of the hashes instead, with the same rows in the end, since exact confirma
 Defined cases: null or empty texts are one empty line; a key that repeats inside one document counts once, and stays
 or goes in all its lines; ties cannot occur, as the document is chosen by id; rows that repeat a doc_id count as one
 document for the choice, and each is rewritten; a null doc_id is no document for the count and its
-lines stay; an empty table gives no rows; other columns pass through.
+lines stay; an empty table gives no rows; other columns pass through, but for
+those named n_lines, n_dropped, _drop or _id.
 """
 
 from __future__ import annotations
@@ -180,6 +181,7 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
 
     A key of ``min_chars`` code points or more in ``min_docs`` documents or more stays in the largest doc_id only.
     """
+    docs = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped", "_drop", "_id")])
     keys = stored(key_table(docs, min_chars))
     n_keys = int(keys.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0))).first()[0]) // 16
     found = stored(suspects(keys, n_keys, limit_bytes).distinct())
