@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from redactory.llm.common import batch_of, chunks, read_table, stored
 
-CAPACITY, GROUPS, SMALL = 2048, 64, 8
+CAPACITY = 2048
+#: A length over capacity / n is large, in so many groups; of these plans the one with the fewest sequences is taken.
+THRESHOLDS = ((2, 64), (3, 64), (4, 32))
 SHARD_ROWS = 20_000
 CACHED_WORDS = 150_000
 _CODERS: dict[str, tuple] = {}
@@ -174,12 +176,16 @@ class Plan:
             count -= taken
 
 
-def make_plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> Plan:
+def make_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    return min((_plan(histogram, capacity, n, groups) for n, groups in THRESHOLDS), key=lambda p: p.n_sequences)
+
+
+def _plan(histogram: dict[int, int], capacity: int, small: int, groups: int) -> Plan:
     plan = Plan(capacity)
     left = dict(histogram)
     if n := left.pop(capacity, 0):
         plan.put(capacity, n, plan.open(n), 1, 0)
-    large = [(x, left[x]) for x in sorted(left, reverse=True) if x > capacity // SMALL]
+    large = [(x, left[x]) for x in sorted(left, reverse=True) if x > capacity // small]
     total = sum(n for _, n in large)
     if total:
         # groups of equal cardinality: runs (length, count) from long to short, cut at multiples of total / groups
