@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from redactory.plans import detection
+from redactory.plans import activity, detection, roster
 from redactory.plans.detection import flagship  # noqa: F401
 
-QUERIES = {**detection.QUERIES}
-SQL = {**detection.SQL}
+QUERIES = {**detection.QUERIES, **roster.QUERIES, **activity.QUERIES}
+SQL = {**detection.SQL, **roster.SQL, **activity.SQL}
