@@ -19,8 +19,6 @@ items are all reported; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +27,7 @@ from pyspark.sql import functions as F
 from redactory.llm.common import Words, batch_of, chunks, fold_hash, mix, read_table
 
 BLOCK_ITEMS = 20_000
-REPETITIONS, SAMPLED = 48, 2
+REPETITIONS, SAMPLED = 24, 2
 #: Edits allowed, as a share of the item's words.
 EDITS = 5  # one in five
 
@@ -42,28 +40,39 @@ def window_sizes(longest: int) -> list[int]:
     return out
 
 
-def cgk_samples(tokens: np.ndarray, starts: np.ndarray, size: int, repetition: int) -> np.ndarray:
-    """A hash of the sampled steps of each window's walk. Steps past the window's end write nothing."""
+def cgk_samples(tokens: np.ndarray, starts: np.ndarray, size: int, repetitions: int) -> np.ndarray:
+    """For each repetition (row) a hash of the sampled steps of each window's walk. Steps past its end write nothing."""
     steps = 2 * size
-    rng = np.random.default_rng([size, repetition])
-    picked = np.zeros(steps, bool)
-    picked[rng.choice(steps, min(SAMPLED, steps), replace=False)] = True
-    last = int(np.flatnonzero(picked)[-1])
-    place, out = np.zeros(len(starts), np.int64), np.full(len(starts), repetition * 1000 + size, np.uint64)
-    for j in range(last + 1):
-        at = starts + place
-        word = np.where((place < size) & (at < len(tokens)), tokens[np.minimum(at, len(tokens) - 1)], np.uint64(0))
-        if picked[j]:
-            out = fold_hash([out, word])
-        place += (mix(word + np.uint64((repetition * 100_003 + j) * 0x9E3779B97F4A7C15 & 2**64 - 1)) >> np.uint64(63)).astype(np.int64)
+    picked = np.zeros((repetitions, steps), bool)
+    for r in range(repetitions):
+        picked[r, np.random.default_rng([size, r]).choice(steps, min(SAMPLED, steps), replace=False)] = True
+    row = np.arange(repetitions, dtype=np.uint64)[:, None]
+    place = np.zeros((repetitions, len(starts)), np.int64)
+    out = np.repeat(mix(row * np.uint64(1000) + np.uint64(size)), len(starts), axis=1)
+    padded = np.concatenate([tokens, np.zeros(size + 1, np.uint64)])
+    for j in range(int(np.flatnonzero(picked.any(axis=0))[-1]) + 1):
+        word = padded[starts + place]
+        word[place >= size] = 0
+        writes = picked[:, j]
+        if writes.any():
+            out[writes] = fold_hash([out[writes], word[writes]])
+        # a random bit for each (repetition, step, word) by multiplication: its top bit
+        key = (row * np.uint64(100_003) + np.uint64(j)) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+        place += (((word ^ (word >> np.uint64(31))) * key) >> np.uint64(63)).astype(np.int64)
+        np.minimum(place, size, out=place)
     return out
 
 
-def best_match(pattern: list[int], text: list[int]) -> tuple[int, int]:
-    """(distance, end) of the substring of text nearest to pattern, the earliest end; bit-parallel over the pattern."""
-    m, masks = len(pattern), defaultdict(int)
+def bit_masks(pattern: list[int]) -> dict[int, int]:
+    masks: dict[int, int] = {}
     for i, w in enumerate(pattern):
-        masks[w] |= 1 << i
+        masks[w] = masks.get(w, 0) | 1 << i
+    return masks
+
+
+def best_match(pattern: list[int], text: list[int], masks: dict[int, int] | None = None) -> tuple[int, int]:
+    """(distance, end) of the substring of text nearest to pattern, the earliest end; bit-parallel over the pattern."""
+    m, masks = len(pattern), masks or bit_masks(pattern)
     full, high = (1 << m) - 1, 1 << (m - 1)
     up, down, score = full, 0, m
     best = (m, 0)
@@ -80,6 +89,17 @@ def best_match(pattern: list[int], text: list[int]) -> tuple[int, int]:
     return best
 
 
+def _in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def _echoes(pairs: np.ndarray) -> np.ndarray:
+    """Which pairs repeat the one before them, as in a run of one word."""
+    return np.concatenate([np.zeros(min(1, len(pairs)), bool), pairs[1:] == pairs[:-1]])
+
+
 class Index:
     """A block of items: their word pairs, their sampled walks, and their words for verification."""
 
@@ -91,24 +111,26 @@ class Index:
                 self.ids.append(i)
                 self.items.append(words.hashes[a:b])
         lengths = np.array([len(x) for x in self.items], np.int64)
+        self.known = [(x.tolist(), set(x.tolist()), bit_masks(x.tolist())) for x in self.items]
         self.single = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.items]))
-        self.pairs = np.unique(np.concatenate([np.zeros(0, np.uint64), *(fold_hash([x[:-1], x[1:]]) for x in self.items)]))
+        pairs = [fold_hash([x[:-1], x[1:]]) for x in self.items]
+        self.pairs = np.unique(np.concatenate([np.zeros(0, np.uint64), *pairs]))
+        echoes = np.array([_echoes(p).sum() for p in pairs], np.int64)
         sizes = np.array(window_sizes(int(lengths.max(initial=1))))
         size_of = sizes[np.searchsorted(sizes, lengths, side="right") - 1]
-        self.classes: list[tuple[int, int, int, list[tuple[np.ndarray, np.ndarray]]]] = []
+        self.classes: list[tuple[int, int, int, tuple[np.ndarray, np.ndarray]]] = []
         flat = np.concatenate([np.zeros(0, np.uint64), *self.items])
         first = np.concatenate([[0], np.cumsum(lengths)])[:-1]
         for size in np.unique(size_of):
             own = np.flatnonzero(size_of == size)
             most = int(lengths[own].max()) // EDITS
-            tables = []
-            for r in range(REPETITIONS):
-                # an item is known by its first and its last window
-                keys = np.concatenate([cgk_samples(flat, s, int(size), r) for s in (first[own], first[own] + lengths[own] - size)])
-                order = np.argsort(keys, kind="stable")
-                shift = np.concatenate([np.zeros(len(own), np.int64), lengths[own] - size])
-                tables.append((keys[order], np.stack([np.concatenate([own, own]), shift], axis=1)[order]))
-            self.classes.append((int(size), most, int(size) - 1 - 2 * most, tables))
+            # an item is known by its first and its last window
+            ends = np.concatenate([first[own], first[own] + lengths[own] - size])
+            value = np.stack([np.concatenate([own, own]), ends - first[np.concatenate([own, own])]], axis=1)
+            keys = cgk_samples(flat, ends, int(size), REPETITIONS).reshape(-1)
+            order = np.argsort(keys, kind="stable")
+            tables = (keys[order], np.tile(value, (REPETITIONS, 1))[order])
+            self.classes.append((int(size), most, int(size) - 1 - 2 * most - int(echoes[own].max()), tables))
 
     def candidates(self, tokens: np.ndarray, bounds: np.ndarray) -> set[tuple[int, int]]:
         """(item, start) pairs in which the item may start near that token."""
@@ -116,49 +138,54 @@ class Index:
         if not len(tokens) or not self.items:
             return found
         owner_end = np.repeat(bounds[1:], np.diff(bounds))
-        in_pairs = np.isin(fold_hash([tokens[:-1], tokens[1:]]), self.pairs)
+        pairs = fold_hash([tokens[:-1], tokens[1:]])
+        in_pairs = _in(pairs, self.pairs) & ~_echoes(pairs)  # a run of one word is no evidence
         in_pairs[bounds[1:-1][(bounds[1:-1] > 0) & (bounds[1:-1] < len(tokens))] - 1] = False  # not across texts
         pair_sum = np.concatenate([[0], np.cumsum(in_pairs)])
-        known = np.isin(tokens, self.single)
         place = np.arange(len(tokens))
         for size, most, needed, tables in self.classes:
             reach = np.minimum(place + size + most, owner_end)
             enough = pair_sum[np.maximum(reach - 1, place)] - pair_sum[place] >= max(needed, 0)
-            starts = np.flatnonzero(enough & (reach - place >= size - most) & (known if needed <= 0 else True))
+            starts = np.flatnonzero(enough & (reach - place >= size - most) & (_in(tokens, self.single) if needed <= 0 else True))
             if not len(starts):
                 continue
-            for r, (keys, values) in enumerate(tables):
-                h = cgk_samples(tokens, starts, size, r)
-                low, high = np.searchsorted(keys, h), np.searchsorted(keys, h, side="right")
-                hit = np.flatnonzero(high > low)
-                for s, a, b in zip(starts[hit].tolist(), low[hit].tolist(), high[hit].tolist()):
-                    found.update((int(i), s - int(shift)) for i, shift in values[a:b])
+            keys, values = tables
+            h = cgk_samples(tokens, starts, size, REPETITIONS)
+            low, high = np.searchsorted(keys, h), np.searchsorted(keys, h, side="right")
+            row, at = np.nonzero(high > low)
+            n = (high - low)[row, at]
+            pick = np.repeat(low[row, at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            near = np.stack([values[pick, 0], np.repeat(starts[at], n) - values[pick, 1]], axis=1)
+            found.update(map(tuple, np.unique(near, axis=0).tolist()))
         return found
 
     def matches(self, tokens: np.ndarray, bounds: np.ndarray):
         """(text, item id, start, words, distance) of the best match of each item in each text."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        seen: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+        words, done = tokens.tolist(), (-1, 0)
         for item, start in sorted(self.candidates(tokens, bounds)):
-            text = int(np.searchsorted(bounds, max(start, 0), side="right")) - 1
-            if start < 0:
-                text = 0
-            pattern = self.items[item]
-            k = len(pattern) // EDITS
-            a, b = max(start - 2 * k, int(bounds[text])), min(start + len(pattern) + 2 * k, int(bounds[text + 1]))
-            window = tokens[a:b]
-            key = (item, window.tobytes())
-            if key not in seen:
-                seen[key] = (k + 1, 0, 0)
-                if np.isin(pattern, window).sum() >= len(pattern) - k:
-                    p, w = pattern.tolist(), window.tolist()
-                    distance, end = best_match(p, w)
-                    if distance <= k:
-                        _, length = best_match(p[::-1], w[:end][::-1])
-                        seen[key] = (distance, end - length, length)
-            distance, offset, length = seen[key]
-            if distance <= k:
-                mark = (distance, a + offset - int(bounds[text]), length)
+            if (item, start) <= done:
+                continue  # inside a match that was found
+            pattern, distinct, masks = self.known[item]
+            text = max(int(np.searchsorted(bounds, start, side="right")) - 1, 0)
+            k, first, last = len(pattern) // EDITS, int(bounds[text]), int(bounds[text + 1])
+            mark = None
+            for _ in range(3):  # again around where the match is, as the start was a guess
+                a = max(start - 2 * k, first)
+                window = words[a : min(start + len(pattern) + 2 * k, last)]
+                if len(distinct.difference(window)) > k:
+                    break  # that many words cannot have been edited
+                distance, end = best_match(pattern, window, masks)
+                if distance > k:
+                    break
+                _, length = best_match(pattern[::-1], window[:end][::-1])
+                found = (distance, a + end - length, length)
+                if mark and found >= mark:
+                    break
+                mark, start = found, found[1]
+            if mark:
+                done = (item, min(mark[1] + k, last - 1))
+                mark = (mark[0], mark[1] - first, mark[2])
                 best[text, item] = min(best.get((text, item), mark), mark)
         return [(t, self.ids[i], s, n, d, len(self.items[i])) for (t, i), (d, s, n) in sorted(best.items())]
 
