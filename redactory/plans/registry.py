@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from redactory.plans import activity, detection, masking, roster, streams
+from redactory.plans import activity, detection, forms, masking, roster, streams
 from redactory.plans.detection import flagship  # noqa: F401
 
-QUERIES = {**detection.QUERIES, **roster.QUERIES, **activity.QUERIES, **masking.QUERIES, **streams.QUERIES}
-SQL = {**detection.SQL, **roster.SQL, **activity.SQL, **masking.SQL, **streams.SQL}
+QUERIES = {**detection.QUERIES, **roster.QUERIES, **activity.QUERIES, **masking.QUERIES, **streams.QUERIES, **forms.QUERIES}
+SQL = {**detection.SQL, **roster.SQL, **activity.SQL, **masking.SQL, **streams.SQL, **forms.SQL}
