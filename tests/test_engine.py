@@ -137,3 +137,13 @@ def test_queries_agree_with_sql(spark, name):
     columns = sorted(got.columns)
     names = [c[0] for c in sql.description]
     assert sorted(tuple(str(r[c]) for c in columns) for r in got.collect()) == sorted(tuple(str(r[names.index(c)]) for c in columns) for r in sql.fetchall())
+
+
+def test_registered_functions(spark):
+    from redactory.functions.register import register
+
+    assert "privacy_score" in register(spark)
+    row = spark.sql("SELECT luhn_valid('378282246310005'), tfn_valid('12345679'), tfn_valid('12345677'), abn_valid('51824753556'), medicare_valid('2123456711')").first()
+    assert list(row) == [True, True, False, True, False]
+    cases = [(0, 0, 0, 100), (10, 10, 0, 100), (10, 4, 1, 82), (10, 0, 5, 30), (4, 0, 9, 0)]
+    assert [spark.sql(f"SELECT privacy_score({d}, {m}, {s})").first()[0] for d, m, s, _ in cases] == [x for *_, x in cases]
