@@ -5,10 +5,11 @@ the step, so that the places' ranks are correlated and the variance is lower tha
 elements of a document at once and stop as soon as no place can improve.
 
 Documents with equal shingle sets are one class, found by a digest, and only the least id of a class goes on. Classes
-that share a band bucket are compared, first with three hubs of the bucket (so a bucket of n costs 3n comparisons,
-not n * n); then, in buckets whose members are still in several components, the remaining pairs across components, if
-their signatures agree in part. Every link is confirmed on the full sets. The bands find a pair at similarity 0.8
-with probability 1 - (1 - 0.8**ROWS)**BANDS, above 0.999998.
+that share a band bucket are compared by signature, inside tasks, and each task gives back a forest of those that
+agree in most places, never pairs. The forests' components are clusters. Inside a cluster all pairs are confirmed on
+full sets, again inside tasks that give back a forest of the confirmed links; the components of these are the result.
+A bucket or cluster too large for a task is cut into blocks, and each pair of blocks meets in a task of its own, so
+no link is lost. The bands find a pair at similarity 0.8 with probability 1 - (1 - 0.8**ROWS)**BANDS, above 0.999998.
 
 Defined cases: null and empty texts have no shingles and link with nothing; very long texts are handled whole; ties
 go to the smallest doc_id; rows that repeat a doc_id are one document and each gets a row; a null doc_id keeps its row
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactory.llm.common import Words, batch_of, chunks, connected_components, fold_hash, mix, read_table, stored
+from redactory.llm.common import Words, batch_of, chunks, connected_components, fold_hash, mix, per_group, read_table, stored
 
 BANDS, ROWS = 24, 4
 PLACES = BANDS * ROWS
@@ -78,6 +79,12 @@ def super_minhash(owner: np.ndarray, hashes: np.ndarray, n_texts: int, places: i
     return out
 
 
+def _digest(hashes: np.ndarray, bounds: np.ndarray, which: int) -> np.ndarray:
+    """64 bits of each set, whatever its order."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ np.uint64((0x1234567, 0x89ABCDE)[which])))])
+    return (sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64)
+
+
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sig", pa.binary()), ("buckets", pa.list_(pa.int64()))])
 
 
@@ -92,52 +99,123 @@ def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS
             owner, h = shingle_sets(c["text"], width)
             n = np.bincount(owner, minlength=k)
             bounds = np.concatenate([[0], np.cumsum(n)])
-            digests = []
-            for seed in (0x1234567, 0x89ABCDE):
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(seed)))])
-                digests.append((sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64))
             sig = super_minhash(owner, h, k, places)
             keys = fold_hash([*(sig.reshape(k, bands, rows)[:, :, i] for i in range(rows)), np.broadcast_to(salt, (k, bands))]).view(np.int64)
             low = (mix(sig) & np.uint64(255)).astype(np.uint8)
-            yield batch_of(_SIGNED, doc_id=c["doc_id"], n=n, d1=digests[0], d2=digests[1], sig=[x.tobytes() for x in low], buckets=list(keys))
+            yield batch_of(_SIGNED, doc_id=c["doc_id"], n=n, d1=_digest(h, bounds, 0), d2=_digest(h, bounds, 1), sig=[x.tobytes() for x in low], buckets=list(keys))
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sig binary, buckets array<long>")
 
 
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles) of whole texts."""
-    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    """(doc_id, n, d1, d2, shingles) of whole texts."""
 
     def run(batches):
         for c in chunks(batches, ["doc_id", "text"]):
             owner, h = shingle_sets(c["text"], width)
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(c["doc_id"])))])
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(c["doc_id"], pa.int64()), lists], schema=schema)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) with similarity of percent / 100 or more on full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(full_sets(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width))
-    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-    shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("s"))
-    return shared.where(F.lit(100) * F.col("i") >= F.lit(percent) * (F.col("s") - F.col("i"))).select("a", "b")
-
-
-def _agreeing(pairs: DataFrame, least: int) -> DataFrame:
-    """Those of pairs (a, b, sa, sb) whose signatures agree in ``least`` places or more."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+            n = np.bincount(owner, minlength=len(c["doc_id"]))
+            bounds = np.concatenate([[0], np.cumsum(n)])
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.view(np.int64)))
+            yield batch_of(_SETS, doc_id=c["doc_id"], n=n, d1=_digest(h, bounds, 0), d2=_digest(h, bounds, 1), shingles=lists)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, shingles array<long>")
+
+
+def spanning_forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what a symmetric matrix connects, one less than the members of each part."""
+    n = len(near)
+    seen, parents, children = np.zeros(n, bool), [], []
+    for root in range(n):
+        if seen[root]:
+            continue
+        seen[root] = True
+        front = np.array([root])
+        while len(front):
+            reach = near[front]
+            new = np.flatnonzero(reach.any(axis=0) & ~seen)
+            if len(new):
+                parents.append(front[np.argmax(reach[:, new], axis=0)])
+                children.append(new)
+                seen[new] = True
+            front = new
+    empty = np.zeros(0, np.int64)
+    return np.concatenate([empty, *parents]), np.concatenate([empty, *children])
+
+
+def agreement(sigs: np.ndarray, least: int) -> np.ndarray:
+    """Which pairs of signatures agree in ``least`` places or more."""
+    out = np.zeros((len(sigs), len(sigs)), bool)
+    step = max(1, (1 << 23) // max(1, sigs.size))
+    for i in range(0, len(sigs), step):
+        out[i : i + step] = (sigs[i : i + step, None, :] == sigs[None, :, :]).sum(axis=2) >= least
+    return out
 
-    def run(batches):
-        for x in batches:
-            if x.num_rows:
-                sa, sb = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint8).reshape(x.num_rows, -1) for c in ("sa", "sb"))
-                yield x.select(["a", "b"]).filter(pa.array((sa == sb).sum(axis=1) >= least)).cast(schema)
 
-    return pairs.mapInArrow(run, "a long, b long")
+def similar(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of sets have 100 * intersection >= percent * union; sizes of intersections by products of 0/1 columns."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    elements, column = np.unique(np.concatenate(sets), return_inverse=True)
+    shared = np.bincount(column, minlength=len(elements)) > 1
+    row = np.repeat(np.arange(n), sizes)[shared[column]]
+    column = (np.cumsum(shared) - 1)[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((n, n), np.float64)
+    width = int(min(4096, max(1, shared.sum())))
+    for first in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(column, [first, first + width])
+        part = np.zeros((n, width), np.float32)
+        part[row[a:b], column[a:b] - first] = 1
+        both += part @ part.T
+    both = both.astype(np.int64)
+    return 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+
+
+def in_blocks(rows: DataFrame, group: str, item: str, weight: str, block_weight: int, task_weight: int) -> DataFrame:
+    """rows with (part, block): all rows of a group that must meet, met in tasks of bounded size.
+
+    A group of more than ``block_weight`` is cut into blocks by hash, and each pair of its blocks is a part; small
+    groups are put together until they make about ``task_weight``.
+    """
+    sizes = rows.groupBy(group).agg(F.sum(weight).alias("_weight"), F.count("*").alias("_n")).where("_n > 1")
+    sizes = stored(sizes.select(group, F.ceil(F.col("_weight") / block_weight).cast("int").alias("_blocks"), "_weight"))
+    small = sizes.where("_blocks = 1").agg(F.coalesce(F.sum("_weight"), F.lit(0))).first()[0]
+    tasks = max(1, int(small) // task_weight)
+    out = rows.join(sizes, group).withColumn("_own", F.pmod(F.xxhash64(item), F.col("_blocks")).cast("int"))
+    out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    pair = F.concat_ws("-", group, F.least("_own", "_other"), F.greatest("_own", "_other"))
+    part = F.when(F.col("_blocks") == 1, F.concat(F.lit("s"), F.pmod(F.xxhash64(group), F.lit(tasks)))).otherwise(pair)
+    # a block meets itself in one part, not in two
+    return out.withColumn("part", part).drop("_blocks", "_weight", "_own", "_other")
+
+
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _forests(rows: DataFrame, group: str, value: str, connect) -> DataFrame:
+    """Edges (a, b) of a forest for each group within each part; connect(values) -> which pairs are connected."""
+
+    def run(key, batches):
+        table = pa.Table.from_batches(list(batches))
+        groups, items = (table.column(c).to_numpy() for c in (group, "rep"))
+        values = table.column(value).to_pylist() if value == "sig" else table.column(value).combine_chunks()
+        order = np.lexsort((items, groups))
+        edges = np.flatnonzero(np.concatenate([[True], groups[order][1:] != groups[order][:-1], [True]]))
+        a, b = [], []
+        for x, z in zip(edges[:-1], edges[1:]):
+            own = order[x:z]
+            if len(own) > 1:
+                p, c = spanning_forest(connect([values[int(i)] for i in own]))
+                a.append(items[own[p]])
+                b.append(items[own[c]])
+        empty = np.zeros(0, np.int64)
+        yield batch_of(_EDGES, a=np.concatenate([empty, *a]), b=np.concatenate([empty, *b]))
+
+    return per_group(rows, ["part"], run, "a long, b long").where("a <> b")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -145,33 +223,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     signed = stored(signatures(docs, width))
     classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("buckets").alias("buckets"))
     classes = stored(classes)
-    members = classes.select("rep", "n", F.explode("buckets").alias("bucket"))
-    hubs = members.groupBy("bucket").agg(
-        F.count("*").alias("size"), F.min("rep").alias("h1"), F.max("rep").alias("h2"), F.min_by("rep", F.xxhash64("rep")).alias("h3"),
-        F.min("n").alias("least"),
-    ).where("size > 1")
-    crowded = stored(members.join(hubs, "bucket").select("bucket", "rep", "n", "size", "h1", "h2", "h3"))
-    sizes = classes.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n"))
-    alike = F.lit(100) * F.least("n", "hub_n") >= F.lit(percent) * F.greatest("n", "hub_n")
-    spokes = crowded.select("rep", "n", F.explode(F.array("h1", "h2", "h3")).alias("hub")).where("rep <> hub").distinct().join(sizes, "hub").where(alike)
-    pairs = stored(spokes.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct())
-    links = stored(_confirmed(pairs, docs, width, percent))
-    # reps that carry one doc_id (repeated rows with different texts) are one document
-    found = connected_components(links)
-
-    placed = crowded.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    rest = stored(placed.join(mixed, "bucket"))
-    if not rest.isEmpty():
-        left, right = (rest.select("bucket", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
-        near = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
-        cross = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        sigs = classes.select("rep", "sig")
-        cross = cross.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b")
-        more = stored(_agreeing(cross.select("a", "b", "sa", "sb"), int(LEAST_AGREEMENT * PLACES)))
-        if not more.isEmpty():
-            found = connected_components(links.unionByName(_confirmed(more, docs, width, percent)))
-    class_of = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
+    least = int(LEAST_AGREEMENT * PLACES)
+    members = classes.select("rep", F.explode(F.array_distinct("buckets")).alias("bucket"), F.lit(1).alias("w"), "sig")
+    alike = _forests(in_blocks(members, "bucket", "rep", "w", 1000, 20_000), "bucket", "sig", lambda x: agreement(np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1), least))
+    clusters = stored(connected_components(alike).toDF("rep", "cluster"))
+    crowd = classes.select("rep", "n", "d1", "d2").join(clusters, "rep")
+    sets = full_sets(docs.join(clusters.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), width)
+    sets = stored(crowd.join(sets.withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "n", "d1", "d2"]), ["rep", "n", "d1", "d2"]).select("cluster", "rep", "n", "shingles"))
+    links = _forests(in_blocks(sets, "cluster", "rep", "n", 400_000, 800_000), "cluster", "shingles", lambda x: similar([np.asarray(v.values) for v in x], percent))
+    found = connected_components(links).toDF("rep", "component")
+    class_of = classes.join(found, "rep", "left").select("n", "d1", "d2", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n", "d1", "d2").join(class_of, ["n", "d1", "d2"], "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
