@@ -29,6 +29,8 @@ BANDS, ROWS = 24, 4
 PLACES = BANDS * ROWS
 #: Pairs whose signatures agree in less than this are not compared in full; at similarity 0.8 that is 5 deviations off.
 LEAST_AGREEMENT = 0.6
+#: Ids of clustered documents go to the workers up to this many (16 MB); beyond it, texts are joined by shuffle.
+IDS_SENT = 2_000_000
 
 
 def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +230,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     alike = _forests(in_blocks(members, "bucket", "rep", "w", 1000, 20_000), "bucket", "sig", lambda x: agreement(np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1), least))
     clusters = stored(connected_components(alike).toDF("rep", "cluster"))
     crowd = classes.select("rep", "n", "d1", "d2").join(clusters, "rep")
-    sets = full_sets(docs.join(clusters.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), width)
+    ids = clusters.select(F.col("rep").alias("doc_id"))
+    sets = full_sets(docs.join(F.broadcast(ids) if ids.count() <= IDS_SENT else ids, "doc_id", "left_semi"), width)
     sets = stored(crowd.join(sets.withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "n", "d1", "d2"]), ["rep", "n", "d1", "d2"]).select("cluster", "rep", "n", "shingles"))
     links = _forests(in_blocks(sets, "cluster", "rep", "n", 400_000, 800_000), "cluster", "shingles", lambda x: similar([np.asarray(v.values) for v in x], percent))
     found = connected_components(links).toDF("rep", "component")
