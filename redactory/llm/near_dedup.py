@@ -226,8 +226,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("buckets").alias("buckets"))
     classes = stored(classes)
     least = int(LEAST_AGREEMENT * PLACES)
-    members = classes.select("rep", F.explode(F.array_distinct("buckets")).alias("bucket"), F.lit(1).alias("w"), "sig")
-    alike = _forests(in_blocks(members, "bucket", "rep", "w", 1000, 20_000), "bucket", "sig", lambda x: agreement(np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1), least))
+    members = classes.select("rep", F.explode(F.array_distinct("buckets")).alias("bucket"), F.lit(1).alias("w"))
+    # signatures join those that share a bucket only after the others are gone
+    crowded = in_blocks(members, "bucket", "rep", "w", 1000, 20_000).join(classes.select("rep", "sig"), "rep")
+    alike = _forests(crowded, "bucket", "sig", lambda x: agreement(np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1), least))
     clusters = stored(connected_components(alike).toDF("rep", "cluster"))
     crowd = classes.select("rep", "n", "d1", "d2").join(clusters, "rep")
     ids = clusters.select(F.col("rep").alias("doc_id"))

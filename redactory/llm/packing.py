@@ -32,7 +32,9 @@ CAPACITY = 2048
 #: A length over capacity / n is large, in so many groups; of these plans the one with the fewest sequences is taken.
 THRESHOLDS = ((2, 64), (3, 64), (4, 32))
 SHARD_ROWS = 20_000
-CACHED_WORDS = 150_000
+CACHED_WORDS = 600_000
+_PLAIN = {**{c: c + 32 for c in range(65, 91)}, **{c: 32 for c in range(0x09, 0x0E)}}
+_ENDS = ".,;:!?"
 _CODERS: dict[str, tuple] = {}
 
 
@@ -46,16 +48,30 @@ def _coder(path: str):
 
 
 def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
-    """Token ids as little-endian uint32, without the end token. Words are coded once and kept: spaces divide tokens."""
+    """Token ids as little-endian uint32, without the end token.
+
+    White space divides tokens, a letter or digit and the punctuation after it are divided too, and case is dropped, so
+    words are coded once, in lower case and without the punctuation at their ends, and kept.
+    """
     coder, known = _coder(path)
-    split = [(t or "").replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") for t in texts]
-    new = list({w for ws in split for w in ws if w not in known})
-    if len(known) + len(new) > CACHED_WORDS:
+    marked = {i: t for i, t in enumerate(texts) if t and "<|" in t}  # may hold special tokens, which keep their case
+    whole = {i: np.array(e.ids, "<u4").tobytes() for i, e in zip(marked, coder.encode_batch_fast(list(marked.values()), add_special_tokens=False))}
+    split = [("" if i in whole else t or "").translate(_PLAIN).split(" ") for i, t in enumerate(texts)]
+    new = {w for ws in split for w in ws if w not in known}
+    if len(known) + 2 * len(new) > CACHED_WORDS:
         known.clear()
-        new = list({w for ws in split for w in ws})
-    for w, e in zip(new, coder.encode_batch(new, add_special_tokens=False)):
-        known[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join([known[w] for w in ws]) for ws in split]
+        new = {w for ws in split for w in ws}
+    cores = {}
+    for w in new:
+        core = w.rstrip(_ENDS)
+        cores[w] = (core, w[len(core) :]) if core != w and core and core[-1].isalnum() else (w, "")
+    code = list({x for pair in cores.values() for x in pair if x not in known})
+    for x, e in zip(code, coder.encode_batch_fast(code, add_special_tokens=False)):
+        known[x] = np.array(e.ids, "<u4").tobytes()
+    for w, (core, end) in cores.items():
+        if end:
+            known[w] = known[core] + known[end]
+    return [whole[i] if i in whole else b"".join([known[w] for w in ws]) for i, ws in enumerate(split)]
 
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
