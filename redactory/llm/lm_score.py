@@ -149,11 +149,11 @@ class Filter:
         self._bits.append(np.frombuffer(bits, np.uint8))
         self._size += len(bits)
         self._keys.append(np.frombuffer(keys, np.uint64))
-        self._counts.append(np.frombuffer(counts, "<i8").astype(np.uint32 if len(counts) else np.uint32))
+        self._counts.append(np.frombuffer(counts, "<i8"))
 
     def close(self) -> Filter:
         self.bits = np.concatenate([np.zeros(1, np.uint8), *self._bits])
-        keys, counts = np.concatenate([np.zeros(0, np.uint64), *self._keys]), np.concatenate([np.zeros(0, np.uint32), *self._counts])
+        keys, counts = np.concatenate([np.zeros(0, np.uint64), *self._keys]), np.concatenate([np.zeros(0, np.int64), *self._counts])
         order = np.argsort(keys)
         self.keys, self.counts = keys[order], counts[order]
         self._bits = self._keys = self._counts = None

@@ -31,6 +31,8 @@ PLACES = BANDS * ROWS
 LEAST_AGREEMENT = 0.6
 #: Ids of clustered documents go to the workers up to this many (16 MB); beyond it, texts are joined by shuffle.
 IDS_SENT = 2_000_000
+#: A set weighs this much at least, so that a part of a cluster holds at most some 2,000 sets, however short the texts.
+LEAST_WEIGHT = 400
 
 
 def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -235,7 +237,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     ids = clusters.select(F.col("rep").alias("doc_id"))
     sets = full_sets(docs.join(F.broadcast(ids) if ids.count() <= IDS_SENT else ids, "doc_id", "left_semi"), width)
     sets = stored(crowd.join(sets.withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "n", "d1", "d2"]), ["rep", "n", "d1", "d2"]).select("cluster", "rep", "n", "shingles"))
-    links = _forests(in_blocks(sets, "cluster", "rep", "n", 400_000, 800_000), "cluster", "shingles", lambda x: similar([np.asarray(v.values) for v in x], percent))
+    sets = sets.withColumn("w", F.greatest("n", F.lit(LEAST_WEIGHT)))
+    links = _forests(in_blocks(sets, "cluster", "rep", "w", 400_000, 800_000), "cluster", "shingles", lambda x: similar([np.asarray(v.values) for v in x], percent))
     found = connected_components(links).toDF("rep", "component")
     class_of = classes.join(found, "rep", "left").select("n", "d1", "d2", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n", "d1", "d2").join(class_of, ["n", "d1", "d2"], "left")
