@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import unicodedata
 import zlib
 
 import numpy as np
@@ -47,6 +48,11 @@ def _coder(path: str):
     return _CODERS[path]
 
 
+def _ends_whole(core: str) -> bool:
+    """Whether the last character is still a letter or digit when composed and lowered, as most but not all are."""
+    return core[-1].isalnum() and (core[-1].isascii() or unicodedata.normalize("NFC", core[-1]).lower().isalnum())
+
+
 def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
     """Token ids as little-endian uint32, without the end token.
 
@@ -64,7 +70,7 @@ def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
     cores = {}
     for w in new:
         core = w.rstrip(_ENDS)
-        cores[w] = (core, w[len(core) :]) if core != w and core and core[-1].isalnum() else (w, "")
+        cores[w] = (core, w[len(core) :]) if core != w and core and _ends_whole(core) else (w, "")
     code = list({x for pair in cores.values() for x in pair if x not in known})
     for x, e in zip(code, coder.encode_batch_fast(code, add_special_tokens=False)):
         known[x] = np.array(e.ids, "<u4").tobytes()
