@@ -21,6 +21,7 @@ import bisect
 import os
 import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,8 @@ CAPACITY = 2048
 THRESHOLDS = ((2, 64), (3, 64), (4, 32))
 SHARD_ROWS = 20_000
 CACHED_WORDS = 600_000
-_PLAIN = {**{c: c + 32 for c in range(65, 91)}, **{c: 32 for c in range(0x09, 0x0E)}}
-_ENDS = ".,;:!?"
+_PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if 0x09 <= c <= 0x0D else c for c in range(256))
+_ENDS = b".,;:!?"
 _CODERS: dict[str, tuple] = {}
 
 
@@ -44,7 +45,11 @@ def _coder(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _CODERS[path] = (Tokenizer.from_file(path), {})
+        coder = Tokenizer.from_file(path)
+        vocabulary = coder.get_vocab()
+        last = np.zeros(max(vocabulary.values()) + 1, bool)
+        last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        _CODERS[path] = (coder, last, {})
     return _CODERS[path]
 
 
@@ -53,31 +58,48 @@ def _ends_whole(core: str) -> bool:
     return core[-1].isalnum() and (core[-1].isascii() or unicodedata.normalize("NFC", core[-1]).lower().isalnum())
 
 
+def _code_words(words: list[bytes], coder, last: np.ndarray, known: dict[bytes, bytes]) -> None:
+    """Adds the words' ids to known. Words of letters alone are coded many at once and told apart by ids that end a word."""
+    texts = [w.decode("utf-8") for w in words]
+    plain = [i for i, t in enumerate(texts) if t.isalpha()]
+    single = [i for i, t in enumerate(texts) if not t.isalpha()]
+    for k in range(0, len(plain), 1000):
+        own = plain[k : k + 1000]
+        ids = np.array(coder.encode(" ".join([texts[i] for i in own]), add_special_tokens=False).ids, "<u4")
+        ends = ((np.flatnonzero(last[ids]) + 1) * 4).tolist()
+        if len(ends) != len(own):  # a letter that is no letter any more when lowered
+            single += own
+            continue
+        raw = ids.tobytes()
+        for i, a, z in zip(own, [0, *ends], ends):
+            known[words[i]] = raw[a:z]
+    for i, e in zip(single, coder.encode_batch_fast([texts[i] for i in single], add_special_tokens=False)):
+        known[words[i]] = array("I", e.ids).tobytes()
+
+
 def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
     """Token ids as little-endian uint32, without the end token.
 
     White space divides tokens, a letter or digit and the punctuation after it are divided too, and case is dropped, so
     words are coded once, in lower case and without the punctuation at their ends, and kept.
     """
-    coder, known = _coder(path)
+    coder, last, known = _coder(path)
     marked = {i: t for i, t in enumerate(texts) if t and "<|" in t}  # may hold special tokens, which keep their case
     whole = {i: np.array(e.ids, "<u4").tobytes() for i, e in zip(marked, coder.encode_batch_fast(list(marked.values()), add_special_tokens=False))}
-    split = [("" if i in whole else t or "").translate(_PLAIN).split(" ") for i, t in enumerate(texts)]
-    new = {w for ws in split for w in ws if w not in known}
+    split = [(b"" if i in whole else (t or "").encode("utf-8")).translate(_PLAIN).split() for i, t in enumerate(texts)]
+    used = set().union(*split)
+    new = used - known.keys()
     if len(known) + 2 * len(new) > CACHED_WORDS:
         known.clear()
-        new = {w for ws in split for w in ws}
-    cores = {}
-    for w in new:
-        core = w.rstrip(_ENDS)
-        cores[w] = (core, w[len(core) :]) if core != w and core and _ends_whole(core) else (w, "")
-    code = list({x for pair in cores.values() for x in pair if x not in known})
-    for x, e in zip(code, coder.encode_batch_fast(code, add_special_tokens=False)):
-        known[x] = np.array(e.ids, "<u4").tobytes()
-    for w, (core, end) in cores.items():
-        if end:
-            known[w] = known[core] + known[end]
-    return [whole[i] if i in whole else b"".join([known[w] for w in ws]) for i, ws in enumerate(split)]
+        new = used
+    ended = [(w, w.rstrip(_ENDS)) for w in new if w[-1] in _ENDS]
+    ended = [(w, core, w[len(core) :]) for w, core in ended if core and _ends_whole(core.decode("utf-8"))]
+    code = new.difference(w for w, _, _ in ended).union(x for _, *pair in ended for x in pair)
+    _code_words([x for x in code if x not in known], coder, last, known)
+    for w, core, end in ended:
+        known[w] = known[core] + known[end]
+    here = {w: known[w] for w in used}  # small, so that looking up each word of the texts stays quick
+    return [whole[i] if i in whole else b"".join(map(here.__getitem__, ws)) for i, ws in enumerate(split)]
 
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
