@@ -34,7 +34,7 @@ CAPACITY = 2048
 #: A length over capacity / n is large, in so many groups; of these plans the one with the fewest sequences is taken.
 THRESHOLDS = ((2, 64), (3, 64), (4, 32))
 SHARD_ROWS = 20_000
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if 0x09 <= c <= 0x0D else c for c in range(256))
 _ENDS = b".,;:!?"
 _CODERS: dict[str, tuple] = {}
@@ -63,14 +63,13 @@ def _code_words(words: list[bytes], coder, last: np.ndarray, known: dict[bytes,
     texts = [w.decode("utf-8") for w in words]
     plain = [i for i, t in enumerate(texts) if t.isalpha()]
     single = [i for i, t in enumerate(texts) if not t.isalpha()]
-    for k in range(0, len(plain), 1000):
-        own = plain[k : k + 1000]
-        ids = np.array(coder.encode(" ".join([texts[i] for i in own]), add_special_tokens=False).ids, "<u4")
-        ends = ((np.flatnonzero(last[ids]) + 1) * 4).tolist()
+    groups = [plain[k : k + 1000] for k in range(0, len(plain), 1000)]
+    for own, e in zip(groups, coder.encode_batch_fast([" ".join([texts[i] for i in own]) for own in groups], add_special_tokens=False)):
+        raw = array("I", e.ids).tobytes()
+        ends = ((np.flatnonzero(last[np.frombuffer(raw, "<u4")]) + 1) * 4).tolist()
         if len(ends) != len(own):  # a letter that is no letter any more when lowered
             single += own
             continue
-        raw = ids.tobytes()
         for i, a, z in zip(own, [0, *ends], ends):
             known[words[i]] = raw[a:z]
     for i, e in zip(single, coder.encode_batch_fast([texts[i] for i in single], add_special_tokens=False)):
@@ -88,7 +87,7 @@ def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
     whole = {i: np.array(e.ids, "<u4").tobytes() for i, e in zip(marked, coder.encode_batch_fast(list(marked.values()), add_special_tokens=False))}
     split = [(b"" if i in whole else (t or "").encode("utf-8")).translate(_PLAIN).split() for i, t in enumerate(texts)]
     used = set().union(*split)
-    new = used - known.keys()
+    new = used.difference(known)
     if len(known) + 2 * len(new) > CACHED_WORDS:
         known.clear()
         new = used
