@@ -5,8 +5,14 @@ to 128 bits, and digests are grouped over the whole corpus. The occurrence with
 occurrences go if, together with the repeated units next to them in the text, they make a passage of ``MIN_WORDS``
 words or more, so that short stock lines stay. Offsets are those of the original text, in code points.
 
-Only digests of units seen in two places or more travel; groups combine before the shuffle, and the join back to the
-occurrences is one that adaptive execution can split, so a line in a third of all documents is no single task.
+A passage may share its first and last sentence with other text, or have no end of a sentence at all. So windows of
+``MIN_WORDS`` words are hashed too (64 bits), wherever they begin; of those that begin at neighbouring words the one
+of least hash is taken (winnowing), so that two runs of ``RUN_WORDS`` equal words always have a window in common. Its
+later copies go, with the repeated units that overlap or touch them; a window that overlaps its own first copy stays.
+Of any ``RUN_WORDS`` words of a longer repeated run, ``MIN_WORDS`` or more go; up to 21 words at each end may stay.
+
+Groups combine before the shuffle, and the join back to the occurrences is one that adaptive execution can split, so a
+line in a third of all documents is no single task.
 
 Defined cases: null and empty texts have no units; a very long text or line is cut whole; equal ranks cannot occur in
 a table with distinct ids, and rows that repeat a doc_id count as one document, whose row is changed the same way; a
@@ -24,10 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from redactory.llm.common import chunks, read_table, stored
+from redactory.llm.common import Words, _power_tables, chunks, mix, read_table, stored
 
-MIN_WORDS = 30
+#: Words of a passage that goes; words of an equal run that is found wherever it begins and ends.
+MIN_WORDS, RUN_WORDS = 30, 51
 _UNIT = re.compile(r"[^\n]*?[.!?](?=[ \t\n\r\x0b\x0c]|$)|[^\n]+")
+#: What str.split takes for a space and Words does not.
+_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -41,23 +50,58 @@ def units_of(text: str) -> list[tuple[int, int, int, str]]:
     return out
 
 
+def _sliding(best: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
+    """best of each ``width`` neighbours, by doubling."""
+    size = 1
+    while 2 * size <= width:
+        values, size = best(values[:-size], values[size:]), 2 * size
+    return best(values[: len(values) - (width - size)], values[width - size :])
+
+
+def sampled_windows(words: Words, size: int, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of windows of ``size`` words; equal runs of ``run`` words in texts have one in common."""
+    n, near = len(words.hashes), run - size + 1
+    if n < run:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    power, inverse = _power_tables(n + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.hashes * power[:n])])
+    hashes = mix((sums[size:] - sums[:-size]) * inverse[: n - size + 1])
+    least = _sliding(np.minimum, hashes, near)
+    owner = words.text_of()
+    least[owner[: n - run + 1] != owner[run - 1 :]] = 0
+    edge = np.zeros(near - 1, np.uint64)
+    at = np.flatnonzero((_sliding(np.maximum, np.concatenate([edge, least, edge]), near) == hashes) & (hashes > 0))
+    return at, hashes[at]
+
+
 _UNITS = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64())])
 
 
-def unit_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, start, end, words, hi, lo): place is the unit's number in its text."""
+def unit_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, place, start, end, words, hi, lo) of units and windows: place is the number of the first word in its text."""
 
     def run(batches):
         for c in chunks(batches, ["doc_id", "text"]):
             cols: list[list] = [[] for _ in range(5)]
             digests = []
             for i, t in zip(c["doc_id"], c["text"]):
-                for k, (a, b, n, unit) in enumerate(units_of(t or "") if i is not None else ()):
+                k = 0
+                for a, b, n, unit in units_of(t or "") if i is not None else ():
                     for col, v in zip(cols, (i, k, a, b, n)):
                         col.append(v)
                     digests.append(xxhash.xxh3_128_digest(unit.encode("utf-8", "surrogatepass")))
+                    k += n
             d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], schema=_UNITS)
+            words = Words([_BLANK.sub(" ", t or "") if i is not None else "" for i, t in zip(c["doc_id"], c["text"])])
+            at, hashes = sampled_windows(words, min_words, max(min_words, RUN_WORDS))
+            own = words.text_of()[at]
+            ids = np.array([i or 0 for i in c["doc_id"]], np.int64)[own]
+            chars = np.concatenate([[0], np.cumsum((words.bytes & 0xC0) != 0x80)])
+            first = chars[words.text_starts[own]]
+            last = words.ends[at + min_words - 1]
+            arrays = [ids, at - words.bounds[own], chars[words.starts[at]] - first, chars[last] - first, np.full(len(at), min_words), hashes.view(np.int64), np.zeros(len(at), np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], schema=_UNITS)
 
     ddl = "doc_id long, place long, start long, end long, words long, hi long, lo long"
     return docs.select("doc_id", "text").mapInArrow(run, ddl)
@@ -65,27 +109,32 @@ def unit_table(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start, end, words, first_docs) of each passage to remove; first_docs: documents that keep its units."""
-    units = stored(unit_table(docs))
+    units = stored(unit_table(docs, min_words))
     first = units.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max(F.struct("doc_id", "place")).alias("last")).where("first <> last")
-    again = units.join(first.select("hi", "lo", "first"), ["hi", "lo"]).where("first <> struct(doc_id, place)").select("doc_id", "place", "start", "end", "words", F.col("first.doc_id").alias("first_doc"))
-    listed = again.dropDuplicates(["doc_id", "place"]).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "start", "end", "words", "first_doc"))).alias("us"))
+    again = units.join(first.select("hi", "lo", "first"), ["hi", "lo"]).where("first.doc_id <> doc_id OR place >= first.place + words").select("doc_id", "place", "start", "end", "words", F.col("first.doc_id").alias("first_doc"))
+    listed = again.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "start", "end", "words", "first_doc"))).alias("us"))
 
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64()), ("first_docs", pa.list_(pa.int64()))])
 
     def runs(batches):
         for b in batches:
-            out = []
-            for i, us in zip(b.column("doc_id").to_pylist(), b.column("us").to_pylist()):
-                k = 0
-                while k < len(us):
-                    z = k
-                    while z + 1 < len(us) and us[z + 1]["place"] == us[z]["place"] + 1:
-                        z += 1
-                    words = sum(u["words"] for u in us[k : z + 1])
-                    if words >= min_words:
-                        out.append((i, us[k]["start"], us[z]["end"], words, sorted({u["first_doc"] for u in us[k : z + 1]})))
-                    k = z + 1
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], f.type) for c, f in enumerate(schema)], schema=schema)
+            us = b.column("us")
+            flat = us.flatten()
+            place, start, end, n, source = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+            if not len(place):
+                continue
+            row = np.repeat(np.arange(b.num_rows), us.value_lengths().to_numpy(zero_copy_only=False))
+            # places of different texts are kept apart; a run ends where the next place lies beyond all ends before it
+            low = place + (row << 40)
+            high = np.maximum.accumulate(low + n)
+            heads = np.flatnonzero(np.concatenate([[True], low[1:] > high[:-1]]))
+            tails = np.concatenate([heads[1:], [len(low)]])
+            words = high[tails - 1] - low[heads]
+            at = np.flatnonzero(words >= min_words)
+            docs_of = b.column("doc_id").to_numpy(zero_copy_only=False)[row[heads[at]]]
+            starts, ends = np.minimum.reduceat(start, heads)[at], np.maximum.reduceat(end, heads)[at]
+            sources = [np.unique(source[heads[k] : tails[k]]).tolist() for k in at]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((docs_of, starts, ends, words[at], sources), schema)], schema=schema)
 
     return listed.mapInArrow(runs, "doc_id long, start long, end long, words long, first_docs array<long>")
 

@@ -284,6 +284,31 @@ def test_repeated_passages(make, odd, empty):
     assert substring_dedup.remove_repeats(odd).count() == odd.count() and substring_dedup.repeated_spans(empty).count() == 0
 
 
+def test_passages_inside_sentences(make):
+    rng = random.Random(13)
+    vocabulary = 10**6
+    ends = lambda n, m: f"{prose(rng, n, vocabulary)}. {prose(rng, 9, vocabulary)}. {prose(rng, m, vocabulary)}"
+    passages = [prose(rng, 51, vocabulary), prose(rng, 90, vocabulary), ends(21, 21), ends(20, 60), "a\x85".join(prose(rng, 20, vocabulary) for _ in range(4))]
+    rows, k = [], 0
+    for p in passages:
+        for q in (p, p.upper().replace("É", "é"), p):
+            rows.append((k, f"{prose(rng, k + 3, vocabulary)} {q} {prose(rng, k + 5, vocabulary)}."))
+            k += 1
+    rows.append((k, "é " + " ".join(["loop"] * 200)))
+    gone = collections.defaultdict(set)
+    for r in substring_dedup.repeated_spans(make(rows)).collect():
+        text = dict(rows)[r.doc_id]
+        before = len(text[: r.start].split())
+        gone[r.doc_id] |= set(range(before, before + r.words))
+        assert r.words >= substring_dedup.MIN_WORDS and len(text[r.start : r.end].split()) == r.words
+    for i, (p, q) in enumerate((p, q) for p in passages for q in range(3)):
+        n, start = len(p.split()), i + 3
+        assert gone[i] <= set(range(start, start + n)) and (q > 0 or not gone[i])
+        assert q == 0 or all(len(gone[i] & set(range(a, a + 51))) >= 30 for a in range(start, start + n - 50))
+    kept = substring_dedup.remove_repeats(make(rows)).where(f"doc_id = {k}").first().text.split()
+    assert 31 <= len(kept) <= 61
+
+
 def edit_distance(p, t):
     row = [0] * (len(t) + 1)
     for i, x in enumerate(p, 1):
