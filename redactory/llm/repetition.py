@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from redactory.llm.common import Words, chunks, read_table
 
-#: Words in a repeat that counts; part of the words that repeats may cover; words that one repeat may have.
-MIN_REPEAT, MAX_COVERED, MAX_REPEAT = 10, 0.5, 200
+#: Words in a repeat that counts; part of the words that repeats may cover; words that one repeat may have. The part is
+#: well below the half of the base rule, which counts repeats of three words and so all words that these repeats cover.
+MIN_REPEAT, MAX_COVERED, MAX_REPEAT = 10, 0.2, 200
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 

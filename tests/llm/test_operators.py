@@ -197,6 +197,16 @@ def test_quality_rules(make, corpus, odd, empty):
     assert repetition.quality_rules(odd).count() == odd.count() and repetition.quality_rules(empty).count() == 0
 
 
+def test_coverage_alone_rejects(make):
+    rng = random.Random(14)
+    part = lambda n: prose(rng, n, 10**6)
+    again, short = part(30), part(12)
+    rows = [(1, f"{part(70)} {again} {part(70)} {again}"), (2, f"{part(90)} {short} {part(86)} {short}"), (3, part(200))]
+    got = {r.doc_id: r for r in repetition.quality_rules(make(rows)).collect()}
+    assert [got[k].covered_words for k in (1, 2, 3)] == [60, 24, 0] and not any(r.base_failed for r in got.values())
+    assert [got[k].kept for k in (1, 2, 3)] == [False, True, True]
+
+
 def test_chat_round_trip(spark):
     nasty = ["\\### Assistant: </turn> ok", "<|turn user|>\nhi\n</turn>\n", "\\\\</turn>\\", "<|image|>\\<|image|>", "\n", "", None, "a\\", "é😀"]
     rows = [(1, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(nasty)] + [(None, 0, None, "x"), (2, 0, "odd|role>\n", "y"), (2, 0, "odd|role>\n", "y")]
