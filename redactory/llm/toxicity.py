@@ -9,6 +9,7 @@
    mean of their best segments (a Gumbel law). A segment is significant if it is expected fewer than ``MAX_E`` times.
 4. A logistic curve over the best segment's calibrated score and the number of significant segments gives the result;
    it is fitted on training documents that the counts have not seen, at most ``FIT_ROWS`` of them, chosen by hash.
+5. Those documents are then counted too: the table that scores holds all labelled training documents.
 
 The table (``BUCKETS`` entries) and the fitting sample are bounded whatever the corpus. Texts are scored where they
 are read. Labels are sent to the workers while they are few, else joined.
@@ -22,7 +23,7 @@ columns pass through ``score_toxicity`` unless they clash with its own, which wi
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +114,15 @@ class Model:
         return np.log(share / (1 - share)) - math.log(self.base / (1 - self.base)) - DRIFT
 
 
+def _table(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Toxic and all counts of each bucket, and the tokens and toxic tokens counted, from the rows of count_tokens."""
+    toxic, every = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
+    for r in rows:
+        at = r["slice"] * SLICE + np.frombuffer(bytes(r["at"]), "<u2").astype(np.int64)
+        toxic[at], every[at] = np.frombuffer(bytes(r["toxic"]), "<u4"), np.frombuffer(bytes(r["all"]), "<u4")
+    return toxic, every, sum(r["tokens"] for r in rows), sum(r["toxic_tokens"] for r in rows)
+
+
 def maximal_segments(places: list[int], values: list[float], before: list[float]) -> list[tuple[int, int, float]]:
     """(first, last, score) of all maximal scoring segments, in linear time.
 
@@ -193,12 +203,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model |
     if not 0 < bad < total:
         return bad / total if total else 0.0
     last = F.col("fold") == folds - 1
-    table = [r.asDict() for r in count_tokens(labelled.where(~last)).collect()]
-    toxic, every = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
-    for r in table:
-        at = r["slice"] * SLICE + np.frombuffer(bytes(r["at"]), "<u2").astype(np.int64)
-        toxic[at], every[at] = np.frombuffer(bytes(r["toxic"]), "<u4"), np.frombuffer(bytes(r["all"]), "<u4")
-    n, n_toxic = sum(r["tokens"] for r in table), sum(r["toxic_tokens"] for r in table)
+    toxic, every, n, n_toxic = _table([r.asDict() for r in count_tokens(labelled.where(~last)).collect()])
     if not 0 < n_toxic < n:
         return bad / total
     model = Model(n_toxic / n, toxic, every)
@@ -230,7 +235,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model |
         model.weights = _fit_logistic(np.array([x for x, _ in pairs]), np.array([x for _, x in pairs]), np.array([r["toxic"] for r in sample]))
     else:
         model.weights = np.array([math.log(bad / (total - bad)), 1.0, 1.0])
-    return model
+    more_toxic, more, more_n, more_n_toxic = _table([r.asDict() for r in count_tokens(labelled.where(last)).collect()])
+    return replace(model, base=(n_toxic + more_n_toxic) / (n + more_n), toxic=toxic + more_toxic, all=every + more)
 
 
 SPANS = "array<struct<start:long,end:long,score:double>>"

@@ -281,6 +281,18 @@ def test_toxicity_learns(spark, make, odd, empty):
     assert {r.predicted for r in toxicity.score_toxicity(odd, none).collect()} == {0}
 
 
+def test_toxicity_counts_all_training_rows(spark, make):
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    rows = [(i, f"plain words w{i % 7} " + ("vileword" if i % 3 == 0 else "fine") + (f" onlyfold{fold(i)}" if i % 3 == 0 else "")) for i in range(300)]
+    model = toxicity.fit_toxicity(make(rows), spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int, toxic int"))
+    for k in range(5):
+        at = toxicity.token_buckets(Words([f"onlyfold{k}"]))[-1]
+        n = sum(fold(i) == k for i in range(0, 300, 3)) if k else 0
+        assert model.toxic[at] == n and model.all[at] == n
+    train = [(i, len(words(t))) for i, t in rows if fold(i)]
+    assert math.isclose(model.base, sum(n for i, n in train if i % 3 == 0) / sum(n for _, n in train))
+
+
 def test_repeated_passages(make, odd, empty):
     rng = random.Random(8)
     passage = ". ".join(prose(rng, 12) for _ in range(5)) + "."
