@@ -1,11 +1,12 @@
 """Helpers that several corpus operators share.
 
 Texts are handled in pieces of about ``CHUNK_BYTES`` inside a task, so that memory follows the chunk and not the
-partition. A single longer text is always handled whole.
+partition. A single longer text is always handled whole, with memory that follows its words.
 """
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,18 +21,27 @@ _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
+_CHECK = [_rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)]
+_CHECK.append(_CHECK[0].copy())
+_CHECK[1][65:91] = _CHECK[0][97:123]
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers: list[np.ndarray] = []
+#: Bytes hashed at once; the tables of powers are kept up to this size.
+BLOCK_BYTES = 2 << 20
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 2 * CHUNK_BYTES)
-        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, p, np.uint64)])) for p in (_P, _P_INV)]
-    return _powers[0], _powers[1]
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, n of each."""
+    if _powers and len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    size = max(n, BLOCK_BYTES + 1)
+    tables = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, p, np.uint64)])) for p in (_P, _P_INV)]
+    if size == BLOCK_BYTES + 1:
+        _powers[:] = tables
+    return tables[0], tables[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -47,28 +57,56 @@ class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of some texts, as 64-bit hashes, without a Python object per word.
 
     hashes: one uint64 a word; bounds: words of text i are ``bounds[i]:bounds[i + 1]``; starts, ends: byte places in
-    the joined buffer. Two words share a hash with a chance of about 2**-56 a pair.
+    the joined buffer. Two words share a hash with a chance of about 2**-56 a pair. Bytes are handled in blocks that
+    end at a space, so beyond its own bytes and words a long text needs the memory of one block (a word of more than
+    ``BLOCK_BYTES`` is a block of its own).
     """
 
-    def __init__(self, texts: list[str | None], lower: bool = True):
-        parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    def __init__(self, texts: list[str | bytes | None], lower: bool = True):
+        parts = [t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass") for t in texts]
         self.raw = b"\n".join(parts) + b"\n"
         self.bytes = np.frombuffer(self.raw, np.uint8)
-        space = _SPACE[self.bytes]
-        edge = np.diff(np.concatenate([[True], space]).astype(np.int8))
-        self.starts = np.flatnonzero(edge == -1)
-        self.ends = np.flatnonzero(edge == 1)
-        power, self._inverse = _power_tables(len(self.bytes) + 1)
-        self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_LOWER if lower else _BYTE)[self.bytes] * power[: len(self.bytes)])])
-        self.hashes = self.prefix(self.ends)
         lengths = np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts))
         self.text_starts = np.concatenate([[0], np.cumsum(lengths)])
+        starts, ends, self._blocks, words = [], [], [], 0
+        for a, b in self._cuts():
+            space = _SPACE[self.bytes[a:b]]
+            edge = np.flatnonzero(np.concatenate([[True], space[:-1]]) != space) + a  # a word starts, then ends, and so on
+            starts.append(edge[0::2])
+            ends.append(edge[1::2])
+            self._blocks.append((a, b, words, words + len(edge) // 2))
+            words += len(edge) // 2
+        self.starts, self.ends = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (starts, ends))
+        self._table = _LOWER if lower else _BYTE
+        self.hashes = self.hashed([None])[0]
         self.bounds = np.searchsorted(self.starts, self.text_starts)
         self.counts = np.diff(self.bounds)
 
-    def prefix(self, ends: np.ndarray) -> np.ndarray:
-        """Hashes of each word's bytes up to ``ends``."""
-        return mix((self._sums[ends] - self._sums[self.starts]) * self._inverse[self.starts] + (ends - self.starts).astype(np.uint64))
+    def _cuts(self):
+        """Blocks of the bytes, each up to and with a space; the last byte of all is one."""
+        a, n = 0, len(self.bytes)
+        while a < n:
+            b, step = min(a + BLOCK_BYTES, n), 1 << 12
+            while b < n and not _SPACE[self.bytes[b - 1]]:
+                at = np.flatnonzero(_SPACE[self.bytes[b : b + step]])
+                b, step = (b + int(at[0]) + 1 if len(at) else min(b + step, n)), 2 * step
+            yield a, b
+            a = b
+
+    def hashed(self, widths: list[int | None], check: bool = False) -> list[np.ndarray]:
+        """For each width, hashes of the words' first ``width`` bytes; of whole words for None. check: other, independent hashes."""
+        out = [np.empty(len(self.starts), np.uint64) for _ in widths]
+        table = _CHECK[self._table is _LOWER] if check else self._table
+        for a, b, i, j in self._blocks:
+            power, inverse = power_tables(b - a + 1)
+            sums = np.zeros(b - a + 1, np.uint64)
+            np.cumsum(table[self.bytes[a:b]] * power[: b - a], out=sums[1:])
+            s, e = self.starts[i:j] - a, self.ends[i:j] - a
+            before, back = sums[s], inverse[s]
+            for k, width in enumerate(widths):
+                end = e if width is None else np.minimum(s + width, e)
+                out[k][i:j] = mix((sums[end] - before) * back + (end - s).astype(np.uint64))
+        return out
 
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
@@ -114,10 +152,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh path in the folder that all executors share; a local one only where the session names none."""
+    """A fresh path in the folder that all executors share. A local session that names none gets one of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "/tmp/redactory-checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/redactory-{uuid.uuid4().hex}"
 

@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import bisect
 import os
-import unicodedata
 import zlib
 from array import array
 
@@ -28,15 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from redactory.llm.common import batch_of, chunks, read_table, stored
+from redactory.llm.common import Words, batch_of, chunks, read_table, stored
 
 CAPACITY = 2048
 #: A length over capacity / n is large, in so many groups; of these plans the one with the fewest sequences is taken.
 THRESHOLDS = ((2, 64), (3, 64), (4, 32))
 SHARD_ROWS = 20_000
-CACHED_WORDS = 300_000
-_PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if 0x09 <= c <= 0x0D else c for c in range(256))
-_ENDS = b".,;:!?"
+CACHED_WORDS = 1_000_000
+_ENDS = ".,;:!?#$%&*"
+#: Of each byte: 0 space, 1 letter, 2 digit, 3 other, 4 an apostrophe, 5 not ASCII.
+_KIND = np.full(256, 3, np.int8)
+_KIND[[32, 39]], _KIND[48:58], _KIND[65:91], _KIND[97:123], _KIND[128:] = (0, 4), 2, 1, 1, 5
 _CODERS: dict[str, tuple] = {}
 
 
@@ -49,56 +50,110 @@ def _coder(path: str):
         vocabulary = coder.get_vocab()
         last = np.zeros(max(vocabulary.values()) + 1, bool)
         last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        _CODERS[path] = (coder, last, {})
+        _CODERS[path] = (coder, last, Known())
     return _CODERS[path]
 
 
-def _ends_whole(core: str) -> bool:
-    """Whether the last character is still a letter or digit when composed and lowered, as most but not all are."""
-    return core[-1].isalnum() and (core[-1].isascii() or unicodedata.normalize("NFC", core[-1]).lower().isalnum())
+class Known:
+    """Token ids of words, by two independent hashes of 64 bits: flat arrays, as many small objects would cost more."""
+
+    def __init__(self):
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.first, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Places of the words, -1 for those not known."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where((self.keys[at] == keys) & (self.checks[at] == checks), at, -1)
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
+        """Words, how many ids each has, and the ids of all one after another."""
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        first = len(self.ids) + np.cumsum(count) - count
+        self.keys, self.checks = np.insert(self.keys, at, keys[order]), np.insert(self.checks, at, checks[order])
+        self.first, self.count = np.insert(self.first, at, first[order]), np.insert(self.count, at, count[order])
+        self.ids = np.concatenate([self.ids, ids])
+
+
+def _parts(words: list[bytes]) -> np.ndarray:
+    """How many parts each word is coded in: runs of letters, single digits, runs of anything else; 0 if that is not plain."""
+    kind = _KIND[np.frombuffer(b" ".join(words) + b" ", np.uint8)]
+    ends = np.flatnonzero(kind == 0)
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    new = ((kind != np.concatenate([[0], kind[:-1]])) & (kind > 0)) | (kind == 2)
+    sums, odd = np.concatenate([[0], np.cumsum(new)]), np.concatenate([[0], np.cumsum(kind > 3)])
+    out = sums[ends] - sums[begins]
+    for i in np.flatnonzero(odd[ends] > odd[begins]).tolist():
+        text = words[i].decode("utf-8")
+        core = text.rstrip(_ENDS)
+        whole = core.isalpha() and core[-1] < "\u0250"
+        out[i] = 1 + (len(core) < len(text)) if whole else int(text.isalpha())
+    return out
+
 
+def _code_words(words: list[bytes], coder, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which word, how many ids, ids). Plain words are coded many at once and told apart by the ids that end a part.
 
-def _code_words(words: list[bytes], coder, last: np.ndarray, known: dict[bytes, bytes]) -> None:
-    """Adds the words' ids to known. Words of letters alone are coded many at once and told apart by ids that end a word."""
-    texts = [w.decode("utf-8") for w in words]
-    plain = [i for i, t in enumerate(texts) if t.isalpha()]
-    single = [i for i, t in enumerate(texts) if not t.isalpha()]
-    groups = [plain[k : k + 1000] for k in range(0, len(plain), 1000)]
-    for own, e in zip(groups, coder.encode_batch_fast([" ".join([texts[i] for i in own]) for own in groups], add_special_tokens=False)):
-        raw = array("I", e.ids).tobytes()
-        ends = ((np.flatnonzero(last[np.frombuffer(raw, "<u4")]) + 1) * 4).tolist()
-        if len(ends) != len(own):  # a letter that is no letter any more when lowered
-            single += own
+    A letter that is none any more when composed and lowered makes more parts than were counted, never fewer; then each
+    word of that group is coded alone.
+    """
+    parts = _parts(words)
+    many, single = np.flatnonzero(parts), np.flatnonzero(parts == 0).tolist()
+    groups = [many[k : k + 1000] for k in range(0, len(many), 1000)]
+    which, count, ids = [], [], []
+    for own, e in zip(groups, coder.encode_batch_fast([b" ".join([words[i] for i in own.tolist()]).decode("utf-8") for own in groups], add_special_tokens=False)):
+        coded = np.array(e.ids, "<u4")
+        ends, expected = np.flatnonzero(last[coded]) + 1, np.cumsum(parts[own])
+        if len(ends) != expected[-1]:
+            single += own.tolist()
             continue
-        for i, a, z in zip(own, [0, *ends], ends):
-            known[words[i]] = raw[a:z]
-    for i, e in zip(single, coder.encode_batch_fast([texts[i] for i in single], add_special_tokens=False)):
-        known[words[i]] = array("I", e.ids).tobytes()
+        which.append(own)
+        count.append(np.diff(ends[expected - 1], prepend=0))
+        ids.append(coded)
+    for i, e in zip(single, coder.encode_batch_fast([words[i].decode("utf-8") for i in single], add_special_tokens=False)):
+        which.append(np.array([i]))
+        count.append(np.array([len(e.ids)]))
+        ids.append(np.array(e.ids, "<u4"))
+    return tuple(np.concatenate([np.zeros(0, t), *x]) for x, t in ((which, np.int64), (count, np.int64), (ids, "<u4")))
 
 
 def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
     """Token ids as little-endian uint32, without the end token.
 
-    White space divides tokens, a letter or digit and the punctuation after it are divided too, and case is dropped, so
-    words are coded once, in lower case and without the punctuation at their ends, and kept.
+    White space divides tokens and case is dropped, so words are coded once, in lower case, and kept. Each text's ids
+    are then gathered from those of its words.
     """
     coder, last, known = _coder(path)
     marked = {i: t for i, t in enumerate(texts) if t and "<|" in t}  # may hold special tokens, which keep their case
-    whole = {i: np.array(e.ids, "<u4").tobytes() for i, e in zip(marked, coder.encode_batch_fast(list(marked.values()), add_special_tokens=False))}
-    split = [(b"" if i in whole else (t or "").encode("utf-8")).translate(_PLAIN).split() for i, t in enumerate(texts)]
-    used = set().union(*split)
-    new = used.difference(known)
-    if len(known) + 2 * len(new) > CACHED_WORDS:
-        known.clear()
-        new = used
-    ended = [(w, w.rstrip(_ENDS)) for w in new if w[-1] in _ENDS]
-    ended = [(w, core, w[len(core) :]) for w, core in ended if core and _ends_whole(core.decode("utf-8"))]
-    code = new.difference(w for w, _, _ in ended).union(x for _, *pair in ended for x in pair)
-    _code_words([x for x in code if x not in known], coder, last, known)
-    for w, core, end in ended:
-        known[w] = known[core] + known[end]
-    here = {w: known[w] for w in used}  # small, so that looking up each word of the texts stays quick
-    return [whole[i] if i in whole else b"".join(map(here.__getitem__, ws)) for i, ws in enumerate(split)]
+    whole = {i: array("I", e.ids).tobytes() for i, e in zip(marked, coder.encode_batch_fast(list(marked.values()), add_special_tokens=False))}
+    words = Words([None if i in whole else t for i, t in enumerate(texts)])
+    keys, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
+    all_checks = words.hashed([None], check=True)[0]
+    checks = all_checks[first]
+    if (checks[which] != all_checks).any():  # two words of one hash
+        return [array("I", e.ids).tobytes() for e in coder.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    at = known.find(keys, checks)
+    if (at < 0).any():
+        if len(known.keys) + 2 * int((at < 0).sum()) > CACHED_WORDS:
+            known.__init__()
+            at[:] = -1
+        new = np.flatnonzero(at < 0)
+        lowered = words.raw.lower()
+        own = zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist())
+        which_new, n_ids, ids = _code_words([lowered[a:z] for a, z in own], coder, last)
+        known.add(keys[new][which_new], checks[new][which_new], n_ids, ids)
+        at = known.find(keys, checks)
+        if (at < 0).any():  # another word of one hash is known
+            known.__init__()
+            return encode_texts(texts, path)
+    count = known.count[at][which]
+    end = np.cumsum(count)
+    ids = known.ids[np.repeat(known.first[at][which] - end + count, count) + np.arange(int(end[-1]) if len(end) else 0)]
+    cuts = np.concatenate([[0], end])[words.bounds].tolist()
+    return [whole[i] if i in whole else ids[a:z].tobytes() for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:]))]
 
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])

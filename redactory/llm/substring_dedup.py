@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from redactory.llm.common import Words, _power_tables, chunks, mix, read_table, stored
+from redactory.llm.common import Words, chunks, mix, power_tables, read_table, stored
 
 #: Words of a passage that goes; words of an equal run that is found wherever it begins and ends.
 MIN_WORDS, RUN_WORDS = 30, 51
@@ -63,7 +63,7 @@ def sampled_windows(words: Words, size: int, run: int) -> tuple[np.ndarray, np.n
     n, near = len(words.hashes), run - size + 1
     if n < run:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    power, inverse = _power_tables(n + 1)
+    power, inverse = power_tables(n + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.hashes * power[:n])])
     hashes = mix((sums[size:] - sums[:-size]) * inverse[: n - size + 1])
     least = _sliding(np.minimum, hashes, near)

@@ -41,12 +41,8 @@ _STEP, _LOW, _BINS = 0.05, -8.0, 400
 
 def token_buckets(words: Words) -> np.ndarray:
     """Rows: a bucket for each prefix length and for the whole token; columns: tokens."""
-    out = []
-    for k, n in enumerate((*PREFIX_BYTES, None)):
-        ends = words.ends if n is None else np.minimum(words.starts + n, words.ends)
-        h = words.hashes if n is None else words.prefix(ends)
-        out.append((mix(h + np.uint64(k + 1)) % np.uint64(BUCKETS)).astype(np.int64))
-    return np.stack(out) if len(words.starts) else np.zeros((len(PREFIX_BYTES) + 1, 0), np.int64)
+    out = [*words.hashed([*PREFIX_BYTES]), words.hashes]
+    return np.stack([(mix(h + np.uint64(k + 1)) % np.uint64(BUCKETS)).astype(np.int64) for k, h in enumerate(out)])
 
 
 _COUNTS = pa.schema([("slice", pa.int32()), ("at", pa.binary()), ("toxic", pa.binary()), ("all", pa.binary()), ("tokens", pa.int64()), ("toxic_tokens", pa.int64())])
