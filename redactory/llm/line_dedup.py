@@ -5,8 +5,10 @@ these filters meet in groups and are merged: a key is seen again if two parts ha
 that the merged twice filter holds are suspects. Suspects alone shuffle, as 128-bit digests, for the exact count of
 documents and the choice of the occurrence that stays. Line texts never move before the final join by document.
 
-The twice filter is sent to the workers only while it is at most ``limit_bytes``; above that, the suspects come from a
-count of the hashes instead, with the same rows in the end, since exact confirmation follows either way.
+The twice filter is sent to the workers while it is at most ``limit_bytes``. Above that the filters stay cut into blocks
+of ``BLOCK_KEYS`` keys: each task sends its distinct hashes to the blocks, a block fills its once and twice filters from
+them, asks the latter about each and gives back the suspected hashes alone. Traffic is in proportion to the keys, a line
+of a third of all documents is sent once a task, and the rows are the same.
 
 Defined cases: null or empty texts are one empty line; a key that repeats inside one document counts once, and stays
 or goes in all its lines; ties cannot occur, as the document is chosen by id; rows that repeat a doc_id count as one
@@ -32,6 +34,8 @@ from redactory.llm.common import batch_of, chunks, mix, per_group, read_table, s
 MIN_CHARS, MIN_DOCS = 40, 5
 SLICE_BITS = 1 << 19
 BITS_PER_KEY, PROBES = 12, 4
+#: Keys of a block of the cut filters; rows of suspected hashes or repeated lines that are sent to the workers, as 8 or 24 bytes.
+BLOCK_KEYS, ROWS_SENT, SALTS = 4_000_000, 1_000_000, 16
 _SPACES = b" \t\n\r\x0b\x0c"
 
 
@@ -144,13 +148,65 @@ def twice_filter(keys: DataFrame, n_slices: int) -> DataFrame:
     return per_group(partial, ["slice"], merge, _SLICE_DDL).select("slice", "twice")
 
 
-def suspects(keys: DataFrame, n_keys: int, limit_bytes: int) -> DataFrame:
+_ASKED = pa.schema([("block", pa.int32()), ("hashes", pa.binary()), ("again", pa.binary())])
+
+
+def suspected_hashes(keys: DataFrame, n_keys: int, block_keys: int = BLOCK_KEYS) -> DataFrame:
+    """(hi): hashes that filters cut into blocks hold as seen again."""
+    n_blocks = max(1, -(-n_keys // block_keys))
+    bits = max(1 << 10, (block_keys * BITS_PER_KEY + 7) // 8 * 8)
+
+    def asked(held: list[np.ndarray]):
+        found, counts = np.unique(np.concatenate(held).view(np.uint64), return_counts=True)
+        block = (found % np.uint64(n_blocks)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
+        edges = np.searchsorted(block[order], np.arange(n_blocks + 1))
+        for b in np.flatnonzero(np.diff(edges)).tolist():
+            own = order[edges[b] : edges[b + 1]]
+            yield batch_of(_ASKED, block=[b], hashes=[found[own].tobytes()], again=[np.packbits(counts[own] > 1).tobytes()])
+
+    def ask(batches):
+        held, n = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(_digests(b.column("keys").to_pylist())[:, 0].copy())
+                n += len(held[-1])
+                if n > 1_000_000:
+                    yield from asked(held)
+                    held, n = [], 0
+        if held:
+            yield from asked(held)
+
+    def places(hashes: np.ndarray) -> list[np.ndarray]:
+        a = mix(hashes)
+        step = mix(a + np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+        return [((a + np.uint64(i) * step) % np.uint64(bits)).astype(np.int64) for i in range(PROBES)]
+
+    def decide(key, batches):
+        once, twice, held = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8), []
+        for b in batches:
+            for packed, flags in zip(b.column("hashes").to_pylist(), b.column("again").to_pylist()):
+                hashes = np.frombuffer(packed, np.uint64)
+                at = places(hashes)
+                seen = _has(once, at) | np.unpackbits(np.frombuffer(flags, np.uint8), count=len(hashes)).astype(bool)
+                _set(twice, [p[seen] for p in at])
+                _set(once, at)
+                held.append(hashes)
+        hashes = np.unique(np.concatenate(held))
+        found = hashes[_has(twice, places(hashes))].view(np.int64)
+        for k in range(0, len(found), 100_000):
+            yield pa.RecordBatch.from_pydict({"hi": found[k : k + 100_000]}, schema=pa.schema([("hi", pa.int64())]))
+
+    return per_group(keys.mapInArrow(ask, "block int, hashes binary, again binary"), ["block"], decide, "hi long")
+
+
+def suspects(keys: DataFrame, n_keys: int, limit_bytes: int, block_keys: int = BLOCK_KEYS) -> DataFrame:
     """(hi, lo, doc_id) of keys that may be in several documents."""
     n_slices = max(1, -(-n_keys * BITS_PER_KEY // SLICE_BITS))
     if n_slices * (SLICE_BITS // 8) > limit_bytes:
+        again = stored(suspected_hashes(keys, n_keys, block_keys))
         rows = keys.mapInArrow(_explode(None, 1), "hi long, lo long, doc_id long")
-        again = rows.groupBy("hi").agg(F.count("*").alias("n")).where("n > 1").select("hi")
-        return rows.join(again, "hi")
+        return rows.join(F.broadcast(again) if again.count() <= ROWS_SENT else again, "hi", "left_semi")
     bits = np.zeros((n_slices, SLICE_BITS // 8), np.uint8)
     for row in twice_filter(keys, n_slices).toLocalIterator():
         bits[row["slice"]] = _unpack(bytes(row["twice"]))
@@ -176,6 +232,14 @@ def _explode(sent, n_slices: int):
     return run
 
 
+def _with_keeper(found: DataFrame, repeated: DataFrame) -> DataFrame:
+    """found with the keeper of its line: the lines are sent if few, else the join is salted, as one line may be in most documents."""
+    if repeated.count() <= ROWS_SENT:
+        return found.join(F.broadcast(repeated), ["hi", "lo"])
+    salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["hi", "lo", "salt"]).drop("salt")
+
+
 def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, limit_bytes: int = 64 << 20) -> DataFrame:
     """docs with repeated lines dropped: all columns, text rewritten, plus n_lines and n_dropped.
 
@@ -186,7 +250,7 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     n_keys = int(keys.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0))).first()[0]) // 16
     found = stored(suspects(keys, n_keys, limit_bytes).distinct())
     repeated = found.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).select("hi", "lo", "keeper")
-    drops = found.join(repeated, ["hi", "lo"]).where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_list(F.struct("hi", "lo")).alias("_drop"))
+    drops = _with_keeper(found, stored(repeated)).where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_list(F.struct("hi", "lo")).alias("_drop"))
     joined = docs.join(drops.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     return joined.mapInArrow(_rewriter(docs.columns, min_chars), schema)
