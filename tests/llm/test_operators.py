@@ -243,6 +243,20 @@ def test_line_dedup(make, corpus, odd, empty, limit):
     assert line_dedup.drop_lines(odd).count() == odd.count() and line_dedup.drop_lines(empty).count() == 0
 
 
+def test_both_ways_to_suspects_use_the_filters(make):
+    rng = random.Random(15)
+    line = lambda k: f"line number {k} " + "x" * 40
+    once, many = iter(range(10**6, 2 * 10**6)), range(30)
+    docs = [(i, "\n".join([line(next(once)) for _ in range(40)] + [line(k) for k in many if rng.random() < 0.3])) for i in range(60)]
+    seen = collections.Counter(x for _, t in docs for x in t.split("\n"))
+    keys = line_dedup.key_table(make(docs), 40)
+    n = sum(seen.values())
+    for limit, block in ((1 << 26, 1), (0, 10**6), (0, 200)):
+        got = {(r.hi, r.lo) for r in line_dedup.suspects(keys, n, limit, block).collect()}
+        repeated = {line_dedup.digest(x.encode()) for x, c in seen.items() if c > 1}
+        assert repeated <= got and len(got - repeated) <= 0.05 * len(seen)
+
+
 def test_maximal_segments_are_those_of_the_definition():
     rng = random.Random(4)
 
@@ -331,6 +345,14 @@ def test_passages_inside_sentences(make):
     assert 31 <= len(kept) <= 61
 
 
+def test_units_of_short_sentences(make):
+    units = substring_dedup.units_of("A b. C d. Enough words are here. No. \nX.\n\n one two three four five")
+    assert [(n, u) for _, _, n, u in units] == [(4, "a b. c d."), (4, "enough words are here."), (1, "no."), (1, "x."), (5, "one two three four five")]
+    text = "loop one two three four. " * 20
+    spans = substring_dedup.repeated_spans(make([(7, text)])).collect()
+    assert spans and all(r.first_docs == [7] for r in spans) and "loop" in text[: spans[0].start]
+
+
 def edit_distance(p, t):
     row = [0] * (len(t) + 1)
     for i, x in enumerate(p, 1):
