@@ -108,6 +108,13 @@ class Words:
                 out[k][i:j] = mix((sums[end] - before) * back + (end - s).astype(np.uint64))
         return out
 
+    def is_space(self) -> np.ndarray:
+        return _SPACE[self.bytes]
+
+    def chars_before(self, places: np.ndarray) -> np.ndarray:
+        """Code points before byte places of the joined buffer."""
+        return places - np.searchsorted(np.flatnonzero((self.bytes & 0xC0) == 0x80), places)
+
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 

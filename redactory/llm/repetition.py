@@ -1,7 +1,7 @@
 """Quality rules: repetition within a text, by suffix array.
 
 The words of a text get a suffix array (prefix doubling over the suffixes still tied) and the common-prefix lengths of
-neighbours in it. The deepest common-prefix interval that holds a suffix gives the longest repeat that starts there;
+neighbours in it (halving steps over 64-bit prefix hashes, so that memory stays in proportion to the words). The deepest common-prefix interval that holds a suffix gives the longest repeat that starts there;
 spans of repeats of ``MIN_REPEAT`` words or more are united. A text fails if the united spans cover too much of it or
 if one repeat is too long. Many texts share one array: words count as different in different texts.
 
@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from redactory.llm.common import Words, chunks, read_table
+from redactory.llm.common import Words, chunks, mix, power_tables, read_table
 
 #: Words in a repeat that counts; part of the words that repeats may cover; words that one repeat may have. The part is
 #: well below the half of the base rule, which counts repeats of three words and so all words that these repeats cover.
@@ -42,7 +42,7 @@ def longest_repeats(symbols: np.ndarray) -> np.ndarray:
     if n < 2:
         return np.zeros(n, np.int64)
     rank = _classes(symbols)
-    levels, step = [rank.copy()], 1
+    step = 1
     sizes = np.bincount(rank, minlength=n)
     active = np.flatnonzero(sizes[rank] > 1)
     while len(active):
@@ -54,20 +54,22 @@ def longest_repeats(symbols: np.ndarray) -> np.ndarray:
         place = np.arange(len(ids))
         in_major = place - place[new_major][np.cumsum(new_major) - 1]
         rank[ids] = major + in_major[new_group][np.cumsum(new_group) - 1]
-        levels.append(rank.copy())
         group = np.cumsum(new_group) - 1
         active = np.sort(ids[np.bincount(group)[group] > 1])
         step *= 2
     suffixes = np.empty(n, np.int64)
     suffixes[rank] = np.arange(n)
-    a, b = suffixes[:-1].copy(), suffixes[1:].copy()
+    power, inverse = power_tables(n + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(symbols.astype(np.uint64)) * power[:n])])
     common = np.zeros(n - 1, np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        live = np.flatnonzero((a < n) & (b < n))
-        same = live[levels[k][a[live]] == levels[k][b[live]]]
-        common[same] += 1 << k
-        a[same] += 1 << k
-        b[same] += 1 << k
+    live = np.arange(n - 1)
+    for k in range(int(n).bit_length() - 1, -1, -1):  # the greatest length first
+        a, b = suffixes[live] + common[live], suffixes[live + 1] + common[live]
+        fits = np.maximum(a, b) + (1 << k) <= n
+        a, b, own = a[fits], b[fits], live[fits]
+        end = 1 << k
+        same = (sums[a + end] - sums[a]) * inverse[a] == (sums[b + end] - sums[b]) * inverse[b]
+        common[own[same]] += end
     out = np.zeros(n, np.int64)
     out[suffixes[:-1]] = common
     out[suffixes[1:]] = np.maximum(out[suffixes[1:]], common)
@@ -82,10 +84,10 @@ def _per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def _merged_spans(covered: np.ndarray, bounds: np.ndarray) -> list[list[dict]]:
     edge = np.diff(np.concatenate([[0], covered.astype(np.int8), [0]]))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    first, last = np.searchsorted(ends, bounds[:-1], side="right"), np.searchsorted(starts, bounds[1:])
     out: list[list[dict]] = []
-    for a, b in zip(bounds[:-1], bounds[1:]):
-        inside = (starts < b) & (ends > a) if len(starts) else []
-        out.append([{"start": int(max(s, a) - a), "end": int(min(e, b) - a)} for s, e in zip(starts[inside], ends[inside])] if len(starts) else [])
+    for a, b, i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), first.tolist(), last.tolist()):
+        out.append([{"start": max(s, a) - a, "end": min(e, b) - a} for s, e in zip(starts[i:j].tolist(), ends[i:j].tolist())])
     return out
 
 
@@ -122,10 +124,10 @@ def measure(ids: list[int], texts: list[str | None], min_repeat: int, max_covere
     n_covered = _per_text(covered, bounds)
     most = np.zeros(len(n), np.int64)
     np.maximum.at(most, owner, longest)
-    lead = (words.bytes & 0xC0) != 0x80
-    in_word = np.concatenate([[0], np.cumsum(lead)])
-    word_chars = _per_text(in_word[words.ends] - in_word[words.starts], bounds)
-    n_symbols = _per_text(_SYMBOL[words.bytes], words.text_starts)
+    # every text ends with a space of one byte, so no stretch is empty
+    in_texts = lambda marks: np.add.reduceat(marks, words.text_starts[:-1], dtype=np.int64) if len(n) else np.zeros(0, np.int64)
+    word_chars = in_texts((words.bytes & 0xC0) != 0x80) - in_texts(words.is_space())
+    n_symbols = in_texts(_SYMBOL[words.bytes])
     dup = []
     for t in texts:
         lines = [x for x in (t or "").split("\n") if x.strip(" \t\n\r\x0b\x0c")]

@@ -121,10 +121,8 @@ def unit_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             words = Words([_BLANK.sub(" ", t) for t in texts])
             at, hashes = sampled_windows(words, min_words, max(min_words, RUN_WORDS))
             own = words.text_of()[at]
-            chars = np.concatenate([[0], np.cumsum((words.bytes & 0xC0) != 0x80)])
-            first = chars[words.text_starts[own]]
-            last = words.ends[at + min_words - 1]
-            yield _unit_rows(ids, own, at - words.bounds[own], chars[words.starts[at]] - first, chars[last] - first, np.full(len(at), min_words), hashes.view(np.int64), np.zeros(len(at), np.int64))
+            first, start, end = (words.chars_before(x) for x in (words.text_starts[own], words.starts[at], words.ends[at + min_words - 1]))
+            yield _unit_rows(ids, own, at - words.bounds[own], start - first, end - first, np.full(len(at), min_words), hashes.view(np.int64), np.zeros(len(at), np.int64))
 
     ddl = "doc_id long, place int, start int, end int, words int, hi long, lo long, later boolean"
     return docs.select("doc_id", "text").mapInArrow(run, ddl)
