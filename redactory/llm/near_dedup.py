@@ -8,8 +8,13 @@ Documents with equal shingle sets are one class, found by a digest, and only the
 that share a band bucket are compared by signature, inside tasks, and each task gives back a forest of those that
 agree in most places, never pairs. The forests' components are clusters. Inside a cluster all pairs are confirmed on
 full sets, again inside tasks that give back a forest of the confirmed links; the components of these are the result.
-A bucket or cluster too large for a task is cut into blocks, and each pair of blocks meets in a task of its own, so
-no link is lost. The bands find a pair at similarity 0.8 with probability 1 - (1 - 0.8**ROWS)**BANDS, above 0.999998.
+
+A bucket or cluster too large for a task is cut into blocks. First each block is compared inside and with ``PIVOTS``
+members of the whole group; in a group of near copies this links nearly all of them. Then only members outside the
+group's largest component so far meet all blocks, so no link is lost: two members either met in a block, or are both in
+that component, or one of them is outside. What is moved is in proportion to the group while few are outside.
+
+The bands find a pair at similarity 0.8 with probability 1 - (1 - 0.8**ROWS)**BANDS, above 0.999998.
 
 Defined cases: null and empty texts have no shingles and link with nothing; very long texts are handled whole; ties
 go to the smallest doc_id; rows that repeat a doc_id are one document and each gets a row; a null doc_id keeps its row
@@ -33,6 +38,8 @@ LEAST_AGREEMENT = 0.6
 IDS_SENT = 2_000_000
 #: A set weighs this much at least, so that a part of a cluster holds at most some 2,000 sets, however short the texts.
 LEAST_WEIGHT = 400
+#: Members that every block of a large group is compared with, about.
+PIVOTS = 32
 
 
 def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,13 +99,14 @@ def _digest(hashes: np.ndarray, bounds: np.ndarray, which: int) -> np.ndarray:
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sig", pa.binary()), ("buckets", pa.list_(pa.int64()))])
 
 
-def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n, d1, d2, sig, buckets): set size, set digest, a byte of each place, a bucket for each band."""
+def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, n, d1, d2, sig, buckets): set size, set digest, a byte of each place, a bucket for each band; and ``keep``, long columns."""
     places = bands * rows
-    salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
+    salt, keep = mix(np.arange(1, bands + 1, dtype=np.uint64)), keep or []
+    schema = pa.schema([*_SIGNED, *((c, pa.int64()) for c in keep)])
 
     def run(batches):
-        for c in chunks(batches, ["doc_id", "text"]):
+        for c in chunks(batches, ["doc_id", "text", *keep]):
             k = len(c["doc_id"])
             owner, h = shingle_sets(c["text"], width)
             n = np.bincount(owner, minlength=k)
@@ -106,9 +114,11 @@ def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS
             sig = super_minhash(owner, h, k, places)
             keys = fold_hash([*(sig.reshape(k, bands, rows)[:, :, i] for i in range(rows)), np.broadcast_to(salt, (k, bands))]).view(np.int64)
             low = (mix(sig) & np.uint64(255)).astype(np.uint8)
-            yield batch_of(_SIGNED, doc_id=c["doc_id"], n=n, d1=_digest(h, bounds, 0), d2=_digest(h, bounds, 1), sig=[x.tobytes() for x in low], buckets=list(keys))
+            own = {x: c[x] for x in keep}
+            yield batch_of(schema, doc_id=c["doc_id"], n=n, d1=_digest(h, bounds, 0), d2=_digest(h, bounds, 1), sig=[x.tobytes() for x in low], buckets=list(keys), **own)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sig binary, buckets array<long>")
+    ddl = "doc_id long, n long, d1 long, d2 long, sig binary, buckets array<long>" + "".join(f", `{c}` long" for c in keep)
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, ddl)
 
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("shingles", pa.list_(pa.int64()))])
@@ -179,24 +189,6 @@ def similar(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
 
 
-def in_blocks(rows: DataFrame, group: str, item: str, weight: str, block_weight: int, task_weight: int) -> DataFrame:
-    """rows with (part, block): all rows of a group that must meet, met in tasks of bounded size.
-
-    A group of more than ``block_weight`` is cut into blocks by hash, and each pair of its blocks is a part; small
-    groups are put together until they make about ``task_weight``.
-    """
-    sizes = rows.groupBy(group).agg(F.sum(weight).alias("_weight"), F.count("*").alias("_n")).where("_n > 1")
-    sizes = stored(sizes.select(group, F.ceil(F.col("_weight") / block_weight).cast("int").alias("_blocks"), "_weight"))
-    small = sizes.where("_blocks = 1").agg(F.coalesce(F.sum("_weight"), F.lit(0))).first()[0]
-    tasks = max(1, int(small) // task_weight)
-    out = rows.join(sizes, group).withColumn("_own", F.pmod(F.xxhash64(item), F.col("_blocks")).cast("int"))
-    out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    pair = F.concat_ws("-", group, F.least("_own", "_other"), F.greatest("_own", "_other"))
-    part = F.when(F.col("_blocks") == 1, F.concat(F.lit("s"), F.pmod(F.xxhash64(group), F.lit(tasks)))).otherwise(pair)
-    # a block meets itself in one part, not in two
-    return out.withColumn("part", part).drop("_blocks", "_weight", "_own", "_other")
-
-
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -219,31 +211,63 @@ def _forests(rows: DataFrame, group: str, value: str, connect) -> DataFrame:
         empty = np.zeros(0, np.int64)
         yield batch_of(_EDGES, a=np.concatenate([empty, *a]), b=np.concatenate([empty, *b]))
 
-    return per_group(rows, ["part"], run, "a long, b long").where("a <> b")
+    return per_group(rows.select("part", group, "rep", value), ["part"], run, "a long, b long").where("a <> b")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, class_id (equal sets), component_id, kept."""
-    signed = stored(signatures(docs, width))
+def linked(rows: DataFrame, group: str, value: str, connect, block_weight: int, task_weight: int) -> DataFrame:
+    """Edges (a, b) that connect, in each group of rows (group, rep, w, value), what ``connect`` connects.
+
+    Groups of up to ``block_weight`` are put together until they make about ``task_weight``; larger ones go in blocks.
+    """
+    sizes = rows.groupBy(group).agg(F.sum("w").alias("_weight"), F.count("*").alias("_n")).where("_n > 1")
+    sizes = stored(sizes.select(group, F.ceil(F.col("_weight") / block_weight).cast("int").alias("_blocks"), "_weight", "_n"))
+    totals = sizes.agg(F.coalesce(F.sum(F.when(F.col("_blocks") == 1, F.col("_weight"))), F.lit(0)), F.count_if(F.col("_blocks") > 1)).first()
+    placed = rows.join(sizes, group).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int"))
+    small = placed.where("_blocks = 1").withColumn("part", F.concat(F.lit("s"), F.pmod(F.xxhash64(group), F.lit(max(1, int(totals[0]) // task_weight)))))
+    if not totals[1]:
+        return _forests(small, group, value, connect)
+    large = placed.where("_blocks > 1")
+    blocks = F.sequence(F.lit(0), F.col("_blocks") - 1)
+    pivots = large.where(F.pmod(F.xxhash64("rep", F.lit(7)), F.col("_n")) < PIVOTS).withColumn("_block", F.explode(blocks)).where("_block <> _own")
+    at_home = large.withColumn("_block", F.col("_own")).unionByName(pivots).withColumn("part", F.concat_ws("-", group, "_block")).drop("_block")
+    first = stored(_forests(small.unionByName(at_home), group, value, connect))
+    of = connected_components(first).toDF("rep", "_component")
+    known = stored(large.select(group, "rep", "w").join(of, "rep", "left").select(group, "rep", "w", F.coalesce("_component", "rep").alias("_component")))
+    main = known.groupBy(group, "_component").agg(F.count("*").alias("n")).groupBy(group).agg(F.max_by("_component", F.struct("n", "_component")).alias("_main"))
+    outside = stored(known.join(F.broadcast(main), group).where("_component <> _main").select(group, "rep", "w"))
+    parts = outside.groupBy(group).agg(F.ceil(F.sum("w") / block_weight).cast("int").alias("_chunks"))
+    cut = large.join(F.broadcast(parts), group)
+    chunks_ = F.sequence(F.lit(0), F.col("_chunks") - 1)
+    everyone = cut.withColumn("_chunk", F.explode(chunks_)).withColumn("_block", F.col("_own"))
+    guests = cut.join(outside.select(group, "rep"), [group, "rep"]).withColumn("_chunk", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("_chunks")).cast("int")).withColumn("_block", F.explode(blocks))
+    met = everyone.unionByName(guests.where("_block <> _own").select(*everyone.columns)).withColumn("part", F.concat_ws("-", group, "_block", "_chunk"))
+    return first.unionByName(_forests(met, group, value, connect))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, keep: list[str] | None = None) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_shingles, class_id (equal sets), component_id, kept; and ``keep``, long columns of docs."""
+    keep = keep or []
+    signed = stored(signatures(docs, width, keep=keep))
     classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("buckets").alias("buckets"))
     classes = stored(classes)
     least = int(LEAST_AGREEMENT * PLACES)
     members = classes.select("rep", F.explode(F.array_distinct("buckets")).alias("bucket"), F.lit(1).alias("w"))
     # signatures join those that share a bucket only after the others are gone
-    crowded = in_blocks(members, "bucket", "rep", "w", 1000, 20_000).join(classes.select("rep", "sig"), "rep")
-    alike = _forests(crowded, "bucket", "sig", lambda x: agreement(np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1), least))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    crowded = stored(members.join(shared, "bucket").join(classes.select("rep", "sig"), "rep"))
+    alike = linked(crowded, "bucket", "sig", lambda x: agreement(np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1), least), 1000, 20_000)
     clusters = stored(connected_components(alike).toDF("rep", "cluster"))
     crowd = classes.select("rep", "n", "d1", "d2").join(clusters, "rep")
     ids = clusters.select(F.col("rep").alias("doc_id"))
     sets = full_sets(docs.join(F.broadcast(ids) if ids.count() <= IDS_SENT else ids, "doc_id", "left_semi"), width)
     sets = stored(crowd.join(sets.withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "n", "d1", "d2"]), ["rep", "n", "d1", "d2"]).select("cluster", "rep", "n", "shingles"))
     sets = sets.withColumn("w", F.greatest("n", F.lit(LEAST_WEIGHT)))
-    links = _forests(in_blocks(sets, "cluster", "rep", "w", 400_000, 800_000), "cluster", "shingles", lambda x: similar([np.asarray(v.values) for v in x], percent))
+    links = linked(sets, "cluster", "shingles", lambda x: similar([np.asarray(v.values) for v in x], percent), 400_000, 800_000)
     found = connected_components(links).toDF("rep", "component")
     class_of = classes.join(found, "rep", "left").select("n", "d1", "d2", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n", "d1", "d2").join(class_of, ["n", "d1", "d2"], "left")
+    out = signed.select("doc_id", "n", "d1", "d2", *keep).join(class_of, ["n", "d1", "d2"], "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *keep)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
