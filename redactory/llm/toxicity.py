@@ -12,7 +12,8 @@
 5. Those documents are then counted too: the table that scores holds all labelled training documents.
 
 The table (``BUCKETS`` entries) and the fitting sample are bounded whatever the corpus. Texts are scored where they
-are read. Labels are sent to the workers while they are few, else joined.
+are read. Labels are sent to the workers while there are ``LABELS_SENT`` at most (some 50 MB), else joined by shuffle,
+once for all passes.
 
 Defined cases: null and empty texts have no tokens and get the score of no segment; very long texts are scanned whole;
 of several labels of a doc_id the largest counts; rows that repeat a doc_id are scored each; without training labels
@@ -34,7 +35,7 @@ from redactory.llm.common import Words, batch_of, chunks, held_out, mix, per_gro
 
 BUCKETS, SLICE = 1 << 21, 1 << 16
 PREFIX_BYTES = (4, 5, 6, 7, 8, 10)
-PRIOR, DRIFT, MAX_E, FIT_ROWS, LABELS_SENT = 8.0, 1.0, 0.01, 20_000, 2_000_000
+PRIOR, DRIFT, MAX_E, FIT_ROWS, LABELS_SENT = 8.0, 1.0, 0.01, 20_000, 500_000
 #: Bins of token scores, for lambda.
 _STEP, _LOW, _BINS = 0.05, -8.0, 400
 
@@ -56,8 +57,8 @@ def _rows(toxic: np.ndarray, total: np.ndarray, first: int, tokens: int, toxic_t
         at = np.flatnonzero(total[own])
         if len(at):
             yield batch_of(
-                _COUNTS, slice=[first + s], at=[at.astype("<u2").tobytes()], toxic=[toxic[own][at].astype("<u4").tobytes()],
-                all=[total[own][at].astype("<u4").tobytes()], tokens=[tokens], toxic_tokens=[toxic_tokens],
+                _COUNTS, slice=[first + s], at=[at.astype("<u2").tobytes()], toxic=[toxic[own][at].astype("<u8").tobytes()],
+                all=[total[own][at].astype("<u8").tobytes()], tokens=[tokens], toxic_tokens=[toxic_tokens],
             )
             tokens = toxic_tokens = 0
 
@@ -82,8 +83,8 @@ def count_tokens(labelled: DataFrame) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 at = np.frombuffer(r["at"], "<u2")
-                toxic[at] += np.frombuffer(r["toxic"], "<u4")
-                total[at] += np.frombuffer(r["all"], "<u4")
+                toxic[at] += np.frombuffer(r["toxic"], "<u8").astype(np.int64)
+                total[at] += np.frombuffer(r["all"], "<u8").astype(np.int64)
                 tokens, toxic_tokens = tokens + r["tokens"], toxic_tokens + r["toxic_tokens"]
         yield from _rows(toxic, total, key[0], tokens, toxic_tokens)
 
@@ -115,7 +116,7 @@ def _table(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, int, int]:
     toxic, every = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
     for r in rows:
         at = r["slice"] * SLICE + np.frombuffer(bytes(r["at"]), "<u2").astype(np.int64)
-        toxic[at], every[at] = np.frombuffer(bytes(r["toxic"]), "<u4"), np.frombuffer(bytes(r["all"]), "<u4")
+        toxic[at], every[at] = np.frombuffer(bytes(r["toxic"]), "<u8"), np.frombuffer(bytes(r["all"]), "<u8")
     return toxic, every, sum(r["tokens"] for r in rows), sum(r["toxic_tokens"] for r in rows)
 
 
@@ -195,7 +196,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model |
     marks = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = stored(marks.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"), fold.alias("fold")).where("fold > 0"))
     total, bad = marks.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    labelled = docs.select("doc_id", "text").join(F.broadcast(marks) if total <= LABELS_SENT else marks, "doc_id")
+    labelled = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id") if total <= LABELS_SENT else stored(docs.select("doc_id", "text").join(marks, "doc_id"))
     if not 0 < bad < total:
         return bad / total if total else 0.0
     last = F.col("fold") == folds - 1
