@@ -7,14 +7,15 @@ mixed by the Good-Turing mass of bigrams seen once. The filter errs upwards only
 
 The filter is cut into blocks by hash, sized from the text volume, so that each is made in a task of bounded size from
 counts that its tasks have united. It goes to the workers while filter and exact unigram counts have at most
-``limit_bytes``. Beyond that texts are bundled, their n-grams are sent to the blocks, and the answers come back to the
-bundles: the same probes of the same bits, so the same scores.
+``limit_bytes``. Beyond that texts are bundled, their distinct n-grams are sent to groups of ``GROUP`` blocks, and the
+answers come back to the bundles: the same probes of the same bits, so the same scores. A group's bits are copied once
+for each ``ASKED_BYTES`` of questions, so what is moved is in proportion to the text.
 
 Words are known by 64-bit hashes (see ``common.Words``); exact counts are exact up to their collisions.
 
-Defined cases: a null or empty text is just its end token; very long texts are scored whole; rows that repeat are
-scored each, and count each in training; a null doc_id is in training (its key is the empty text's, crc32 0 is
-held out); an empty table gives no rows; a corpus without training rows has N = V = 0; other columns are ignored.
+Defined cases: a null or empty text is just its end token; very long texts are scored whole, some tokens at a
+time; rows that repeat are scored each, and count each in training; a null doc_id is held out (its key is the empty
+text's, and crc32 of that is 0); an empty table gives no rows; a corpus without training rows has N = V = 0; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from redactory.llm.common import Words, batch_of, chunks, fold_hash, held_out, m
 BITS_PER_EVENT, PROBES = 9, 5
 BLOCK_CHARS = 16_000_000
 LIMIT_BYTES = 256 << 20
+GROUP, ASKED_BYTES, BUNDLE_CHARS, STEP_TOKENS = 16, 32 << 20, 4 << 20, 1 << 20
 END, START = np.uint64(0xE4D0), np.uint64(0x57A7)
 
 
@@ -192,7 +194,7 @@ class Totals:
 
 def _asked(tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct tokens and contexts, distinct bigrams, all as the hashes the filter knows."""
-    singles = np.unique(np.concatenate([tokens, [START]]).astype(np.uint64))
+    singles = np.unique(np.concatenate([tokens, before[:1], [START]]).astype(np.uint64))
     pairs = fold_hash([before, tokens])
     return singles, np.unique(pairs), pairs
 
@@ -202,20 +204,25 @@ _SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known
 
 def score_texts(ids: list, texts: list, known, totals: Totals) -> pa.RecordBatch:
     """known(singles, pairs) -> exact counts and levels of singles, levels of pairs."""
-    _, tokens, before, bounds = ngrams(texts)
-    singles, distinct, pairs = _asked(tokens, before)
-    exact, level, pair_level = known(singles, distinct)
-    at, ctx = np.searchsorted(singles, tokens), np.searchsorted(singles, before)
+    _, all_tokens, all_before, bounds = ngrams(texts)
     size = totals.tokens + 0.1 * (totals.types + 1)
-    base = np.log10((exact[at] + 0.1) / size)
-    single = MIDDLE[level]
-    unigram = (single[at] + 0.1) / size
-    context = single[ctx]
-    both = np.minimum(MIDDLE[pair_level][np.searchsorted(distinct, pairs)], context)
-    bigram = np.divide(both, context, out=np.zeros(len(both)), where=context > 0)
-    p = np.where(context > 0, totals.weight * bigram + (1 - totals.weight) * unigram, unigram)
-    add = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  every text has its end token
-    return batch_of(_SCORED, doc_id=ids, n_tokens=np.diff(bounds), n_known=add((exact[at] > 0).astype(np.int64)), base_score=add(base), score=add(np.log10(np.minimum(p, 1.0))))
+    n_known, base_sum, score_sum = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
+    owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    for a in range(0, len(all_tokens), STEP_TOKENS):
+        tokens, before, own = all_tokens[a : a + STEP_TOKENS], all_before[a : a + STEP_TOKENS], owner[a : a + STEP_TOKENS]
+        singles, distinct, pairs = _asked(tokens, before)
+        exact, level, pair_level = known(singles, distinct)
+        at, ctx = np.searchsorted(singles, tokens), np.searchsorted(singles, before)
+        base = np.log10((exact[at] + 0.1) / size)
+        single = MIDDLE[level]
+        unigram = (single[at] + 0.1) / size
+        context = single[ctx]
+        both = np.minimum(MIDDLE[pair_level][np.searchsorted(distinct, pairs)], context)
+        bigram = np.divide(both, context, out=np.zeros(len(both)), where=context > 0)
+        p = np.where(context > 0, totals.weight * bigram + (1 - totals.weight) * unigram, unigram)
+        for total, values in ((n_known, exact[at] > 0), (base_sum, base), (score_sum, np.log10(np.minimum(p, 1.0)))):
+            total += np.bincount(own, values, len(texts))
+    return batch_of(_SCORED, doc_id=ids, n_tokens=np.diff(bounds), n_known=n_known.astype(np.int64), base_score=base_sum, score=score_sum)
 
 
 _SCORED_DDL = "doc_id long, n_tokens long, n_known long, base_score double, score double"
@@ -243,7 +250,7 @@ def _scored_by_exchange(docs: DataFrame, blocks: DataFrame, n_blocks: int, total
     reply = pa.schema([("bundle", pa.string()), ("hashes", pa.binary()), ("counts", pa.binary()), ("levels", pa.binary())])
 
     def tie(batches):
-        for c in chunks(batches, ["doc_id", "text"]):
+        for c in chunks(batches, ["doc_id", "text"], size=BUNDLE_CHARS):
             yield batch_of(bundle, bundle=[uuid.uuid4().hex], ids=[c["doc_id"]], texts=[c["text"]])
 
     def asking(batches):
@@ -252,16 +259,19 @@ def _scored_by_exchange(docs: DataFrame, blocks: DataFrame, n_blocks: int, total
                 _, tokens, before, _ = ngrams(r["texts"])
                 singles, distinct, _ = _asked(tokens, before)
                 h = np.unique(np.concatenate([singles, distinct]))
-                block = (h % np.uint64(n_blocks)).astype(np.int64)
-                for k in np.unique(block):
-                    yield batch_of(ask, block=[k], bundle=[r["bundle"]], hashes=[h[block == k].tobytes()])
+                block = (h % np.uint64(n_blocks)).astype(np.int64) // GROUP
+                order = np.argsort(block, kind="stable")
+                found, first = np.unique(block[order], return_index=True)
+                edges = [*first.tolist(), len(h)]
+                hashes = [h[order[x:z]].tobytes() for x, z in zip(edges[:-1], edges[1:])]
+                yield batch_of(ask, block=found, bundle=[r["bundle"]] * len(found), hashes=hashes)
 
     def answering(batches):
         for b in batches:
             for r in b.to_pylist():
                 part = Filter(n_blocks)
-                if r["bits"] is not None:
-                    part.add(r["block"], r["bits"], r["n_bits"], r["keys"], r["counts"])
+                for x in r["parts"] or []:
+                    part.add(x["block"], x["bits"], x["n_bits"], x["keys"], x["counts"])
                 part.close()
                 for name, packed in zip(r["bundles"], r["hashes"]):
                     h = np.frombuffer(packed, np.uint64)
@@ -282,10 +292,10 @@ def _scored_by_exchange(docs: DataFrame, blocks: DataFrame, n_blocks: int, total
 
     bundles = stored(docs.select("doc_id", "text").mapInArrow(tie, "bundle string, ids array<long>, texts array<string>"))
     asks = bundles.mapInArrow(asking, "block int, bundle string, hashes binary")
-    # a block answers a bounded number of bundles at once; its bits are copied to each such share
-    share = F.pmod(F.xxhash64("bundle"), F.lit(max(1, n_blocks // 16))).alias("share")
+    share = F.pmod(F.xxhash64("bundle"), F.lit(max(1, -(-3 * text_volume(docs) // (ASKED_BYTES * -(-n_blocks // GROUP)))))).alias("share")
     shared = asks.groupBy("block", share).agg(F.collect_list("bundle").alias("bundles"), F.collect_list("hashes").alias("hashes"))
-    replies = shared.join(blocks.select("block", "bits", "n_bits", "keys", "counts"), "block", "left").mapInArrow(answering, "bundle string, hashes binary, counts binary, levels binary")
+    grouped = blocks.groupBy(F.floor(F.col("block") / GROUP).cast("int").alias("block")).agg(F.collect_list(F.struct("block", "bits", "n_bits", "keys", "counts")).alias("parts"))
+    replies = shared.join(grouped, "block", "left").mapInArrow(answering, "bundle string, hashes binary, counts binary, levels binary")
     gathered = replies.groupBy("bundle").agg(*(F.collect_list(F.struct("hashes", c)).alias(c) for c in ("counts",)), F.collect_list(F.struct("hashes", "levels")).alias("levels"))
     gathered = gathered.select("bundle", F.transform("counts", lambda x: x["hashes"]).alias("hashes"), F.transform("counts", lambda x: x["counts"]).alias("counts"), F.transform("levels", lambda x: x["levels"]).alias("levels"))
     return bundles.join(gathered, "bundle").mapInArrow(scoring, _SCORED_DDL)
