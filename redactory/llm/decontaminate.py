@@ -9,8 +9,8 @@ the target recall (tested on edited copies), and every candidate is verified by
 Before the walk, windows that cannot match go: k edits leave all but 2k of an item's word pairs intact (the q-gram
 lemma), so a window needs that many pairs of the benchmark. This loses no match.
 
-The benchmark is the stated query set: it is taken in blocks of ``BLOCK_ITEMS``, each sent to the workers and run
-against all documents where they lie; no text is shuffled.
+The benchmark is the stated query set: it is taken in blocks of ``BLOCK_ITEMS`` items or ``BLOCK_CHARS`` characters, each
+sent to the workers and run against all documents where they lie; no text is shuffled.
 
 Defined cases: null and empty texts and items match nothing; items under five words must match exactly; very long texts
 are searched whole; of equal matches in a text the first counts; rows that repeat a doc_id are searched each; equal
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from redactory.llm.common import Words, batch_of, chunks, fold_hash, mix, read_table
 
-BLOCK_ITEMS = 20_000
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 4 << 20
 REPETITIONS, SAMPLED = 24, 2
 #: Edits allowed, as a share of the item's words.
 EDITS = 5  # one in five
@@ -133,11 +133,11 @@ class Index:
             self.classes.append((int(size), most, int(size) - 1 - 2 * most - int(echoes[own].max()), tables))
 
     def candidates(self, tokens: np.ndarray, bounds: np.ndarray) -> set[tuple[int, int]]:
-        """(item, start) pairs in which the item may start near that token."""
+        """(item, start) pairs in which the item may start near that token; an item cut at its head starts with its text."""
         found: set[tuple[int, int]] = set()
         if not len(tokens) or not self.items:
             return found
-        owner_end = np.repeat(bounds[1:], np.diff(bounds))
+        owner_start, owner_end = np.repeat(bounds[:-1], np.diff(bounds)), np.repeat(bounds[1:], np.diff(bounds))
         pairs = fold_hash([tokens[:-1], tokens[1:]])
         in_pairs = _in(pairs, self.pairs) & ~_echoes(pairs)  # a run of one word is no evidence
         in_pairs[bounds[1:-1][(bounds[1:-1] > 0) & (bounds[1:-1] < len(tokens))] - 1] = False  # not across texts
@@ -155,7 +155,8 @@ class Index:
             row, at = np.nonzero(high > low)
             n = (high - low)[row, at]
             pick = np.repeat(low[row, at] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            near = np.stack([values[pick, 0], np.repeat(starts[at], n) - values[pick, 1]], axis=1)
+            seen = np.repeat(starts[at], n)
+            near = np.stack([values[pick, 0], np.maximum(seen - values[pick, 1], owner_start[seen])], axis=1)
             found.update(map(tuple, np.unique(near, axis=0).tolist()))
         return found
 
@@ -209,11 +210,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK
 
         return docs.select("doc_id", "text").mapInArrow(run, _FOUND_DDL)
 
-    out, block = None, []
+    out, block, chars = None, [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         block.append((row["item_id"], row["text"] or ""))
-        if len(block) == block_items:
-            out, block = search(block) if out is None else out.unionByName(search(block)), []
+        chars += len(block[-1][1])
+        if len(block) == block_items or chars >= BLOCK_CHARS:
+            out, block, chars = search(block) if out is None else out.unionByName(search(block)), [], 0
     if block or out is None:
         out = search(block) if out is None else out.unionByName(search(block))
     return out
