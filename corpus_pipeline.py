@@ -31,15 +31,28 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the least doc_id stays; a null doc_id stays."""
-    gone = near_duplicates(docs, width=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies (five-word shingles, similarity 0.8) the least doc_id stays; a null doc_id stays.
+
+    Rows are compared by text and told apart by doc_id and text: of rows that share a doc_id only those go whose own
+    text is a copy, and of rows equal in both one stays. Texts without words are no copies.
+    """
+    text_key = F.xxhash64("text").alias("text_key")
+    rows = near_duplicates(docs.select(F.xxhash64("text").alias("doc_id"), "text", F.col("doc_id").alias("own_id")), width=5, percent=80, keep=["own_id"])
+    near = stored(rows.where("n_shingles > 0 AND own_id IS NOT NULL").select(F.col("own_id").alias("doc_id"), F.col("doc_id").alias("text_key"), "component_id"))
+    groups = near.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("keeper"), F.count("*").alias("n")).where("n > 1")
+    gone = near.join(groups, "component_id").where("doc_id <> keeper.doc_id OR text_key <> keeper.text_key").select("doc_id", "text_key").distinct()
+    left = docs.select("*", text_key).join(gone, ["doc_id", "text_key"], "left_anti")
+    twice = near.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_key")
+    if not twice.isEmpty():
+        left = left.join(twice, ["doc_id", "text_key"], "left_anti").unionByName(left.join(twice, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"]))
+    return left.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, or nearly, go."""
-    found = contaminated(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a benchmark item, or nearly, go: rows are known by their text, so a null doc_id is no shelter."""
+    text_key = F.xxhash64("text")
+    found = contaminated(docs.select(text_key.alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("text_key")).distinct()
+    return docs.withColumn("text_key", text_key).join(found, "text_key", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Each stage on a table with planted cases, and on odd and empty ones."""
 
+import collections
 import random
 
 import corpus_pipeline
@@ -32,3 +33,18 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in packed} == kept["decontamination"].keys()
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, table([]), str(tmp_path)).count() == 0
+
+
+def test_rows_of_one_id_and_of_none(spark, tmp_path):
+    """Stages decide by row: a copy goes, another text of its id stays; a null doc_id hides nothing."""
+    rng = random.Random(22)
+    prose = lambda n: " ".join(f"t{rng.randrange(3000)}" for _ in range(n))
+    a, b, c = prose(80), prose(80), prose(80)
+    item = "b1 b2 b3 b4 b5 b6 b7 b8 b9"
+    rows = [(1, a), (7, a + " more"), (7, b), (8, c), (8, c), (None, a), (None, f"{prose(9)} {item} {prose(9)}"), (9, f"{item} {prose(9)}"), (9, prose(30)), (10, ""), (11, ""), (12, None)]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_each(spark, table, str(tmp_path)).collect())
+    assert kept == collections.Counter(x for x in rows if x != (7, a + " more")) - collections.Counter([(8, c)])
+    clean = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_contaminated(spark, table, str(tmp_path)).collect())
+    assert clean == collections.Counter(x for x in rows if item not in (x[1] or ""))
