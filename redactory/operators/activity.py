@@ -47,3 +47,16 @@ def first_of_each(log: DataFrame, key: list[str]) -> DataFrame:
     """One entry for each key, the first by id; combined before the shuffle."""
     rest = [c for c in log.columns if c not in key]
     return log.groupBy(*key).agg(F.min_by(F.struct(*rest), "event_id").alias("r")).select(*key, "r.*")
+
+
+def numbered_log(log: DataFrame, last_id: int = 0, size: int = 100_000) -> DataFrame:
+    """log with ``id``: numbers after ``last_id`` in order of event_id, without gaps.
+
+    Runs of event ids are numbered each by itself after those before them; only the runs' sizes meet in one place.
+    """
+    runs = log.withColumn("_run", F.floor(F.col("event_id") / size))
+    sizes = runs.groupBy("_run").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_run", before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_run").orderBy("event_id"))
+    return runs.withColumn("id", inside).join(starts, "_run").withColumn("id", (F.col("id") + F.col("_before") + last_id).cast("long")).drop("_run", "_before")

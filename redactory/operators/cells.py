@@ -60,3 +60,52 @@ def title_if_lower(c: Column) -> Column:
 def slug(c: Column) -> Column:
     """Lower case, underscores for spaces, and four characters of a hash for distinctness."""
     return F.concat(F.regexp_replace(F.regexp_replace(F.lower(c), r"\s+", "_"), "[^a-z0-9_]", ""), F.lit("_"), F.substring(F.md5(c.cast("binary")), 1, 4))
+
+
+def short_date(c: Column) -> Column:
+    """Day, month and two digits of the year; a dash for none; what is no date as it is."""
+    return F.when(c.isNull() | (c == ""), "–").otherwise(F.coalesce(F.date_format(F.try_to_date(c, "yyyy-MM-dd"), "d MMM yy"), c))
+
+
+def recased(c: Column) -> Column:
+    """Every word between spaces with a capital and the rest in lower case."""
+    return F.array_join(F.transform(F.split(c, " ", -1), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30)))), " ")
+
+
+def escaped_html(c: Column) -> Column:
+    out = F.coalesce(c, F.lit(""))
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(mark), F.lit(entity))
+    return out
+
+
+def one_spaced(c: Column) -> Column:
+    """Runs of white space as one space, none at the ends; null is ''."""
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+
+
+def diet_label(c: Column) -> Column:
+    """The first ``no_`` and then the first underscore give way to a space."""
+    once = lambda x, mark, to: F.when(F.contains(x, F.lit(mark)), F.concat(F.substring_index(x, mark, 1), F.lit(to), F.substring(x, F.length(F.substring_index(x, mark, 1)) + 1 + len(mark), F.lit(1 << 30)))).otherwise(x)
+    return once(once(c, "no_", "no "), "_", " ")
+
+
+def note_head(c: Column, n: int = 40) -> Column:
+    return F.when(c.isNull() | (c == ""), "–").otherwise(F.concat(F.substring(c, 1, n), F.when(F.length(c) > n, "…").otherwise("")))
+
+
+def file_size(n: Column) -> Column:
+    """Bytes, KB or MB; one decimal, halves upwards."""
+
+    def text(scale: int, unit: str) -> Column:
+        tenths = F.floor(n * 10 / scale + 0.5).cast("long")
+        return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(unit))
+
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, text(1024, " KB")).otherwise(text(1 << 20, " MB"))
+
+
+def with_suspension(note: Column, suspension: Column) -> Column:
+    """The note with a holiday suspension below it, under a heading of its own."""
+    own = F.concat(F.lit("Holiday Suspension:\n"), stripped(suspension))
+    kept = F.coalesce(note, F.lit(""))
+    return F.when(stripped(F.coalesce(suspension, F.lit(""))) == "", kept).when(kept == "", own).otherwise(F.concat(kept, F.lit("\n\n"), own))

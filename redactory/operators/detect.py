@@ -26,9 +26,10 @@ def _clean(d, text: str) -> str:
 def _raw(d, k: int) -> str:
     """Matches of rule k as structs (m, s, i) from its marked segments."""
     seg = f"g{k}"
-    if d.name == "spark":
-        position = f"aggregate(slice({seg}, 1, i + 1), CAST(0 AS BIGINT), (a, y) -> a + length(y)) - i"
-        return f"transform({d.tail(seg)}, (y, i) -> named_struct('m', substring_index(y, char(2), 1), 's', {position}, 'i', CAST(i AS BIGINT)))"
+    if d.name == "spark":  # one pass that carries the place
+        found = "named_struct('m', substring_index(y, char(2), 1), 's', a.p, 'i', CAST(size(a.o) AS BIGINT))"
+        start = f"named_struct('p', CAST(length(element_at({seg}, 1)) AS BIGINT), 'o', {d.empty({'m': 'string', 's': 'bigint', 'i': 'bigint'})})"
+        return f"aggregate({d.tail(seg)}, {start}, (a, y) -> named_struct('p', a.p + length(y) - 1, 'o', array_append(a.o, {found})), a -> a.o)"
     position = f"CAST(list_sum(list_transform({seg}[1:i], lambda z: length(z))) - (i - 1) AS BIGINT)"
     return f"list_transform({d.tail(seg)}, lambda y, i: {{'m': split_part(y, chr(2), 1), 's': {position}, 'i': CAST(i - 1 AS BIGINT)}})"
 
@@ -44,11 +45,34 @@ def _found(d, k: int) -> str:
 
 
 #: Spark can look ahead, so the token rule need not list every long word there; the same tokens result.
-_SPARK_PATTERNS = {"password_token": r"(?:^|\s)(?=\S{0,63}[a-z])(?=\S{0,63}[A-Z])(?=\S{0,63}\d)(?=\S{0,63}[^A-Za-z0-9\s])\S{8,64}"}
+_TOKEN = r"(?:^|\s)(?=\S{0,63}[a-z])(?=\S{0,63}[A-Z])(?=\S{0,63}\d)(?=\S{0,63}[^A-Za-z0-9\s])\S{8,64}"
+#: The characters with which a match can begin: looked at first, as most places of a text are none.
+_FIRST = {
+    "credit_card": "0-9", "medicare": "2-6", "tfn": "0-9", "abn": "0-9", "acn": "0-9", "passport": "A-Z", "licence": "dl", "bsb": "0-9", "bank_account": "0-9", "phone_au": "+60", "phone_service": "1",
+    "phone_ctx": "0-9", "address": "0-9", "dob_written": "0-3", "dob_numeric": "0-3", "confidential": "cdinp", "business": "artmpevgnc", "health": "mdp0-9scabht", "legal": "lcspd",
+    "immigration": "vsipwbcg", "password_kw": "plcast", "name": "A-Z",
+}
+#: Rules of which a match can begin or end with what is no letter or digit, so that the boundary there looks both ways.
+_LOOSE_START, _LOOSE_END = ["email"], ["credit_card", "legal"]
+
+
+def _spark_pattern(name: str, pattern: str) -> str:
+    """The same matches, found sooner: a boundary beside a letter or digit looks one way only."""
+    if name == "password_token":
+        return _TOKEN
+    flag, body = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
+    parts = body.split(r"\b")
+    out = parts[0]
+    for k, part in enumerate(parts[1:], 1):
+        if (k == 1 and name in _LOOSE_START) or (part == "" and name in _LOOSE_END):
+            out += SPARK.boundary + part
+        else:  # the first boundary is before a word, any other after one
+            out += (r"(?<!\w)" if k == 1 and (not parts[0] or name == "phone_au") else r"(?!\w)") + part
+    return flag + (f"(?=[{_FIRST[name]}])" if name in _FIRST else "") + out
 
 
 def _pattern(d, k: int) -> str:
-    return _SPARK_PATTERNS.get(RULES[k].name, RULES[k].pattern) if d.name == "spark" else RULES[k].pattern
+    return _spark_pattern(RULES[k].name, RULES[k].pattern) if d.name == "spark" else RULES[k].pattern
 
 
 def _steps(d, rules: list[int]) -> list[dict[str, str]]:
@@ -68,7 +92,7 @@ def _steps(d, rules: list[int]) -> list[dict[str, str]]:
         others = d.concat_lists([f"f{k}" for k in rules if k != name])
         types = ", ".join(f"'{t}'" for t in IDENTIFIER_TYPES)
         intro = d.matches("lower(t)", "|".join(INTRO_PHRASES))
-        gate = f"({d.exists(others, 'g', f'g.type IN ({types})')} OR {d.matches('t', BANK_CONTEXT)} OR {intro})"
+        gate = f"({d.exists(others, 'g', f'g.type IN ({types})')} OR {d.matches('t', _spark_pattern('bank', BANK_CONTEXT) if d.name == 'spark' else BANK_CONTEXT)} OR {intro})"
         steps.append({f"f{name}": f"CASE WHEN {gate} THEN f{name} ELSE {d.empty(FIELDS)} END"})
     steps.append({"findings": d.concat_lists([f"f{k}" for k in rules])})
     return steps
@@ -93,10 +117,10 @@ def scan(docs: DataFrame, text: str = "text", rules: list[str] | None = None) ->
     return out.select(*kept, "findings")
 
 
-def scan_sql(source: str, keys: list[str], rules: list[str] | None = None) -> str:
-    """DuckDB: a query that gives ``keys`` and ``findings`` for a relation with a column ``t``."""
+def scan_sql(source: str, keys: list[str], rules: list[str] | None = None, d=DUCK) -> str:
+    """SQL (DuckDB's by default): a query that gives ``keys`` and ``findings`` for a relation with a column ``t``."""
     query, columns = source, [*keys, "t"]
-    for step in _steps(DUCK, _rule_numbers(rules)):
+    for step in _steps(d, _rule_numbers(rules)):
         names = [c for c in columns if c not in step]
         query = f"SELECT {', '.join([*names, *(f'{e} AS {c}' for c, e in step.items())])} FROM ({query})"
         columns = [*names, *step]
@@ -118,14 +142,27 @@ def resolve(scanned: DataFrame) -> DataFrame:
     return scanned.withColumn("findings", F.expr(_resolved(SPARK)))
 
 
-def resolve_sql(scanned: str, keys: list[str]) -> str:
-    return f"SELECT {', '.join(keys)}, {_resolved(DUCK)} AS findings FROM ({scanned})"
+def resolve_sql(scanned: str, keys: list[str], d=DUCK) -> str:
+    return f"SELECT {', '.join([*keys, _resolved(d)])} AS findings FROM ({scanned})"
 
 
 def long_form(scanned: DataFrame) -> DataFrame:
-    """One row a finding."""
+    """One row a finding.
+
+    The outer explode matters: from a plain one the optimizer infers a filter on the size of ``findings``, pushes it
+    below the scan's projections and so writes the whole scan out inside that filter, over and over.
+    """
     keys = [c for c in scanned.columns if c != "findings"]
-    return scanned.select(*keys, F.explode("findings").alias("f")).select(*keys, "f.*")
+    return scanned.select(*keys, F.explode_outer("findings").alias("f")).where("f IS NOT NULL").select(*keys, "f.*")
+
+
+def sensitive(scanned: DataFrame) -> DataFrame:
+    """Rows with a finding, and how many (n_findings).
+
+    Counting is marked as not deterministic, so that the filter stays above the scan (see ``long_form``).
+    """
+    counted = scanned.withColumn("n_findings", F.when(F.spark_partition_id() >= 0, F.size("findings").cast("long")))
+    return counted.where("n_findings > 0")
 
 
 def long_form_sql(scanned: str, keys: list[str]) -> str:

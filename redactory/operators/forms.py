@@ -45,12 +45,24 @@ def form_fields(mails: DataFrame) -> DataFrame:
 
 
 def inquiry_rows(fields: DataFrame) -> DataFrame:
-    """One row a mail, as it joins the roster: status inquiry, class el2d by default, phones marked by parent."""
-    wide = fields.groupBy("mail_id").pivot("name", ["childName", "requestedClass", "gender", "dob", "nationality", "parent1Name", "parent2Name", "parent1Phone", "parent2Phone", "sibling1Name", "sibling2Name", "sibling3Name"]).agg(F.first("value"))
-    gender = F.when(F.startswith(F.lower("gender"), F.lit("f")), "F").when(F.startswith(F.lower("gender"), F.lit("m")), "M").otherwise("X")
-    marked = lambda c, m: F.when(F.col(c) != "", F.concat(F.col(c), F.lit(m)))
+    """One row a mail, as it joins the roster: status inquiry, class el2d by default, contacts marked by parent."""
+    names = sorted({*FIELDS.values(), *DETAILS.values(), "childName", "requestedClass"})
+    wide = fields.groupBy("mail_id").pivot("name", names).agg(F.first("value"))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
+    low = F.lower(text("gender"))
+    gender = F.when(F.startswith(low, F.lit("f")) | F.contains(low, F.lit("girl")), "F").when(F.startswith(low, F.lit("m")) | F.contains(low, F.lit("boy")), "M").otherwise("X")
+    joined = lambda by, *cs: F.array_join(F.array_compact(F.array(*cs)), by)
+    sibling = lambda k: F.when(some(f"sibling{k}Name").isNotNull(), F.struct(F.col(f"sibling{k}Name").alias("name"), text(f"sibling{k}Dob").alias("dob")))
+    parent = lambda k: F.struct(*(text(f"parent{k}{c}").alias(c.lower()) for c in ("Name", "Email", "Phone", "Occupation")))
+    pair = lambda a, b, second: F.when(F.coalesce(some(a), some(b)).isNotNull(), F.struct(text(a).alias("name"), text(b).alias(second)))
+    kept = ["dob", "nationality", "nativeLanguage", "arrivalDate", "intendedStay", "daysRequested", "halfOrFull", "requestedClassRaw", "formCompletedBy", "epipen"]
+    medical = [f"{x}{y}" for x in ("vaccinations", "medicalDisabilities", "medicalProblems", "foodAllergies") for y in ("YesNo", "Details")]
     return wide.select(
-        "mail_id", F.col("childName").alias("name"), gender.alias("gender"), F.coalesce("requestedClass", F.lit("el2d")).alias("class_id"), F.lit("inquiry").alias("status"), "dob", "nationality",
-        F.concat_ws(" & ", F.nullif("parent1Name", F.lit("")), F.nullif("parent2Name", F.lit(""))).alias("parents"), F.concat_ws(" / ", marked("parent1Phone", " (M)"), marked("parent2Phone", " (D)")).alias("phone"),
-        F.concat_ws(", ", "sibling1Name", "sibling2Name", "sibling3Name").alias("siblings"),
+        "mail_id", F.coalesce(some("childName"), some("childNameRaw"), F.lit("Unnamed child")).alias("name"), gender.alias("gender"),
+        F.coalesce(some("requestedClass"), F.lit("el2d")).alias("class_id"), F.lit("inquiry").alias("status"),
+        joined(" / ", some("parent1Name"), some("parent2Name")).alias("parents"), joined("\n", F.concat(some("parent1Phone"), F.lit(" (M)")), F.concat(some("parent2Phone"), F.lit(" (D)"))).alias("phone"),
+        joined("\n", some("parent1Email"), some("parent2Email")).alias("email"), F.array_compact(F.array(sibling(1), sibling(2), sibling(3))).alias("siblings"),
+        parent(1).alias("parent1"), parent(2).alias("parent2"), pair("nannyName", "nannyPhone", "phone").alias("nanny"), pair("doctorName", "doctorContact", "contact").alias("doctor"),
+        *(text(c).alias(c) for c in (*kept, *medical)), text("otherNotes").alias("note"), text("preferredStart").alias("start_date"), F.lit("not_sent").alias("invoice"),
     )

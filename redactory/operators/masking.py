@@ -1,12 +1,14 @@
 """Masking findings with stand-ins and restoring them.
 
 A stand-in is an expression over the type and the real value: the seed is a hash of both, so runs agree. One mapping
-table holds real and fake; a real value that would share a fake with another draws again, once, by its rank.
+table holds real and fake. A real value that would share a fake with another draws again once; if that is taken too, its
+first fake gets a hash of the value as a suffix, so that every fake stands for one value and can be restored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redactory.functions.dialect import DUCK, SPARK
@@ -96,34 +98,81 @@ def _faked(values: DataFrame) -> DataFrame:
     return out.withColumn("fake", F.expr(stand_in(SPARK))).drop("sd", "dg")
 
 
-def mapping(findings: DataFrame) -> DataFrame:
-    """(real, type, fake) for the maskable findings (id, type, value, start): one row a real value.
+def _owners(drawn: DataFrame, *taken: DataFrame) -> DataFrame:
+    """(real, type, fake): the least real value of each fake that is not taken."""
+    out = drawn.groupBy("fake").agg(F.min(F.struct("real", "type")).alias("o")).select("o.real", "o.type", "fake")
+    for t in taken:
+        out = out.join(t.select("fake"), "fake", "left_anti")
+    return out.select("real", "type", "fake")
 
-    A secret's fake is a constant and never told apart. Others that collide draw again by their rank among the
-    values of that fake; a fake is a narrow value, so such groups are small.
+
+def mapping(findings: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """(real, type, fake) for the maskable findings (id, type, value, start): one row a real value, no fake twice.
+
+    A secret's fake is a constant and never told apart. Values that ``existing`` maps keep their fakes and are not
+    returned, and no new fake is one of those. Only aggregations and joins on values: no group is gathered.
     """
     found = findings.where(F.col("type").isin(*MASKABLE_TYPES) & (F.col("value") != ""))
     reals = found.groupBy(F.col("value").alias("real")).agg(F.min_by("type", F.struct("id", "start")).alias("type"))
+    if existing is not None:
+        reals = reals.join(existing.select("real"), "real", "left_anti")
     drawn = written(_faked(reals.withColumn("attempt", F.lit(0))))
-    rank = F.row_number().over(Window.partitionBy("fake").orderBy("real")) - 1
-    told_apart = drawn.where("type <> 'PASSWORD'").withColumn("attempt", rank)
-    again = _faked(told_apart.where("attempt > 0").drop("fake"))
-    return told_apart.where("attempt = 0").unionByName(again).unionByName(drawn.where("type = 'PASSWORD'")).select("real", "type", "fake")
+    taken = [] if existing is None else [existing]
+    told_apart = drawn.where("type <> 'PASSWORD'")
+    first = written(_owners(told_apart, *taken))
+    left = told_apart.join(first.select("real"), "real", "left_anti").select("real", "type", F.col("fake").alias("base"))
+    second = written(_owners(_faked(left.select("real", "type", F.lit(1).alias("attempt"))), first, *taken))
+    suffixed = F.concat("base", F.lit("-"), F.substring(F.md5(F.col("real").cast("binary")), 1, 16)).alias("fake")
+    rest = left.join(second.select("real"), "real", "left_anti").select("real", "type", suffixed)
+    return first.unionByName(second).unionByName(rest).unionByName(drawn.where("type = 'PASSWORD'").select("real", "type", "fake"))
 
 
-def mapping_sql(findings: str) -> str:
+def mapping_sql(findings: str, existing: str | None = None) -> str:
     """DuckDB twin of mapping."""
     types = ", ".join(f"'{t}'" for t in MASKABLE_TYPES)
-    reals = f'SELECT "value" AS real, arg_min("type", id * 100000 + "start") AS type FROM ({findings}) WHERE "type" IN ({types}) AND "value" <> \'\' GROUP BY "value"'
+    known = f"ex AS MATERIALIZED ({existing})" if existing else "ex AS (SELECT '' AS real, '' AS type, '' AS fake WHERE false)"
+    reals = f'SELECT "value" AS real, arg_min("type", id * 100000 + "start") AS type FROM ({findings}) WHERE "type" IN ({types}) AND "value" <> \'\' AND "value" NOT IN (SELECT real FROM ex) GROUP BY "value"'
 
     def faked(q: str) -> str:
         seeded = f"SELECT *, {seed(DUCK, 'type', 'real', 'attempt')} AS sd FROM ({q})"
         return f"SELECT real, type, attempt, {stand_in(DUCK)} AS fake FROM (SELECT *, {drawn_digits(DUCK, 'sd', 15)} AS dg FROM ({seeded}))"
 
-    return f"""WITH drawn AS MATERIALIZED ({faked(f"SELECT *, 0 AS attempt FROM ({reals})")}),
-      ranked AS MATERIALIZED (SELECT real, type, fake, row_number() OVER (PARTITION BY fake ORDER BY real) - 1 AS attempt FROM drawn WHERE type <> 'PASSWORD')
-      SELECT real, type, fake FROM ranked WHERE attempt = 0 UNION ALL SELECT real, type, fake FROM ({faked("SELECT real, type, attempt FROM ranked WHERE attempt > 0")})
-      UNION ALL SELECT real, type, fake FROM drawn WHERE type = 'PASSWORD'"""
+    own = "SELECT min(real) AS real, arg_min(type, real) AS type, fake FROM {0} WHERE type <> 'PASSWORD' AND fake NOT IN (SELECT fake FROM ex){1} GROUP BY fake"
+    first, second = own.format("drawn", ""), own.format("again", " AND fake NOT IN (SELECT fake FROM one)")
+    return f"""WITH {known}, drawn AS MATERIALIZED ({faked(f"SELECT *, 0 AS attempt FROM ({reals})")}), one AS MATERIALIZED ({first}),
+      again AS MATERIALIZED ({faked("SELECT real, type, 1 AS attempt FROM drawn WHERE type <> 'PASSWORD' AND real NOT IN (SELECT real FROM one)")}), two AS MATERIALIZED ({second})
+      SELECT real, type, fake FROM one UNION ALL SELECT real, type, fake FROM two UNION ALL SELECT real, type, fake FROM drawn WHERE type = 'PASSWORD'
+      UNION ALL SELECT real, type, fake || '-' || substr(md5(real), 1, 16) FROM drawn WHERE type <> 'PASSWORD' AND real NOT IN (SELECT real FROM one) AND real NOT IN (SELECT real FROM two)"""
+
+
+def preview(values: DataFrame, existing: DataFrame) -> DataFrame:
+    """values (real, type) with the fake each would get, registered nowhere: the known one, or a draw that is not taken."""
+    known = values.join(existing.select("real", F.col("fake").alias("known")), "real", "left")
+    drawn = _faked(known.withColumn("attempt", F.lit(0))).withColumnRenamed("fake", "one")
+    drawn = _faked(drawn.withColumn("attempt", F.lit(1))).withColumnRenamed("fake", "two").drop("attempt")
+    taken = existing.select(F.col("fake").alias("one"), F.lit(True).alias("is_taken")).distinct()
+    return drawn.join(taken, "one", "left").select("real", "type", F.coalesce("known", F.when(F.col("is_taken"), F.col("two")).otherwise(F.col("one"))).alias("fake"))
+
+
+def registered(existing: DataFrame, pairs: DataFrame) -> DataFrame:
+    """existing and pairs (real, fake, type); a real value that is known keeps its fake, a missing type is CUSTOM."""
+    new = pairs.groupBy("real").agg(F.min(F.struct("fake", F.coalesce("type", F.lit("CUSTOM")).alias("type"))).alias("p")).join(existing.select("real"), "real", "left_anti")
+    return existing.select("real", "type", "fake").unionByName(new.select("real", "p.type", "p.fake"))
+
+
+def unregistered(existing: DataFrame, reals: DataFrame) -> DataFrame:
+    return existing.join(reals.select("real"), "real", "left_anti")
+
+
+def changed(existing: DataFrame, changes: DataFrame) -> DataFrame:
+    """existing with the fakes of changes (real, fake), also for values that were not known."""
+    types = existing.select("real", "type")
+    return registered(unregistered(existing, changes), changes.join(types, "real", "left"))
+
+
+def pruned(log: DataFrame, fakes: DataFrame) -> DataFrame:
+    """log (kind, fake, ...) without the mask entries of these fakes."""
+    return log.join(fakes.select("fake", F.lit("mask").alias("kind")).distinct(), ["kind", "fake"], "left_anti").select(*log.columns)
 
 
 def mask(scanned: DataFrame, table: DataFrame) -> DataFrame:
@@ -149,21 +198,91 @@ def restore_literal(masked: DataFrame) -> DataFrame:
     return masked.withColumn("restored", F.expr(f"aggregate({order}, masked, (a, x) -> replace(a, x.fake, x.value))"))
 
 
+def mask_sql(scanned: str, table: str) -> str:
+    """DuckDB twin of mask and restore_literal: id, t, masked, n_swaps, restored."""
+    types = ", ".join(f"'{t}'" for t in MASKABLE_TYPES)
+    here = "substr(t, CAST(x.start + 1 AS INT), CAST(length(x.value) AS INT)) = x.value"
+    splice = f"list_reduce(list_filter(swaps, lambda x: {here}), lambda a, x: {{'s': a.s || substr(t, a.p + 1, x.start - a.p) || x.fake, 'p': x.start + length(x.value)}}, {{'s': '', 'p': CAST(0 AS BIGINT)}})"
+    return f"""WITH scanned AS MATERIALIZED ({scanned}), pairs AS MATERIALIZED ({table}),
+      listed AS (SELECT id, list_sort(list({{'start': f.start, 'value': f.value, 'fake': fake, 'type': f.type}})) AS swaps FROM (SELECT id, unnest(findings) AS f FROM scanned) JOIN pairs ON pairs.real = f.value WHERE f.type IN ({types}) GROUP BY id),
+      spliced AS (SELECT id, t, swaps, {splice} AS p FROM scanned JOIN listed USING (id)),
+      masked AS (SELECT id, t, swaps, list_reduce(list_filter(swaps, lambda x: NOT ({here})), lambda a, x: replace(a, x.value, x.fake), p.s || substr(t, p.p + 1)) AS masked FROM spliced
+        UNION ALL SELECT id, t, [], t FROM scanned WHERE id NOT IN (SELECT id FROM listed)),
+      ordered AS (SELECT *, list_sort(list_distinct(list_transform(swaps, lambda x: {{'n': -length(x.fake), 'fake': x.fake, 'value': x.value}}))) AS back FROM masked)
+      SELECT id, t, masked, CAST(len(swaps) AS BIGINT) AS n_swaps, list_reduce(back, lambda a, x: replace(a, x.fake, x.value), masked) AS restored FROM ordered"""
+
+
 def restore_rules(table: DataFrame) -> DataFrame:
-    """(pattern, to, n) rules from a mapping: whole values with loose gaps, and parts of names; n orders longest first."""
+    """(fake, real, pattern, to, n, head) rules from a mapping: whole values with loose gaps, and parts of names.
+
+    n orders longest first; head is the fake's run of letters and digits that the fewest rules share, '' if it has none.
+    """
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     names = table.where("type = 'NAME_PII'").select(words("fake").alias("f"), words("real").alias("r")).where("size(f) = size(r) AND size(f) > 1")
     parts = names.select(F.explode(F.arrays_zip("f", "r")).alias("x")).select(F.col("x.f").alias("fake"), F.col("x.r").alias("real")).where("length(fake) > 1")
     rules = table.select("fake", "real").unionByName(parts).groupBy("fake").agg(F.min("real").alias("real"))
     quoted = F.transform(words("fake"), lambda w: F.regexp_replace(w, r"([.*+?^${}()|\[\]\\/-])", r"\\$1"))
     body = F.concat(F.lit("(?<![A-Za-z0-9])"), F.array_join(quoted, r"[\s,]+"), F.lit("(?![A-Za-z0-9])"))
-    return rules.select("fake", body.alias("pattern"), F.regexp_replace("real", r"([\\$])", r"\\$1").alias("to"), F.length("fake").alias("n"))
+    made = rules.select("fake", "real", body.alias("pattern"), F.regexp_replace("real", r"([\\$])", r"\\$1").alias("to"), F.length("fake").alias("n"))
+    tokens = rules.select("fake", F.explode(F.array_distinct(F.expr("regexp_extract_all(fake, '([A-Za-z0-9]+)', 1)"))).alias("token"))
+    common = tokens.groupBy("token").agg(F.count("*").alias("c"))
+    heads = tokens.join(common, "token").groupBy("fake").agg(F.min(F.struct("c", "token"))["token"].alias("head"))
+    return made.join(heads, "fake", "left").withColumn("head", F.coalesce("head", F.lit("")))
+
+
+def fitting_rules(texts: DataFrame, rules: DataFrame) -> DataFrame:
+    """(id, rules) for texts (id, t): rules of which the head is a word of the text, the longest first.
+
+    A rule without letters and digits meets every text.
+    """
+    words = texts.select("id", F.explode(F.array_union(F.expr("regexp_extract_all(t, '([A-Za-z0-9]+)', 1)"), F.array(F.lit("")))).alias("head"))
+    entry = F.struct((-F.col("n")).alias("n"), "pattern", "to", "fake", "real")
+    return words.join(rules, "head").groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("rules"))
+
+
+NO_RULES = "CAST(array() AS array<struct<n:int,pattern:string,to:string,fake:string,real:string>>)"
 
 
 def restore_by_rules(texts: DataFrame, rules: DataFrame) -> DataFrame:
-    """texts (id, t) -> restored. A text meets only rules whose first word it has, by an equi-join on words."""
-    head = F.regexp_extract(F.col("fake"), r"^([A-Za-z0-9]+)", 1)
-    words = texts.select("id", F.explode(F.array_distinct(F.expr("regexp_extract_all(t, '([A-Za-z0-9]+)', 1)"))).alias("head"))
-    fitting = words.join(rules.withColumn("head", head), "head").groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "pattern", "to"))).alias("rules"))
-    out = texts.join(fitting, "id", "left")
-    return out.withColumn("restored", F.expr("aggregate(coalesce(rules, CAST(array() AS array<struct<n:int,pattern:string,to:string>>)), t, (a, r) -> regexp_replace(a, r.pattern, r.to))")).drop("rules")
+    """texts (id, t) -> restored and hits, the fakes that stood in the text. A text meets only rules that fit it, by an equi-join."""
+    out = texts.join(fitting_rules(texts, rules), "id", "left").withColumn("rules", F.expr(f"coalesce(rules, {NO_RULES})"))
+    hits = "transform(filter(rules, r -> t RLIKE r.pattern), r -> r.fake)"
+    return out.select(*texts.columns, F.expr("aggregate(rules, t, (a, r) -> regexp_replace(a, r.pattern, r.to))").alias("restored"), F.expr(hits).alias("hits"))
+
+
+def texts_with_fakes(texts: DataFrame, fakes: DataFrame, block: int = 200_000) -> DataFrame:
+    """texts (id, t) in which a fake stands, anywhere in it. Fakes go to the workers in blocks of bounded size."""
+    context = texts.sparkSession.sparkContext
+
+    def search(words: list[str]) -> DataFrame:
+        sent = context.broadcast(words)
+
+        def run(batches):
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for w in sent.value:
+                automaton.add_word(w, 1)
+            automaton.make_automaton()
+            for b in batches:
+                found = [len(sent.value) > 0 and next(automaton.iter(t or ""), None) is not None for t in b.column("t").to_pylist()]
+                yield b.filter(pa.array(found, pa.bool_()))
+
+        return texts.mapInArrow(run, texts.schema)
+
+    out, held = [], []
+    for row in fakes.select("fake").where("fake <> ''").distinct().toLocalIterator():
+        held.append(row["fake"])
+        if len(held) == block:
+            out, held = [*out, search(held)], []
+    if held or not out:
+        out.append(search(held))
+    found = out[0]
+    for x in out[1:]:
+        found = found.unionByName(x)
+    return found.dropDuplicates(["id"]) if len(out) > 1 else found
+
+
+def shown(type_: Column, real: Column) -> Column:
+    """What a panel may show: secrets never."""
+    return F.when(type_ == "PASSWORD", "••••••").otherwise(real)

@@ -7,13 +7,19 @@ from pyspark.sql import functions as F
 
 ACTIVE, PIPELINE = ("enrolled", "suspended"), ("inquiry", "quote_sent", "invoice_sent")
 #: The orders in which statuses change.
-STATUS_CYCLE = ["enrolled", "inquiry", "quote_sent", "invoice_sent", "wait_list", "suspended", "left"]
+STATUS_CYCLE = ["inquiry", "quote_sent", "invoice_sent", "wait_list", "enrolled", "suspended", "left"]
 INVOICE_CYCLE = ["not_sent", "sent", "paid", "prepay"]
 ADVANCE = {"inquiry": "quote_sent", "quote_sent": "invoice_sent", "invoice_sent": "enrolled", "wait_list": "enrolled"}
+STATUS_LABELS = {
+    "inquiry": "Inquiry", "quote_sent": "Quote sent", "invoice_sent": "Invoice sent", "wait_list": "Wait list", "enrolled": "Enrolled", "suspended": "Suspended", "left": "Left",
+    "cancelled": "Cancelled",
+}
+INVOICE_LABELS = {"not_sent": "Not sent", "sent": "Sent", "paid": "Paid", "prepay": "Prepay"}
+DAY_CYCLE, GENDER_CYCLE = {"": "F", "F": "H", "H": ""}, {"F": "M", "M": "X", "X": "F"}
 TODAY = "2026-05-21"
 
 
-def scope(students: DataFrame, centre: str = "canggu", class_id: str | None = None) -> DataFrame:
+def scope(students: DataFrame, centre: str = "north", class_id: str | None = None) -> DataFrame:
     """Students of a centre, and of a class if one is given, that are not archived."""
     out = students.where((F.col("centre") == centre) & (F.col("archived") == 0))
     return out if class_id is None else out.where(F.col("class_id") == class_id)
@@ -83,7 +89,66 @@ def deletable(classes: DataFrame, students: DataFrame) -> DataFrame:
     return classes.join(used, "id", "left_anti")
 
 
-def next_ids(students: DataFrame, added: DataFrame) -> DataFrame:
-    """Rows to append with ids after the greatest; the numbering window is over the few added rows."""
+def looked_up(value: Column, table: dict[str, str], otherwise: Column | None = None) -> Column:
+    """A small code table as a map expression; what is not in it is ``otherwise``, by default the value itself."""
+    pairs = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.coalesce(F.try_element_at(pairs, value), value if otherwise is None else otherwise)
+
+
+def forecast_band(expected: Column, capacity: Column) -> Column:
+    percent = F.floor(expected * 100 / capacity + 0.5)
+    return F.when(percent >= 100, "full").when(percent >= 85, "tight").when(percent >= 60, "filling").otherwise("open")
+
+
+def next_ids(students: DataFrame, added: DataFrame, key: str, buckets: int = 64) -> DataFrame:
+    """Rows to append with ids after the greatest, by bucket of the key and then by key.
+
+    Each bucket is numbered by itself and starts after those before it; only the buckets' sizes meet in one place.
+    """
     top = students.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    return added.crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.row_number().over(Window.orderBy("name"))).drop("top")
+    placed = added.withColumn("_bucket", F.pmod(F.col(key), F.lit(buckets)))
+    sizes = placed.groupBy("_bucket").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most ``buckets`` rows
+    starts = sizes.select("_bucket", before.alias("_before")).crossJoin(F.broadcast(top))
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
+    out = placed.withColumn("_no", inside).join(F.broadcast(starts), "_bucket")
+    return out.withColumn("id", (F.col("top") + F.col("_before") + F.col("_no")).cast("int")).drop("_bucket", "_no", "_before", "top")
+
+
+def updated(students: DataFrame, patches: DataFrame) -> DataFrame:
+    """students with the values of patches (id and some of the columns) where they are not null; unknown ids change nothing."""
+    changed = [c for c in patches.columns if c != "id"]
+    own = patches.select(F.col("id"), *[F.col(c).alias(f"_{c}") for c in changed]).dropDuplicates(["id"])
+    return students.join(own, "id", "left").select(*[F.coalesce(f"_{c}", c).alias(c) if c in changed else F.col(c) for c in students.columns])
+
+
+def archived(students: DataFrame, ids: DataFrame, on: bool = True) -> DataFrame:
+    """Soft delete (or its undoing) by id."""
+    return students.join(ids.select("id", F.lit(True).alias("_hit")).distinct(), "id", "left").withColumn("archived", F.when(F.col("_hit"), F.lit(int(on))).otherwise(F.col("archived"))).select(*students.columns)
+
+
+def deleted(students: DataFrame, ids: DataFrame) -> DataFrame:
+    return students.join(ids.select("id"), "id", "left_anti")
+
+
+def imported(parsed: DataFrame, centre: str, key: str) -> DataFrame:
+    """Parsed rows as the whole new roster: ids from 1, this centre, billing reset. Whatever was there before is gone."""
+    none = parsed.sparkSession.createDataFrame([], "id int")
+    fresh = next_ids(none, parsed, key)
+    name = F.coalesce(F.nullif("name", F.lit("")), F.lit("Unnamed"))
+    return fresh.withColumn("name", name).withColumn("centre", F.lit(centre)).withColumn("invoice", F.lit("not_sent")).withColumn("bond", F.lit(0)).withColumn("archived", F.lit(0))
+
+
+def import_summary(parsed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class_id, name, n) of what was parsed; a class that is not known is named by its id."""
+    counted = parsed.groupBy(F.coalesce(F.nullif("class_id", F.lit("")), F.lit("unknown")).alias("class_id")).agg(F.count("*").alias("n"))
+    named = F.broadcast(classes.select(F.col("id").alias("class_id"), F.col("name").alias("class_name")))
+    return counted.join(named, "class_id", "left").select("class_id", F.coalesce("class_name", "class_id").alias("name"), "n")
+
+
+def guessed_gender(people: DataFrame, dictionary: DataFrame, name: str = "name") -> DataFrame:
+    """people with ``guess``: F, M or X by the first name without accents, from a dictionary (first_name, gender)."""
+    plain = F.translate(F.lower(F.regexp_extract(F.trim(F.col(name)), r"^(\S+)", 1)), "áàâãäåéèêëíìîïóòôõöúùûüçñøð", "aaaaaaeeeeiiiiooooouuuucnod")
+    first = F.replace(plain, F.lit("æ"), F.lit("ae"))
+    known = F.broadcast(dictionary.groupBy(F.col("first_name").alias("_first")).agg(F.min("gender").alias("_gender")))
+    return people.withColumn("_first", first).join(known, "_first", "left").withColumn("guess", F.coalesce("_gender", F.lit("X"))).drop("_first", "_gender")

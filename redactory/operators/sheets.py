@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from redactory.operators.cells import class_hint, day_mark, iso_date, lunch_mark, stripped
+from redactory.operators.cells import class_hint, day_mark, iso_date, lunch_mark, stripped, with_suspension
 
 #: Sheets, and columns counted from the block's base.
 SHEET_CLASSES = {"el 1": "el1", "el2 daf": "el2d", "el2 hib": "el2h", "pk saf": "pks", "pk lav": "pkl", "jr. kindergarten": "jrk", "kindergarten": "kg"}
 SKIPPED = ["age calculator", "total enrolment", "enrolment forecast", "25+ enrolments"]
-COLUMNS = {"name": 1, "start": 2, "last": 4, "dob": 5, "mon": 7, "tue": 8, "wed": 9, "thu": 10, "fri": 11, "lunch": 12, "nationality": 13, "parents": 14, "note": 17}
+COLUMNS = {"name": 1, "start": 2, "last": 4, "dob": 5, "mon": 7, "tue": 8, "wed": 9, "thu": 10, "fri": 11, "lunch": 12, "nationality": 13, "parents": 14, "email": 15, "phone": 16, "note": 17, "suspension": 18, "stay": 19, "bond": 20, "paid_from": 21, "paid_until": 22}
 BLOCK, BLOCKS, HEADER_ROWS = 25, 5, 3
 STOP_WORDS = ["total", "holiday suspension", "full day", "half day"]
 
@@ -52,10 +52,18 @@ def student_cells(cells: DataFrame) -> DataFrame:
     kept = rows.withColumn("_stopped", before).where("_stopped = 0 AND name <> '' AND NOT name RLIKE '^[0-9]+$' AND NOT contains(lower(name), 'child name')").drop("_stopped")
     typed = kept.join(F.broadcast(sheet_classes(cells)), "sheet").where("class_id IS NOT NULL")
     days = [day_mark(F.col(d)).alias(d) for d in ("mon", "tue", "wed", "thu", "fri")]
-    return typed.select("sheet", "class_id", "row_no", "name", iso_date(F.col("start")).alias("start"), iso_date(F.col("dob")).alias("dob"), *days, lunch_mark(F.col("lunch")).alias("lunch"), "nationality", "parents", "note")
+    return typed.select(
+        "sheet", "class_id", "row_no", "name", iso_date(F.col("start")).alias("start"), iso_date(F.col("last")).alias("last"), iso_date(F.col("dob")).alias("dob"), *days, lunch_mark(F.col("lunch")).alias("lunch"), "nationality", "parents", "email", "phone",
+        with_suspension(F.col("note"), F.col("suspension")).alias("note"), "stay", iso_date(F.col("bond")).alias("bond_paid"), iso_date(F.col("paid_from")).alias("paid_from"), iso_date(F.col("paid_until")).alias("paid_until"),
+    )
 
 
 def distinct_parents(students: DataFrame) -> DataFrame:
     """How many parents there are, by name without case."""
     names = students.select(F.explode(F.split("parents", "[/,&]")).alias("p")).select(F.lower(stripped(F.col("p"))).alias("p")).where("p <> ''")
     return names.agg(F.countDistinct("p").alias("n_parents"))
+
+
+def sheet_counts(students: DataFrame) -> DataFrame:
+    """(sheet, class_id, n) for sheets with at least one student."""
+    return students.groupBy("sheet", "class_id").agg(F.count("*").alias("n"))

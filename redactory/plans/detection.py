@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactory.operators.detect import long_form, long_form_sql, resolve, resolve_sql, scan, scan_sql
+from redactory.operators.detect import long_form, long_form_sql, resolve, resolve_sql, scan, scan_sql, sensitive
 from redactory.operators.rules import RULES
 from redactory.sources.messages import messages, messages_sql
 
@@ -63,7 +63,7 @@ _register(
     lambda f: long_form(f).groupBy("id", "type").agg(F.min_by("label", F.struct("start", "ord")).alias("label"), F.min("start").alias("first_start"), F.count("*").alias("n")),
     'SELECT id, "type", min_by(label, "start" * 100000000 + ord) AS label, min("start") AS first_start, count(*) AS n FROM ({rows}) GROUP BY id, "type"',
 )
-_register("sensitive_texts", "documents", lambda f: f.where(F.size("findings") > 0).select("id", F.size("findings").cast("long").alias("n_findings")), "SELECT id, CAST(len(findings) AS BIGINT) AS n_findings FROM ({found}) WHERE len(findings) > 0")
+_register("sensitive_texts", "documents", lambda f: sensitive(f).select("id", "n_findings"), "SELECT id, CAST(len(findings) AS BIGINT) AS n_findings FROM ({found}) WHERE len(findings) > 0")
 _register(
     "findings_by_severity", "messages", lambda f: long_form(f).groupBy("severity", "label").agg(F.count("*").alias("n")),
     "SELECT severity, label, count(*) AS n FROM ({rows}) GROUP BY severity, label",

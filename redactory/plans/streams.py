@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 from redactory.plans.activity import SQL as _BATCH
+from redactory.plans.activity import STATS
 from redactory.streaming import live
 
-QUERIES = {"stream_counters": live.platform_counters, "stream_dedupe": live.first_announcements, "stream_restore": live.restored_conversations}
+QUERIES = {
+    "stream_counters": live.platform_counters, "stream_sessions": live.session_counters, "stream_dedupe": live.first_announcements, "stream_conversations": live.conversation_announcements,
+    "stream_settings": live.answered_with_settings, "stream_restore": live.restored_answers,
+}
 SQL = {
     "stream_counters": _BATCH["platform_counts"],
+    "stream_sessions": _BATCH["session_counters"],
     "stream_dedupe": f"SELECT kind, item FROM ({_BATCH['activity_dedupe']})",
+    "stream_conversations": f"SELECT DISTINCT session_id, kind, item FROM {STATS}",
+    "stream_settings": f"SELECT platform, count(*) AS n_messages FROM {STATS} JOIN customer ON c_custkey = session_id WHERE c_nationkey % 2 = 0 GROUP BY platform",
+    "stream_restore": "SELECT o_orderkey AS id, c_name || ' and not Client ' || o_custkey || '0x' AS restored FROM orders JOIN customer ON c_custkey = o_custkey",
 }

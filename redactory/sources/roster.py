@@ -1,6 +1,6 @@
-"""The demo roster: classes and students, as DataFrames and as DuckDB VALUES.
+"""A roster of students and classes. Students are made from customers by rule, so the roster grows with the data.
 
-Days are mon/tue/wed/thu/fri with F for full, H for half and - for none.
+Every column is an expression over the customer's key that Spark and DuckDB read alike.
 """
 
 from __future__ import annotations
@@ -17,59 +17,50 @@ CLASSES = [
     ("jrk", "Jr Kindergarten", "Junior Kindergarten", "4–5 yrs", 22),
     ("kg", "Kindergarten", "Kindergarten", "5–6.5 yrs", 24),
 ]
-
-#: id|name|gender|centre|class|status|dob|nationality|days|lunch|start|last|paid from|paid until|invoice|bond|suspensions|prepay|archived
-_STUDENTS = """
-1|Wren Beaumont|F|canggu|el2d|enrolled|2023-04-12|British|F/F/F/F/F|1|2025-08-04||2026-05-04|2026-06-08|sent|5000000|1||0
-2|Theo Marais|M|canggu|el2d|enrolled|2023-07-22|French|F/F/-/F/F|1|2025-09-15||2026-05-04|2026-05-29|paid|5000000|0||0
-3|Indira Soewardjo|F|canggu|el2d|enrolled|2023-02-08|Indonesian|H/H/H/H/H|0|2025-06-02||2026-04-13|2026-06-10|paid|5000000|2||0
-4|Olive Kjeldsen|F|canggu|el2d|enrolled|2023-09-01|Danish|F/F/F/F/-|1|2025-11-03||2026-05-04|2026-06-04|sent|5000000|0||0
-5|Felix Whittaker|M|canggu|el2d|suspended|2023-05-18|Australian|-/-/-/-/-|0|2025-03-10||2026-04-22|2026-06-15|paid|5000000|3||0
-6|Ines Volkov|F|canggu|el2d|enrolled|2023-08-15|Russian|F/F/F/-/F|1|2026-01-20||2026-05-04|2026-06-01|sent|5000000|1||0
-7|Arlo Tanaka-Pierce|M|canggu|el2d|enrolled|2023-11-30|Japanese / Australian|F/F/F/F/F|1|2026-02-09||2026-02-09|2026-08-02|prepay|5000000|0|(25, 14)|0
-8|Mila Halvorsen|F|canggu|el2d|enrolled|2023-06-04|Norwegian|F/F/F/F/F|1|2025-10-06||2026-05-04|2026-05-29|paid|5000000|0||0
-9|Kasper Linden|M|canggu|el2d|enrolled|2023-03-19|Swedish / Australian|F/F/-/F/-|1|2025-07-21||2026-04-20|2026-05-22|sent|5000000|1||0
-10|Juno Castellano|F|canggu|el2d|enrolled|2023-10-09|Italian|F/F/F/F/F|1|2025-12-08||2026-05-04|2026-06-30|paid|5000000|0||0
-11|Saskia Levin|F|canggu|el2d|invoice_sent|2023-03-25|German|-/-/-/-/-|0|2026-06-01||||sent|0|0||0
-12|Mira Halvorsen|F|canggu|el2d|quote_sent|2023-06-04|Norwegian|-/-/-/-/-|0|tbc||||not_sent|0|0||0
-13|Bodhi Almeida|M|canggu|el2d|wait_list|2023-10-19|Portuguese|-/-/-/-/-|0|2026-07-13||||not_sent|0|0||0
-14|Atlas Reyes|M|canggu|el2d|left|2023-01-14|Mexican / Australian|-/-/-/-/-|0|2025-06-30|2026-04-25|2026-03-30|2026-04-25|paid|5000000|0||0
-15|Calla Donnelly|F|canggu|el2d|left|2022-11-21|Irish|-/-/-/-/-|0|2025-08-04|2026-04-04|||paid|5000000|0||0
-21|Juno Pearce|F|canggu|el1|enrolled|2024-08-11|British|F/F/F/-/-|1|2025-12-01||2026-05-04|2026-06-01|paid|5000000|0||0
-22|Otis Brennan|M|canggu|el1|enrolled|2024-10-02|Australian|F/F/-/F/F|1|2026-01-08||2026-05-04|2026-06-01|sent|5000000|0||0
-31|Esme Linwood|F|canggu|el2h|enrolled|2023-05-30|British|F/F/F/F/F|1|2025-09-01||2026-05-04|2026-06-01|paid|5000000|1||0
-41|Rio Soewardjo|M|canggu|pks|enrolled|2022-04-18|Indonesian|F/F/F/F/-|1|2025-08-04||2026-05-04|2026-06-01|paid|5000000|0||0
-51|Cleo Marchetti|F|canggu|pkl|enrolled|2022-09-09|Italian|F/F/F/F/F|1|2025-08-04||2026-05-04|2026-06-01|paid|5000000|0||0
-61|Nico Albright|M|canggu|jrk|enrolled|2021-11-22|American|F/F/F/F/F|1|2024-09-01||2026-05-04|2026-06-01|prepay|5000000|2|(37, 32)|0
-71|Petra Vanek|F|canggu|kg|enrolled|2020-06-15|Czech|F/F/F/F/F|1|2024-01-15|2026-06-15|2026-04-22|2026-05-25|paid|5000000|3||0
-72|Lev Karpov|M|canggu|kg|enrolled|2020-09-30|Russian|F/-/F/-/F|1|2024-08-04||2026-05-04|2026-06-01|paid|5000000|0||0
-101|Mae Christensen|F|sanur|el2d|enrolled|2023-07-04|Danish|F/F/F/F/F|1|2025-11-10||2026-05-04|2026-06-01|paid|5000000|0||0
-102|Kai Sutopo|M|sanur|pks|enrolled|2022-12-01|Indonesian / Australian|F/F/-/F/F|1|2025-09-15||2026-05-04|2026-06-01|paid|5000000|0||0
-201|Indigo Faulkner|M|canggu|kg|left|2018-03-15|British|-/-/-/-/-|0|2021-01-20|2024-12-15|||paid|5000000|0||1
-202|Mei Yamamoto|F|canggu|jrk|left|2019-07-08|Japanese|-/-/-/-/-|0|2022-08-01|2024-06-30|||paid|5000000|0||1
-203|Lucca Romano|M|canggu|pks|left|2020-11-22|Italian|-/-/-/-/-|0|2023-02-10|2024-11-30|||paid|5000000|0||1
-204|Zara Achterberg|F|canggu|el2h|left|2021-04-30|Dutch|-/-/-/-/-|0|2023-09-04|2025-07-25|||paid|5000000|0||1
-"""
-
-COLUMNS = [
-    ("id", "int"), ("name", "string"), ("gender", "string"), ("centre", "string"), ("class_id", "string"), ("status", "string"), ("dob", "string"), ("nationality", "string"),
-    ("mon", "string"), ("tue", "string"), ("wed", "string"), ("thu", "string"), ("fri", "string"), ("lunch", "int"), ("start_date", "string"), ("last_date", "string"),
-    ("paid_from", "string"), ("paid_until", "string"), ("invoice", "string"), ("bond", "int"), ("n_suspensions", "int"), ("prepay_weeks", "int"), ("prepay_completed", "int"), ("archived", "int"),
-]
-
-
-def student_rows() -> list[tuple]:
-    out = []
-    for line in _STUDENTS.strip().split("\n"):
-        c = line.split("|")
-        days = ["" if d == "-" else d for d in c[8].split("/")]
-        weeks, done = (int(x) for x in c[17].strip("()").split(",")) if c[17] else (None, None)
-        out.append((int(c[0]), *c[1:8], *days, int(c[9]), *c[10:15], int(c[15]), int(c[16]), weeks, done, int(c[18])))
-    return out
-
-
-def students(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(student_rows(), ", ".join(f"{c} {t}" for c, t in COLUMNS)).coalesce(1)
+_FIRST = ["Ada", "Bruno", "Carla", "Denis", "Elif", "Farid", "Gita", "Hugo", "Ilse", "Jonas", "Karin", "Luis", "Marta"]
+_LAST = ["Abel", "Berger", "Costa", "Dahl", "Ekman", "Fabre", "Galli", "Horn", "Ito", "Jansen", "Kowal"]
+_NATIONS = ["Austrian", "Belgian", "Chilean", "Dutch", "Estonian", "Finnish / Austrian", "Greek", "Hungarian"]
+_STATUS = ["enrolled"] * 10 + ["inquiry", "quote_sent", "invoice_sent", "wait_list", "suspended", "suspended", "left", "left", "cancelled"]
+
+
+def _pick(values: list, at: str) -> str:
+    """The value numbered by an expression, which is taken modulo the number of values."""
+    quoted = ["'" + str(v).replace("'", "''") + "'" for v in values]
+    return f"(CASE ({at}) % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(quoted)) + " END)"
+
+
+def _columns(text: str) -> list[tuple[str, str]]:
+    k = "c_custkey"
+    two = lambda n: f"lpad(CAST({n} AS {text}), 2, '0')"
+    day = lambda y, m, d: f"concat(CAST({y} AS {text}), '-', {two(m)}, '-', {two(d)})"
+    status, invoice = _pick(_STATUS, f"{k} * 7"), _pick(["not_sent", "sent", "paid", "prepay"], f"{k} * 3 + 1")
+    active = f"{status} IN ('enrolled', 'suspended')"
+    mark = lambda i: f"(CASE WHEN {active} THEN {_pick(['F', 'H', 'F', ''], f'{k} + {i}')} ELSE '' END)"
+    last = _pick(_LAST, f"{k} * 5")
+    return [
+        ("id", f"CAST({k} AS INT)"), ("name", f"concat({_pick(_FIRST, k)}, ' ', {last})"), ("gender", _pick(["F", "M", "X"], k)),
+        ("centre", f"(CASE WHEN {k} % 9 = 0 THEN 'south' ELSE 'north' END)"),
+        # two small classes; the others share the rest
+        ("class_id", f"(CASE WHEN {k} % 100 < 2 THEN 'el1' WHEN {k} % 100 < 5 THEN 'el2h' WHEN {k} % 101 = 7 THEN 'gone' ELSE {_pick(['el2d', 'pks', 'pkl', 'jrk', 'kg'], k)} END)"),
+        ("status", status),
+        ("dob", f"(CASE WHEN {k} % 41 = 0 THEN 'tbc' WHEN {k} % 43 = 0 THEN '' ELSE {day(f'2018 + {k} % 7', f'1 + {k} % 12', f'1 + {k} % 28')} END)"), ("nationality", _pick(_NATIONS, f"{k} * 3")),
+        *((d, mark(i)) for i, d in enumerate(("mon", "tue", "wed", "thu", "fri"))), ("lunch", f"CAST({k} % 2 AS INT)"),
+        ("start_date", f"(CASE WHEN {k} % 37 = 0 THEN 'tbc' ELSE {day(f'2020 + {k} % 6', f'1 + {k} % 12', f'1 + {k} % 27')} END)"),
+        ("last_date", f"(CASE WHEN {status} = 'left' THEN {day('2026', f'1 + {k} % 5', f'1 + {k} % 28')} ELSE '' END)"),
+        ("paid_from", f"(CASE WHEN {active} THEN '2026-05-04' ELSE '' END)"), ("paid_until", f"(CASE WHEN {active} THEN {day('2026', 6, f'1 + {k} % 30')} ELSE '' END)"),
+        ("invoice", invoice), ("bond", f"CAST(({k} % 2) * 5000000 AS INT)"), ("n_suspensions", f"CAST({k} % 5 AS INT)"),
+        ("prepay_weeks", f"(CASE WHEN {invoice} = 'prepay' THEN CAST(20 + {k} % 20 AS INT) END)"), ("prepay_completed", f"(CASE WHEN {invoice} = 'prepay' THEN CAST(20 + {k} % 20 - ({k} * 7) % 12 AS INT) END)"),
+        ("archived", f"CAST(CASE WHEN {k} % 13 = 0 THEN 1 ELSE 0 END AS INT)"),
+        ("parents", f"(CASE WHEN {k} % 6 = 0 THEN '' ELSE concat({_pick(_FIRST, f'{k} + 3')}, ' ', {last}, ' & ', {_pick(_FIRST, f'{k} * 2')}, ' ', {last}) END)"),
+        ("email", f"(CASE WHEN {k} % 10 = 0 THEN '' ELSE concat('family.', CAST({k} AS {text}), '@example.com') END)"),
+        ("note", f"(CASE WHEN {k} % 4 = 0 THEN '' ELSE concat('Speaks ', {_pick(_NATIONS, f'{k} * 3')}, ', sees ', {_pick(_FIRST, f'{k} * 2')}, ' on day ', CAST({k} % 28 AS {text})) END)"),
+        ("diet", _pick(["", "no_nuts", "no_cow_milk", "halal"], k)),
+    ]
+
+
+def students(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    return customers.selectExpr(*[f"{e} AS {c}" for c, e in _columns("STRING")])
 
 
 def classes(spark: SparkSession) -> DataFrame:
@@ -77,11 +68,9 @@ def classes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "pos int, id string, name string, full_name string, age string, capacity int").coalesce(1)
 
 
-def _values(rows: list[tuple], names: list[str], alias: str) -> str:
-    cell = lambda x: "CAST(NULL AS INTEGER)" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-    return f"{alias}({', '.join(names)}) AS (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)})"
-
-
 def roster_sql() -> str:
-    """WITH clause that defines students and classes."""
-    return f"WITH {_values(student_rows(), [c for c, _ in COLUMNS], 'students')}, {_values([(i, *c) for i, c in enumerate(CLASSES)], ['pos', 'id', 'name', 'full_name', 'age', 'capacity'], 'classes')}"
+    """WITH clause that defines students and classes for DuckDB."""
+    quoted = lambda x: str(x) if isinstance(x, int) else "'" + x + "'"
+    rows = ", ".join("(" + ", ".join(map(quoted, (i, *c))) + ")" for i, c in enumerate(CLASSES))
+    columns = ", ".join(f"{e} AS {c}" for c, e in _columns("VARCHAR"))
+    return f"WITH students AS (SELECT {columns} FROM customer), classes(pos, id, name, full_name, age, capacity) AS (VALUES {rows})"

@@ -9,17 +9,51 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _CELL = "sheet string, row_no long, col_no long, value string"
 
 
-def csv_cells(spark: SparkSession, path: str, sheet: str, sep: str = ",") -> DataFrame:
-    """Rows are numbered in the order of the file, which is read as a whole line set of one sheet."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("row_no", "line"))
-    cells = lines.select(F.col("row_no").cast("long"), F.posexplode(F.split("line", re.escape(sep), -1)).alias("col_no", "value"))
-    return cells.select(F.lit(sheet).alias("sheet"), "row_no", F.col("col_no").cast("long").alias("col_no"), "value")
+def csv_cells(spark: SparkSession, path: str, sheet: str, sep: str = ",", width: int = 256) -> DataFrame:
+    """Cells of one CSV or TSV file that are not empty; quoted fields may hold separators and new lines.
+
+    A file with quoted new lines cannot be split, so it is one task, and a row's number in the task is its number.
+    """
+    names = [f"c{i}" for i in range(width)]
+    rows = spark.read.csv(path, ", ".join(f"{c} string" for c in names), sep=sep, quote='"', escape='"', multiLine=True, header=False)
+    numbered = rows.select(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row_no"), F.array(*names).alias("cells"))
+    return numbered.select("row_no", F.posexplode("cells").alias("col_no", "value")).where("value IS NOT NULL").select(F.lit(sheet).alias("sheet"), "row_no", F.col("col_no").cast("long").alias("col_no"), "value")
+
+
+#: The sheet of each class.
+SHEETS = {"el1": "EL 1", "el2d": "EL2 Daf", "el2h": "EL2 Hib", "pks": "PK Saf", "pkl": "PK Lav", "jrk": "Jr. Kindergarten", "kg": "Kindergarten"}
+_HEAD = ["No", "Child name", "Start", "Return", "Last", "DOB", "Age", "Mon", "Tue", "Wed", "Thu", "Fri", "Lunch", "Nationality", "Parents"]
+
+
+def sheet_cells(students: DataFrame) -> DataFrame:
+    """Cells (sheet, row_no, col_no, value) as a school keeps them: two blocks a sheet, the later with the students, then totals.
+
+    The later block is the second one, but for one sheet; a sheet without students and rows below the totals are there too.
+    """
+    spark = students.sparkSession
+    table = F.create_map(*[F.lit(x) for pair in SHEETS.items() for x in pair])
+    listed = students.where("centre = 'north' AND archived = 0").withColumn("sheet", F.try_element_at(table, F.col("class_id"))).where("sheet IS NOT NULL")
+    listed = listed.withColumn("row_no", F.row_number().over(Window.partitionBy("sheet").orderBy("id")).cast("long") + 2)
+    base = F.when(F.col("sheet") == "EL2 Daf", 0).otherwise(25)
+    cell = lambda at, value: F.struct((base + at).cast("long").alias("col_no"), value.alias("value"))
+    texts = [(1, "name"), (2, "start_date"), (5, "dob"), (7, "mon"), (8, "tue"), (9, "wed"), (10, "thu"), (11, "fri"), (13, "nationality"), (14, "parents"), (15, "email"), (17, "note")]
+    marks = [cell(at, F.col(c)) for at, c in texts] + [cell(12, F.when(F.col("lunch") == 1, "yes").otherwise(""))]
+    marks.append(F.struct((F.lit(26) - base).cast("long").alias("col_no"), F.concat(F.lit("Old "), "name").alias("value")))
+    body = listed.select("sheet", "row_no", F.explode(F.array(*marks)).alias("c")).select("sheet", "row_no", "c.*").where("value <> ''")
+    fixed = [("Age Calculator", 3, 1, "not a child")]
+    for sheet in SHEETS.values():
+        late, early = (0, 25) if sheet == "EL2 Daf" else (25, 0)
+        fixed += [(sheet, 1, late + 1, "4 May - 1 June 2026"), (sheet, 1, early + 1, "1 April - 1 May 2026")]
+        fixed += [(sheet, 2, b + i, h) for b in (0, 25) for i, h in enumerate(_HEAD)]
+    ends = listed.groupBy("sheet").agg(F.max("row_no").alias("last"))
+    below = ends.select("sheet", F.explode(F.array(*(F.struct((F.col("last") + i).alias("row_no"), (base + 1).cast("long").alias("col_no"), F.lit(v).alias("value")) for i, v in ((1, "123"), (2, "Total children"), (3, "Late Row"))))).alias("c")).select("sheet", "c.*")
+    return body.unionByName(below).unionByName(spark.createDataFrame(fixed, _CELL))
 
 
 def _column(reference: str) -> int:

@@ -1,7 +1,8 @@
-"""Streams: counters over stat events, and restoring messages as they arrive.
+"""Streams: counters over stat events, once-only announcements, and restoring answers as they arrive.
 
-Both run on Structured Streaming with a checkpoint in the shared folder. What has arrived is processed and the stream
-ends (``availableNow``); a live job passes a processing-time trigger instead.
+They run on Structured Streaming with a checkpoint in the shared folder. A query processes what has arrived and ends
+(``availableNow``); a live job passes ``processingTime="180 milliseconds"`` or so, the nearest there is to waiting for
+a pause in the changes. Sessions and conversations are keys, so that a new one starts afresh and mappings stay.
 """
 
 from __future__ import annotations
@@ -9,8 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactory.functions.io import shared_path
+from redactory.functions.io import shared_path, written
 from redactory.operators import activity
+from redactory.operators.masking import restore_by_rules, restore_rules
+
+#: How long after an announcement its like is still held back; the state of older ones is dropped.
+HELD_BACK = "60 days"
 
 
 def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,33 +23,55 @@ def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{table}.parquet").schema).parquet(f"{sf_dir}/{table}.parque[t]")
 
 
-def _finished(stream: DataFrame, mode: str) -> DataFrame:
-    """The sink's last state for 'complete', all its rows for 'append'."""
+def _finished(stream: DataFrame, mode: str, each=None, schema=None, **trigger) -> DataFrame:
+    """The sink's last state for 'complete', all its rows for 'append'; ``each`` maps every micro-batch before it is written."""
     spark, out = stream.sparkSession, shared_path(stream.sparkSession, "stream")
+    schema = schema or stream.schema
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/rows" if mode == "complete" else f"{out}/rows/batch={number}")
+        rows = each(batch) if each else batch
+        rows.write.mode("overwrite").parquet(f"{out}/rows" if mode == "complete" else f"{out}/rows/batch={number}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/rows").select(*stream.columns)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").foreachBatch(write)
+    writer.trigger(**(trigger or {"availableNow": True})).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{out}/rows").select(*[f.name for f in schema])
 
 
 def platform_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _finished(activity.platform_messages(activity.stat_events(_stream(spark, sf_dir, "events"))), "complete")
 
 
+def session_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters by session: the key is the session, so a new one starts from none."""
+    return _finished(activity.session_counters(activity.stat_events(_stream(spark, sf_dir, "events"))), "complete")
+
+
+def _announced(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
+    stats = activity.stat_events(_stream(spark, sf_dir, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
+    return _finished(stats.withWatermark("ts", HELD_BACK).dropDuplicatesWithinWatermark(keys).select(*keys), "append")
+
+
 def first_announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each (kind, item) once, the first that arrives; the state is one row a key, and a session has few keys."""
-    stats = activity.stat_events(_stream(spark, sf_dir, "events"))
-    return _finished(stats.dropDuplicates(["kind", "item"]).select("kind", "item"), "append")
-
-
-def restored_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns with the words of a static mapping put back, row by row as they arrive."""
-    rules = [("la", "LA"), ("the", "THE"), ("die", "DIE")]
-    text = F.coalesce("text", F.lit(""))
-    for fake, real in rules:
-        text = F.regexp_replace(text, rf"(?<![A-Za-z0-9]){fake}(?![A-Za-z0-9])", real)
-    turns = _stream(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("restored"))
-    return _finished(turns, "append")
+    """Each (kind, item) once, the first that arrives; what has not been seen for ``HELD_BACK`` is forgotten."""
+    return _announced(spark, sf_dir, ["kind", "item"])
+
+
+def conversation_announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by conversation: another one has announced nothing yet."""
+    return _announced(spark, sf_dir, ["session_id", "kind", "item"])
+
+
+def answered_with_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages by platform of sessions that have auto-restore on, by the settings as they stand when a batch comes."""
+    settings = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("session_id"), (F.col("c_nationkey") % 2 == 0).alias("auto_restore"))
+    stats = activity.stat_events(_stream(spark, sf_dir, "events")).join(settings, "session_id").where("auto_restore")
+    return _finished(activity.platform_messages(stats), "complete")
+
+
+def restored_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that name customers by their fakes, restored from the mapping as they arrive; a batch meets the rules by a join."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    rules = written(restore_rules(customers.select(F.col("c_name").alias("real"), F.lit("CUSTOM").alias("type"), F.concat(F.lit("Client "), F.col("c_custkey").cast("string")).alias("fake"))))
+    k = F.col("o_custkey").cast("string")
+    answers = _stream(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Client, "), k, F.lit(" and not Client "), k, F.lit("0x")).alias("t"))
+    return _finished(answers, "append", lambda batch: restore_by_rules(batch, rules).select("id", "restored"), spark.createDataFrame([], "id long, restored string").schema)
