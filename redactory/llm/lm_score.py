@@ -5,7 +5,7 @@ it reaches. An n-gram of level q puts the events (n-gram, 1) ... (n-gram, q) int
 until a miss gives the level back, and the middle of its range the count. A bigram model with the unigrams below it is
 mixed by the Good-Turing mass of bigrams seen once. The filter errs upwards only, seldom, and never misses.
 
-The filter is cut into blocks by hash, sized from the text volume, so that each is made in a task of bounded size from
+The bits of an event lie in one word of 64, so that a probe reads one place of memory. The filter is cut into blocks by hash, sized from the text volume, so that each is made in a task of bounded size from
 counts that its tasks have united. It goes to the workers while filter and exact unigram counts have at most
 ``limit_bytes``. Beyond that texts are bundled, their distinct n-grams are sent to groups of ``GROUP`` blocks, and the
 answers come back to the bundles: the same probes of the same bits, so the same scores. A group's bits are copied once
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from redactory.llm.common import Words, batch_of, chunks, fold_hash, held_out, mix, per_group, read_table, stored, text_volume
 
-BITS_PER_EVENT, PROBES = 9, 5
+BITS_PER_EVENT, PROBES = 12, 5
 BLOCK_CHARS = 16_000_000
 LIMIT_BYTES = 256 << 20
 GROUP, ASKED_BYTES, BUNDLE_CHARS, STEP_TOKENS = 16, 32 << 20, 4 << 20, 1 << 20
@@ -71,11 +71,13 @@ def _united(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _events(hashes: np.ndarray, level: int, n_bits: np.ndarray | int) -> list[np.ndarray]:
+def _events(hashes: np.ndarray, level: int, n_words: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """The word of each event (n-gram, level) and its bits there."""
     a = mix(hashes + np.uint64(level * 0x9E3779B97F4A7C15 & 2**64 - 1))
-    b = mix(a ^ np.uint64(0xA5A5A5A5A5A5A5A5)) | np.uint64(1)
-    n = np.asarray(n_bits, np.uint64)
-    return [((a + np.uint64(i) * b) % n).astype(np.int64) for i in range(PROBES)]
+    mask = np.zeros(len(a), np.uint64)
+    for i in range(PROBES):
+        mask |= np.uint64(1) << ((a >> np.uint64(6 * i)) & np.uint64(63))
+    return (((a >> np.uint64(32)) * np.asarray(n_words, np.uint64)) >> np.uint64(32)).astype(np.int64), mask
 
 
 def count_ngrams(train: DataFrame, n_blocks: int) -> DataFrame:
@@ -109,8 +111,8 @@ def count_ngrams(train: DataFrame, n_blocks: int) -> DataFrame:
     return train.select("text").mapInArrow(run, _PART_DDL)
 
 
-_BLOCK = pa.schema([("block", pa.int32()), ("bits", pa.binary()), ("n_bits", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64()), ("bigrams", pa.int64()), ("once", pa.int64())])
-_BLOCK_DDL = "block int, bits binary, n_bits long, keys binary, counts binary, tokens long, types long, bigrams long, once long"
+_BLOCK = pa.schema([("block", pa.int32()), ("bits", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64()), ("bigrams", pa.int64()), ("once", pa.int64())])
+_BLOCK_DDL = "block int, bits binary, keys binary, counts binary, tokens long, types long, bigrams long, once long"
 
 
 def filter_blocks(parts: DataFrame) -> DataFrame:
@@ -125,14 +127,12 @@ def filter_blocks(parts: DataFrame) -> DataFrame:
         united = {k: _united(np.concatenate([np.zeros(0, np.uint64), *a]), np.concatenate([np.zeros(0, np.int64), *b])) for k, (a, b) in held.items()}
         keys = np.concatenate([united[k][0] for k in (0, 1, 2)])
         level = np.searchsorted(LEVELS, np.concatenate([united[k][1] for k in (0, 1, 2)]), side="right")
-        n_bits = max(64, int(level.sum()) * BITS_PER_EVENT)
-        bits = np.zeros(n_bits, bool)
+        bits = np.zeros(1 + int(level.sum()) * BITS_PER_EVENT // 64, np.uint64)
         for j in range(1, int(level.max(initial=0)) + 1):
-            for place in _events(keys[level >= j], j, n_bits):
-                bits[place] = True
+            np.bitwise_or.at(bits, *_events(keys[level >= j], j, len(bits)))
         tokens, counts = united[1]
         yield batch_of(
-            _BLOCK, block=[key[0]], bits=[np.packbits(bits, bitorder="little").tobytes()], n_bits=[n_bits], keys=[tokens.tobytes()], counts=[counts.astype("<i8").tobytes()],
+            _BLOCK, block=[key[0]], bits=[bits.tobytes()], keys=[tokens.tobytes()], counts=[counts.astype("<i8").tobytes()],
             tokens=[int(counts.sum())], types=[len(tokens)], bigrams=[int(united[2][1].sum())], once=[int((united[2][1] == 1).sum())],
         )
 
@@ -143,18 +143,18 @@ class Filter:
     """Some or all blocks: levels of n-grams by probes, exact counts of tokens."""
 
     def __init__(self, n_blocks: int):
-        self.n_bits, self.offset = np.ones(n_blocks, np.uint64), np.zeros(n_blocks, np.int64)
+        self.n_words, self.offset = np.ones(n_blocks, np.uint64), np.zeros(n_blocks, np.int64)
         self._bits, self._keys, self._counts, self._size = [], [], [], 1
 
-    def add(self, block: int, bits: bytes, n_bits: int, keys: bytes, counts: bytes) -> None:
-        self.n_bits[block], self.offset[block] = n_bits, self._size * 8
-        self._bits.append(np.frombuffer(bits, np.uint8))
-        self._size += len(bits)
+    def add(self, block: int, bits: bytes, keys: bytes, counts: bytes) -> None:
+        self.n_words[block], self.offset[block] = len(bits) // 8, self._size
+        self._bits.append(np.frombuffer(bits, np.uint64))
+        self._size += len(bits) // 8
         self._keys.append(np.frombuffer(keys, np.uint64))
         self._counts.append(np.frombuffer(counts, "<i8"))
 
     def close(self) -> Filter:
-        self.bits = np.concatenate([np.zeros(1, np.uint8), *self._bits])
+        self.bits = np.concatenate([np.zeros(1, np.uint64), *self._bits])
         keys, counts = np.concatenate([np.zeros(0, np.uint64), *self._keys]), np.concatenate([np.zeros(0, np.int64), *self._counts])
         order = np.argsort(keys)
         self.keys, self.counts = keys[order], counts[order]
@@ -168,17 +168,13 @@ class Filter:
         return np.where(self.keys[at] == hashes, self.counts[at], 0).astype(np.int64)
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
-        block = (hashes % np.uint64(len(self.n_bits))).astype(np.int64)
-        n_bits, offset = self.n_bits[block], self.offset[block]
+        block = (hashes % np.uint64(len(self.n_words))).astype(np.int64)
+        h, n, start = hashes, self.n_words[block], self.offset[block]
         out, live = np.zeros(len(hashes), np.int64), np.arange(len(hashes))
         for j in range(1, len(LEVELS) + 1):
-            h, n, start = hashes[live], n_bits[live], offset[live]
-            a = mix(h + np.uint64(j * 0x9E3779B97F4A7C15 & 2**64 - 1))
-            b = mix(a ^ np.uint64(0xA5A5A5A5A5A5A5A5)) | np.uint64(1)
-            for i in range(PROBES):
-                place = ((a + np.uint64(i) * b) % n).astype(np.int64) + start
-                hit = (self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-                live, a, b, n, start = live[hit], a[hit], b[hit], n[hit], start[hit]
+            word, mask = _events(h, j, n)
+            hit = self.bits[word + start] & mask == mask
+            live, h, n, start = live[hit], h[hit], n[hit], start[hit]
             if not len(live):
                 break
             out[live] = j
@@ -192,32 +188,27 @@ class Totals:
     weight: float
 
 
-def _asked(tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct tokens and contexts, distinct bigrams, all as the hashes the filter knows."""
-    singles = np.unique(np.concatenate([tokens, before[:1], [START]]).astype(np.uint64))
-    pairs = fold_hash([before, tokens])
-    return singles, np.unique(pairs), pairs
-
-
 _SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
 def score_texts(ids: list, texts: list, known, totals: Totals) -> pa.RecordBatch:
-    """known(singles, pairs) -> exact counts and levels of singles, levels of pairs."""
+    """known(singles, pairs) -> exact counts and levels of singles, levels of pairs; singles are distinct."""
     _, all_tokens, all_before, bounds = ngrams(texts)
     size = totals.tokens + 0.1 * (totals.types + 1)
     n_known, base_sum, score_sum = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
     owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
     for a in range(0, len(all_tokens), STEP_TOKENS):
         tokens, before, own = all_tokens[a : a + STEP_TOKENS], all_before[a : a + STEP_TOKENS], owner[a : a + STEP_TOKENS]
-        singles, distinct, pairs = _asked(tokens, before)
-        exact, level, pair_level = known(singles, distinct)
-        at, ctx = np.searchsorted(singles, tokens), np.searchsorted(singles, before)
+        n = len(tokens)
+        singles, which = np.unique(np.concatenate([tokens, before[:1], [START]]).astype(np.uint64), return_inverse=True)
+        at, ctx = which[:n], np.concatenate([which[n : n + 1], which[: n - 1]])
+        ctx[before == START] = which[n + 1]
+        exact, level, pair_level = known(singles, fold_hash([before, tokens]))
         base = np.log10((exact[at] + 0.1) / size)
         single = MIDDLE[level]
         unigram = (single[at] + 0.1) / size
         context = single[ctx]
-        both = np.minimum(MIDDLE[pair_level][np.searchsorted(distinct, pairs)], context)
+        both = np.minimum(MIDDLE[pair_level], context)
         bigram = np.divide(both, context, out=np.zeros(len(both)), where=context > 0)
         p = np.where(context > 0, totals.weight * bigram + (1 - totals.weight) * unigram, unigram)
         for total, values in ((n_known, exact[at] > 0), (base_sum, base), (score_sum, np.log10(np.minimum(p, 1.0)))):
@@ -231,7 +222,7 @@ _SCORED_DDL = "doc_id long, n_tokens long, n_known long, base_score double, scor
 def _scored_by_broadcast(docs: DataFrame, blocks: DataFrame, n_blocks: int, totals: Totals) -> DataFrame:
     whole = Filter(n_blocks)
     for r in blocks.toLocalIterator():
-        whole.add(r["block"], bytes(r["bits"]), r["n_bits"], bytes(r["keys"]), bytes(r["counts"]))
+        whole.add(r["block"], bytes(r["bits"]), bytes(r["keys"]), bytes(r["counts"]))
     sent = docs.sparkSession.sparkContext.broadcast(whole.close())
 
     def known(singles, pairs):
@@ -257,8 +248,7 @@ def _scored_by_exchange(docs: DataFrame, blocks: DataFrame, n_blocks: int, total
         for b in batches:
             for r in b.to_pylist():
                 _, tokens, before, _ = ngrams(r["texts"])
-                singles, distinct, _ = _asked(tokens, before)
-                h = np.unique(np.concatenate([singles, distinct]))
+                h = np.unique(np.concatenate([tokens, [START], fold_hash([before, tokens])]).astype(np.uint64))
                 block = (h % np.uint64(n_blocks)).astype(np.int64) // GROUP
                 order = np.argsort(block, kind="stable")
                 found, first = np.unique(block[order], return_index=True)
@@ -271,7 +261,7 @@ def _scored_by_exchange(docs: DataFrame, blocks: DataFrame, n_blocks: int, total
             for r in b.to_pylist():
                 part = Filter(n_blocks)
                 for x in r["parts"] or []:
-                    part.add(x["block"], x["bits"], x["n_bits"], x["keys"], x["counts"])
+                    part.add(x["block"], x["bits"], x["keys"], x["counts"])
                 part.close()
                 for name, packed in zip(r["bundles"], r["hashes"]):
                     h = np.frombuffer(packed, np.uint64)
@@ -294,7 +284,7 @@ def _scored_by_exchange(docs: DataFrame, blocks: DataFrame, n_blocks: int, total
     asks = bundles.mapInArrow(asking, "block int, bundle string, hashes binary")
     share = F.pmod(F.xxhash64("bundle"), F.lit(max(1, -(-3 * text_volume(docs) // (ASKED_BYTES * -(-n_blocks // GROUP)))))).alias("share")
     shared = asks.groupBy("block", share).agg(F.collect_list("bundle").alias("bundles"), F.collect_list("hashes").alias("hashes"))
-    grouped = blocks.groupBy(F.floor(F.col("block") / GROUP).cast("int").alias("block")).agg(F.collect_list(F.struct("block", "bits", "n_bits", "keys", "counts")).alias("parts"))
+    grouped = blocks.groupBy(F.floor(F.col("block") / GROUP).cast("int").alias("block")).agg(F.collect_list(F.struct("block", "bits", "keys", "counts")).alias("parts"))
     replies = shared.join(grouped, "block", "left").mapInArrow(answering, "bundle string, hashes binary, counts binary, levels binary")
     gathered = replies.groupBy("bundle").agg(*(F.collect_list(F.struct("hashes", c)).alias(c) for c in ("counts",)), F.collect_list(F.struct("hashes", "levels")).alias("levels"))
     gathered = gathered.select("bundle", F.transform("counts", lambda x: x["hashes"]).alias("hashes"), F.transform("counts", lambda x: x["counts"]).alias("counts"), F.transform("levels", lambda x: x["levels"]).alias("levels"))
