@@ -87,11 +87,9 @@ def count_ngrams(train: DataFrame, n_blocks: int) -> DataFrame:
         for kind, parts in held.items():
             if parts:
                 keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-                block = (keys % np.uint64(n_blocks)).astype(np.int64)
-                order = np.argsort(block, kind="stable")
-                edges = np.searchsorted(block[order], np.arange(n_blocks + 1))
+                edges = np.searchsorted(block_of(keys, n_blocks), np.arange(n_blocks + 1))
                 for b in np.flatnonzero(np.diff(edges)):
-                    own = order[edges[b] : edges[b + 1]]
+                    own = slice(edges[b], edges[b + 1])
                     yield batch_of(_PART, block=[b], kind=[kind], keys=[keys[own].tobytes()], counts=[counts[own].astype("<u4").tobytes()])
 
     def run(batches):
@@ -139,27 +137,28 @@ def filter_blocks(parts: DataFrame) -> DataFrame:
     return per_group(parts, ["block"], merge, _BLOCK_DDL)
 
 
+def block_of(hashes: np.ndarray, n_blocks: int) -> np.ndarray:
+    """Blocks are ranges of hashes, so blocks in order hold keys in order."""
+    return (((hashes >> np.uint64(32)) * np.uint64(n_blocks)) >> np.uint64(32)).astype(np.int64)
+
+
 class Filter:
-    """Some or all blocks: levels of n-grams by probes, exact counts of tokens."""
+    """Some or all blocks, added in their order: levels of n-grams by probes, exact counts of tokens.
+
+    Arrays are made once, of their final size, as the driver holds all that is sent.
+    """
 
-    def __init__(self, n_blocks: int):
+    def __init__(self, n_blocks: int, n_words: int, n_keys: int, most: int):
         self.n_words, self.offset = np.ones(n_blocks, np.uint64), np.zeros(n_blocks, np.int64)
-        self._bits, self._keys, self._counts, self._size = [], [], [], 1
+        self.bits, self._used, self._keys_used = np.zeros(n_words + 1, np.uint64), 1, 0
+        self.keys, self.counts = np.zeros(n_keys, np.uint64), np.zeros(n_keys, np.uint32 if most < 2**32 else np.int64)
 
     def add(self, block: int, bits: bytes, keys: bytes, counts: bytes) -> None:
-        self.n_words[block], self.offset[block] = len(bits) // 8, self._size
-        self._bits.append(np.frombuffer(bits, np.uint64))
-        self._size += len(bits) // 8
-        self._keys.append(np.frombuffer(keys, np.uint64))
-        self._counts.append(np.frombuffer(counts, "<i8"))
-
-    def close(self) -> Filter:
-        self.bits = np.concatenate([np.zeros(1, np.uint64), *self._bits])
-        keys, counts = np.concatenate([np.zeros(0, np.uint64), *self._keys]), np.concatenate([np.zeros(0, np.int64), *self._counts])
-        order = np.argsort(keys)
-        self.keys, self.counts = keys[order], counts[order]
-        self._bits = self._keys = self._counts = None
-        return self
+        words, n, k = np.frombuffer(bits, np.uint64), self._used, self._keys_used
+        self.n_words[block], self.offset[block], self._used = len(words), n, n + len(words)
+        self.bits[n : self._used] = words
+        self._keys_used += len(keys) // 8
+        self.keys[k : self._keys_used], self.counts[k : self._keys_used] = np.frombuffer(keys, np.uint64), np.frombuffer(counts, "<i8")
 
     def exact(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -168,7 +167,7 @@ class Filter:
         return np.where(self.keys[at] == hashes, self.counts[at], 0).astype(np.int64)
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
-        block = (hashes % np.uint64(len(self.n_words))).astype(np.int64)
+        block = block_of(hashes, len(self.n_words))
         h, n, start = hashes, self.n_words[block], self.offset[block]
         out, live = np.zeros(len(hashes), np.int64), np.arange(len(hashes))
         for j in range(1, len(LEVELS) + 1):
@@ -220,10 +219,12 @@ _SCORED_DDL = "doc_id long, n_tokens long, n_known long, base_score double, scor
 
 
 def _scored_by_broadcast(docs: DataFrame, blocks: DataFrame, n_blocks: int, totals: Totals) -> DataFrame:
-    whole = Filter(n_blocks)
-    for r in blocks.toLocalIterator():
-        whole.add(r["block"], bytes(r["bits"]), bytes(r["keys"]), bytes(r["counts"]))
-    sent = docs.sparkSession.sparkContext.broadcast(whole.close())
+    n_words, n_keys = blocks.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0)), F.coalesce(F.sum(F.octet_length("keys")), F.lit(0))).first()
+    whole = Filter(n_blocks, n_words // 8, n_keys // 8, totals.tokens)
+    for r in blocks.select("block", "bits", "keys", "counts").orderBy("block").toLocalIterator():
+        whole.add(r["block"], r["bits"], r["keys"], r["counts"])
+    sent = docs.sparkSession.sparkContext.broadcast(whole)
+    del whole
 
     def known(singles, pairs):
         return sent.value.exact(singles), sent.value.levels(singles), sent.value.levels(pairs)
@@ -249,20 +250,18 @@ def _scored_by_exchange(docs: DataFrame, blocks: DataFrame, n_blocks: int, total
             for r in b.to_pylist():
                 _, tokens, before, _ = ngrams(r["texts"])
                 h = np.unique(np.concatenate([tokens, [START], fold_hash([before, tokens])]).astype(np.uint64))
-                block = (h % np.uint64(n_blocks)).astype(np.int64) // GROUP
-                order = np.argsort(block, kind="stable")
-                found, first = np.unique(block[order], return_index=True)
+                found, first = np.unique(block_of(h, n_blocks) // GROUP, return_index=True)
                 edges = [*first.tolist(), len(h)]
-                hashes = [h[order[x:z]].tobytes() for x, z in zip(edges[:-1], edges[1:])]
+                hashes = [h[x:z].tobytes() for x, z in zip(edges[:-1], edges[1:])]
                 yield batch_of(ask, block=found, bundle=[r["bundle"]] * len(found), hashes=hashes)
 
     def answering(batches):
         for b in batches:
             for r in b.to_pylist():
-                part = Filter(n_blocks)
-                for x in r["parts"] or []:
+                own = sorted(r["parts"] or [], key=lambda x: x["block"])
+                part = Filter(n_blocks, sum(len(x["bits"]) for x in own) // 8, sum(len(x["keys"]) for x in own) // 8, totals.tokens)
+                for x in own:
                     part.add(x["block"], x["bits"], x["keys"], x["counts"])
-                part.close()
                 for name, packed in zip(r["bundles"], r["hashes"]):
                     h = np.frombuffer(packed, np.uint64)
                     yield batch_of(reply, bundle=[name], hashes=[packed], counts=[part.exact(h).tobytes()], levels=[part.levels(h).astype(np.uint8).tobytes()])
