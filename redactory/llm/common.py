@@ -176,6 +176,12 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a stored table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def text_volume(docs: DataFrame, text: str = "text") -> int:
     """Characters in all texts; what sizes blocks, filters and shards."""
     return int(docs.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0])
@@ -191,10 +197,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Large-star and small-star rounds; each is two aggregations that combine before the shuffle and joins that
     adaptive execution can split, so a hub with a large part of the edges is no single task. Every round is written
-    to the shared folder.
+    to the shared folder, and the one before it deleted.
     """
     spark, kind = edges.sparkSession, edges.schema["a"].dataType
-    edges = stored(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    path = shared_dir(spark)
+    edges = stored(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), path)
     if edges.isEmpty():
         return spark.createDataFrame([], f"node {kind.simpleString()}, component {kind.simpleString()}")
 
@@ -209,7 +216,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # now every edge has a < b; the small star joins b's lesser neighbours to the least of them
         small_least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(small_least, "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x <> y")
-        edges = stored(small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        last, path = path, shared_dir(spark)
+        edges = stored(small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), path)
+        discard(spark, last)
         now = mark(edges)
         if now == before:
             break

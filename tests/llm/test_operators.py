@@ -144,9 +144,8 @@ def test_filter_never_misses_and_seldom_overstates(spark):
     bits = np.zeros(1 + int(level.sum()) * lm_score.BITS_PER_EVENT // 64, np.uint64)
     for j in range(1, level.max() + 1):
         np.bitwise_or.at(bits, *lm_score._events(keys[level >= j], j, len(bits)))
-    f = lm_score.Filter(1)
+    f = lm_score.Filter(1, len(bits), 0, 0)
     f.add(0, bits.tobytes(), b"", b"")
-    f.close()
     got = f.levels(keys)
     assert (got >= level).all() and (got > level).mean() < 0.05
     assert (f.levels(rng.integers(0, 2**63, 20_000, dtype=np.uint64)) > 0).mean() < 0.05
@@ -169,6 +168,15 @@ def test_url_verdicts(spark):
     assert url_filter.judge_urls(pages.limit(0), url_filter.RULES, url_filter.link_edges(pages.limit(0))).count() == 0
 
 
+def test_odd_pages(spark):
+    """Nulls everywhere, repeated rows, and columns named as the results are."""
+    link = '<link rel="canonical" href="http://b.org/y">'
+    rows = [(None, None, None, "x", "x"), (1, "http://a.net/x", link, "x", "x"), (1, "http://a.net/x", link, "x", "x"), (None, "http://a.net/x", None, None, None), (2, "", "", "x", "x"), (3, "://", link, "x", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, verdict string, host string")
+    got = url_filter.judge_urls(pages, url_filter.RULES, url_filter.link_edges(pages)).select("page_id", "host", "verdict").collect()
+    assert sorted((r.page_id or 0, r.host, r.verdict) for r in got) == [(0, "", "allow"), (0, "a.net", "allow"), (1, "a.net", "allow"), (1, "a.net", "allow"), (2, "", "allow"), (3, "", "allow")]
+
+
 def near_brute(docs, width, percent):
     sets = {}
     for i, t in docs:
@@ -280,6 +288,15 @@ def test_chat_round_trip(spark):
     assert [t.role for t in got[2].turns] == ["odd|role>\n"] * 2 and got[None].turns[0].role == ""
 
 
+def test_odd_turns(spark):
+    """No turns, null parts and ids, and columns named as the results are."""
+    kind = f"conv_id long, turn long, role string, parts {chat.PART}, formatted string, loss string, head string"
+    rows = [(1, None, None, None, "x", "x", "x"), (1, None, None, None, "x", "x", "x"), (None, 1, "assistant", [(None, None, None, None)], "x", "x", "x")]
+    got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(spark.createDataFrame(rows, kind))).collect()}
+    assert [(t.role, t.text, t.under_loss) for t in got[1].turns] == [("", "", None)] * 2 and [(t.text, t.under_loss) for t in got[None].turns] == [("", "")]
+    assert chat.format_conversations(spark.createDataFrame([], kind)).count() == 0
+
+
 def test_chat_parts(spark):
     parts = [("text", "see", None, None), ("image", None, "img://1", 2.5), ("audio", None, "a.wav", 3.0), ("strange", None, "r", None), ("document", None, "d.pdf", None)]
     turns = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None)], f"conv_id long, turn long, role string, parts {chat.PART}")
