@@ -224,6 +224,23 @@ def test_no_scan_inside_a_filter(spark, name):
     assert len(plan) < 150_000 and not any("regexp_replace" in line for line in plan.split("\n") if line.strip(" +-:").startswith("Filter"))
 
 
+def test_stores(spark, tmp_path):
+    from redactory.sources import stores
+
+    path = f"{tmp_path}/mapping"
+    assert stores.load_mapping(spark, path).count() == 0
+    rows = [("a", "EMAIL", "b")]
+    stores.save_mapping(spark.createDataFrame(rows, stores.MAPPING), path)
+    stores.save_mapping(stores.load_mapping(spark, path).unionByName(spark.createDataFrame([("c", "BSB", "d")], stores.MAPPING)), path)
+    assert sorted(tuple(r) for r in stores.load_mapping(spark, path).collect()) == [("a", "EMAIL", "b"), ("c", "BSB", "d")]
+    stores.save_mapping(stores.load_mapping(spark, path).limit(0), path)
+    assert stores.load_mapping(spark, path).count() == 0
+    log = f"{tmp_path}/log"
+    for part in ([(1, "x"), (2, "x")], [(3, "x"), (1, "y")]):
+        stores.append_log(spark.createDataFrame(part, "event_id long, who string"), log)
+    assert sorted(tuple(r) for r in stores.load_log(spark, log, "who", 2).collect()) == [(1, "y"), (2, "x"), (3, "x")]
+
+
 def test_registered_functions(spark):
     from redactory.functions.register import register
 
