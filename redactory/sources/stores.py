@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from redactory.operators.activity import keep_last
@@ -17,7 +18,7 @@ def _snapshots(spark: SparkSession, path: str) -> int | None:
         found = spark.read.schema(f"{MAPPING}, snapshot int").parquet(path)
     except AnalysisException:
         return None  # nothing was saved yet
-    return found.agg(F.max("snapshot")).first()[0]
+    return max((int(m[1]) for m in map(re.compile(r"snapshot=(\d+)/").search, found.inputFiles()) if m), default=None)
 
 
 def load_mapping(spark: SparkSession, path: str) -> DataFrame:
