@@ -192,28 +192,79 @@ def similar(sets: list[np.ndarray], percent: int) -> np.ndarray:
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def _groups_of(batches, group: str, value: str):
+    """(group, its reps, their values, places in the part's table) for each group within a part, and that table."""
+    table = pa.Table.from_batches(list(batches))
+    groups, items = (table.column(c).to_numpy() for c in (group, "rep"))
+    values = table.column(value).to_pylist() if value == "sig" else table.column(value).combine_chunks()
+    order = np.lexsort((items, groups))
+    edges = np.flatnonzero(np.concatenate([[True], groups[order][1:] != groups[order][:-1], [True]]))
+    return table, [(groups[order[x]], items[order[x:z]], [values[int(i)] for i in order[x:z]], order[x:z]) for x, z in zip(edges[:-1], edges[1:])]
+
+
 def _forests(rows: DataFrame, group: str, value: str, connect) -> DataFrame:
     """Edges (a, b) of a forest for each group within each part; connect(values) -> which pairs are connected."""
 
     def run(key, batches):
-        table = pa.Table.from_batches(list(batches))
-        groups, items = (table.column(c).to_numpy() for c in (group, "rep"))
-        values = table.column(value).to_pylist() if value == "sig" else table.column(value).combine_chunks()
-        order = np.lexsort((items, groups))
-        edges = np.flatnonzero(np.concatenate([[True], groups[order][1:] != groups[order][:-1], [True]]))
-        a, b = [], []
-        for x, z in zip(edges[:-1], edges[1:]):
-            own = order[x:z]
-            if len(own) > 1:
-                p, c = spanning_forest(connect([values[int(i)] for i in own]))
-                a.append(items[own[p]])
-                b.append(items[own[c]])
-        empty = np.zeros(0, np.int64)
-        yield batch_of(_EDGES, a=np.concatenate([empty, *a]), b=np.concatenate([empty, *b]))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for _, items, values, _ in _groups_of(batches, group, value)[1]:
+            if len(items) > 1:
+                p, c = spanning_forest(connect(values))
+                a.append(items[p])
+                b.append(items[c])
+        yield batch_of(_EDGES, a=np.concatenate(a), b=np.concatenate(b))
 
     return per_group(rows.select("part", group, "rep", value), ["part"], run, "a long, b long").where("a <> b")
 
 
+_HOME = pa.schema([("kind", pa.int32()), ("g", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+
+def _at_home(rows: DataFrame, group: str, value: str, connect) -> DataFrame:
+    """(kind, g, a, b) for the blocks of large groups with their pivots: 0 an edge of a forest, 1 a member at home and the
+    least pivot that it is connected with in its block, 2 two pivots that are connected."""
+
+    def run(key, batches):
+        table, found = _groups_of(batches, group, value)
+        pivot, home = (table.column(c).to_numpy(zero_copy_only=False) for c in ("pivot", "home"))
+        out = []
+        for g, items, values, at in found:
+            p, c = spanning_forest(connect(values))
+            root = np.arange(len(items))
+            for x, y in zip(p.tolist(), c.tolist()):  # parents come before their children
+                root[y] = root[x]
+            out += [(0, g, items[x], items[y]) for x, y in zip(p.tolist(), c.tolist())]
+            least: dict[int, int] = {}
+            for i in np.flatnonzero(pivot[at]).tolist():
+                least[root[i]] = min(least.get(root[i], items[i]), items[i])
+            out += [(2, g, least[root[i]], items[i]) for i in np.flatnonzero(pivot[at]).tolist()]
+            out += [(1, g, items[i], least[root[i]]) for i in np.flatnonzero(home[at]).tolist() if root[i] in least]
+        yield batch_of(_HOME, **{f.name: [x[k] for x in out] for k, f in enumerate(_HOME)})
+
+    return per_group(rows.select("part", group, "rep", "pivot", "home", value), ["part"], run, "kind int, g long, a long, b long")
+
+
+def _pivot_roots(edges: DataFrame) -> DataFrame:
+    """(g, pivot, root) from distinct edges (g, a, b) of the pivots of each group, which are few."""
+
+    def run(key, batches):
+        root: dict[int, int] = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for b in batches:
+            for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist()):
+                x, y = find(x), find(y)
+                root[max(x, y)] = min(x, y)
+        pivots = list(root)
+        yield pa.RecordBatch.from_pydict({"g": [key[0]] * len(pivots), "pivot": pivots, "root": [find(x) for x in pivots]}, schema=pa.schema([("g", pa.int64()), ("pivot", pa.int64()), ("root", pa.int64())]))
+
+    return per_group(edges, ["g"], run, "g long, pivot long, root long")
+
+
 def linked(rows: DataFrame, group: str, value: str, connect, block_weight: int, task_weight: int) -> DataFrame:
     """Edges (a, b) that connect, in each group of rows (group, rep, w, value), what ``connect`` connects.
 
@@ -228,20 +279,23 @@ def linked(rows: DataFrame, group: str, value: str, connect, block_weight: int,
         return _forests(small, group, value, connect)
     large = placed.where("_blocks > 1")
     blocks = F.sequence(F.lit(0), F.col("_blocks") - 1)
-    pivots = large.where(F.pmod(F.xxhash64("rep", F.lit(7)), F.col("_n")) < PIVOTS).withColumn("_block", F.explode(blocks)).where("_block <> _own")
-    at_home = large.withColumn("_block", F.col("_own")).unionByName(pivots).withColumn("part", F.concat_ws("-", group, "_block")).drop("_block")
-    first = stored(_forests(small.unionByName(at_home), group, value, connect))
-    of = connected_components(first).toDF("rep", "_component")
-    known = stored(large.select(group, "rep", "w").join(of, "rep", "left").select(group, "rep", "w", F.coalesce("_component", "rep").alias("_component")))
-    main = known.groupBy(group, "_component").agg(F.count("*").alias("n")).groupBy(group).agg(F.max_by("_component", F.struct("n", "_component")).alias("_main"))
-    outside = stored(known.join(F.broadcast(main), group).where("_component <> _main").select(group, "rep", "w"))
+    marked = large.withColumn("pivot", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("_n")) < PIVOTS)
+    guests = marked.where("pivot").withColumn("_block", F.explode(blocks)).where("_block <> _own").withColumn("home", F.lit(False))
+    at_home = marked.withColumn("_block", F.col("_own")).withColumn("home", F.lit(True)).unionByName(guests).withColumn("part", F.concat_ws("-", group, "_block"))
+    met = stored(_at_home(at_home, group, value, connect))
+    first = _forests(small, group, value, connect).unionByName(met.where("kind = 0 AND a <> b").select("a", "b"))
+    roots = stored(_pivot_roots(met.where("kind = 2").select("g", "a", "b").distinct()))
+    known = met.where("kind = 1").select("g", F.col("a").alias("rep"), F.col("b").alias("pivot")).join(roots, ["g", "pivot"]).select(F.col("g").alias(group), "rep", "root")
+    main = known.groupBy(group, "root").agg(F.count("*").alias("n")).groupBy(group).agg(F.max_by("root", F.struct("n", "root")).alias("root"))
+    inside = known.join(main, [group, "root"]).select(group, "rep")
+    outside = stored(large.select(group, "rep", "w").join(inside, [group, "rep"], "left_anti"))
     parts = outside.groupBy(group).agg(F.ceil(F.sum("w") / block_weight).cast("int").alias("_chunks"))
-    cut = large.join(F.broadcast(parts), group)
+    cut = large.join(parts, group)
     chunks_ = F.sequence(F.lit(0), F.col("_chunks") - 1)
     everyone = cut.withColumn("_chunk", F.explode(chunks_)).withColumn("_block", F.col("_own"))
     guests = cut.join(outside.select(group, "rep"), [group, "rep"]).withColumn("_chunk", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("_chunks")).cast("int")).withColumn("_block", F.explode(blocks))
-    met = everyone.unionByName(guests.where("_block <> _own").select(*everyone.columns)).withColumn("part", F.concat_ws("-", group, "_block", "_chunk"))
-    return first.unionByName(_forests(met, group, value, connect))
+    again = everyone.unionByName(guests.where("_block <> _own").select(*everyone.columns)).withColumn("part", F.concat_ws("-", group, "_block", "_chunk"))
+    return first.unionByName(_forests(again, group, value, connect))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, keep: list[str] | None = None) -> DataFrame:
