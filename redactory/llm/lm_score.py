@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from redactory.llm.common import Words, batch_of, chunks, fold_hash, held_out, mix, per_group, read_table, stored, text_volume
 
 BITS_PER_EVENT, PROBES = 12, 5
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 8_000_000
 LIMIT_BYTES = 256 << 20
-GROUP, ASKED_BYTES, BUNDLE_CHARS, STEP_TOKENS = 16, 32 << 20, 4 << 20, 1 << 20
+GROUP, ASKED_BYTES, BUNDLE_CHARS, STEP_TOKENS = 32, 32 << 20, 4 << 20, 1 << 20
 END, START = np.uint64(0xE4D0), np.uint64(0x57A7)
 
 
@@ -143,22 +143,24 @@ def block_of(hashes: np.ndarray, n_blocks: int) -> np.ndarray:
 
 
 class Filter:
-    """Some or all blocks, added in their order: levels of n-grams by probes, exact counts of tokens.
+    """Some or all blocks: levels of n-grams by probes, exact counts of tokens.
 
-    Arrays are made once, of their final size, as the driver holds all that is sent.
+    sizes: (block, bytes of bits, bytes of keys). Arrays are made once, of their final size, as the driver holds all that
+    is sent; blocks are then added in any order.
     """
 
-    def __init__(self, n_blocks: int, n_words: int, n_keys: int, most: int):
+    def __init__(self, n_blocks: int, sizes: list[tuple[int, int, int]], most: int):
         self.n_words, self.offset = np.ones(n_blocks, np.uint64), np.zeros(n_blocks, np.int64)
-        self.bits, self._used, self._keys_used = np.zeros(n_words + 1, np.uint64), 1, 0
-        self.keys, self.counts = np.zeros(n_keys, np.uint64), np.zeros(n_keys, np.uint32 if most < 2**32 else np.int64)
+        self._first, words, n_keys = {}, 1, 0
+        for block, bits, keys in sorted(sizes):
+            self.n_words[block], self.offset[block], self._first[block] = bits // 8, words, n_keys
+            words, n_keys = words + bits // 8, n_keys + keys // 8
+        self.bits, self.keys, self.counts = np.zeros(words, np.uint64), np.zeros(n_keys, np.uint64), np.zeros(n_keys, np.uint32 if most < 2**32 else np.int64)
 
     def add(self, block: int, bits: bytes, keys: bytes, counts: bytes) -> None:
-        words, n, k = np.frombuffer(bits, np.uint64), self._used, self._keys_used
-        self.n_words[block], self.offset[block], self._used = len(words), n, n + len(words)
-        self.bits[n : self._used] = words
-        self._keys_used += len(keys) // 8
-        self.keys[k : self._keys_used], self.counts[k : self._keys_used] = np.frombuffer(keys, np.uint64), np.frombuffer(counts, "<i8")
+        n, k = self.offset[block], self._first[block]
+        self.bits[n : n + len(bits) // 8] = np.frombuffer(bits, np.uint64)
+        self.keys[k : k + len(keys) // 8], self.counts[k : k + len(keys) // 8] = np.frombuffer(keys, np.uint64), np.frombuffer(counts, "<i8")
 
     def exact(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -219,9 +221,9 @@ _SCORED_DDL = "doc_id long, n_tokens long, n_known long, base_score double, scor
 
 
 def _scored_by_broadcast(docs: DataFrame, blocks: DataFrame, n_blocks: int, totals: Totals) -> DataFrame:
-    n_words, n_keys = blocks.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0)), F.coalesce(F.sum(F.octet_length("keys")), F.lit(0))).first()
-    whole = Filter(n_blocks, n_words // 8, n_keys // 8, totals.tokens)
-    for r in blocks.select("block", "bits", "keys", "counts").orderBy("block").toLocalIterator():
+    sizes = [tuple(r) for r in blocks.select("block", F.octet_length("bits"), F.octet_length("keys")).collect()]
+    whole = Filter(n_blocks, sizes, totals.tokens)
+    for r in blocks.select("block", "bits", "keys", "counts").toLocalIterator():
         whole.add(r["block"], r["bits"], r["keys"], r["counts"])
     sent = docs.sparkSession.sparkContext.broadcast(whole)
     del whole
@@ -258,8 +260,8 @@ def _scored_by_exchange(docs: DataFrame, blocks: DataFrame, n_blocks: int, total
     def answering(batches):
         for b in batches:
             for r in b.to_pylist():
-                own = sorted(r["parts"] or [], key=lambda x: x["block"])
-                part = Filter(n_blocks, sum(len(x["bits"]) for x in own) // 8, sum(len(x["keys"]) for x in own) // 8, totals.tokens)
+                own = r["parts"] or []
+                part = Filter(n_blocks, [(x["block"], len(x["bits"]), len(x["keys"])) for x in own], totals.tokens)
                 for x in own:
                     part.add(x["block"], x["bits"], x["keys"], x["counts"])
                 for name, packed in zip(r["bundles"], r["hashes"]):

@@ -144,7 +144,7 @@ def test_filter_never_misses_and_seldom_overstates(spark):
     bits = np.zeros(1 + int(level.sum()) * lm_score.BITS_PER_EVENT // 64, np.uint64)
     for j in range(1, level.max() + 1):
         np.bitwise_or.at(bits, *lm_score._events(keys[level >= j], j, len(bits)))
-    f = lm_score.Filter(1, len(bits), 0, 0)
+    f = lm_score.Filter(1, [(0, 8 * len(bits), 0)], 0)
     f.add(0, bits.tobytes(), b"", b"")
     got = f.levels(keys)
     assert (got >= level).all() and (got > level).mean() < 0.05
