@@ -68,7 +68,7 @@ def _united(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+    return keys[first], np.add.reduceat(counts, first, dtype=np.int64) if len(first) else counts.astype(np.int64)
 
 
 def _events(hashes: np.ndarray, level: int, n_words: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +101,7 @@ def count_ngrams(train: DataFrame, n_blocks: int) -> DataFrame:
             held[1].append(tokens)
             held[2].append(fold_hash([before, tokens]))
             n += len(tokens)
-            if n > 3_000_000:
+            if n > 1_500_000:
                 yield from pack(held)
                 held, n = {0: [], 1: [], 2: []}, 0
         yield from pack(held)
@@ -121,8 +121,8 @@ def filter_blocks(parts: DataFrame) -> DataFrame:
         for b in batches:
             for kind, keys, counts in zip(*(b.column(c).to_pylist() for c in ("kind", "keys", "counts"))):
                 held[kind][0].append(np.frombuffer(keys, np.uint64))
-                held[kind][1].append(np.frombuffer(counts, "<u4").astype(np.int64))
-        united = {k: _united(np.concatenate([np.zeros(0, np.uint64), *a]), np.concatenate([np.zeros(0, np.int64), *b])) for k, (a, b) in held.items()}
+                held[kind][1].append(np.frombuffer(counts, "<u4"))
+        united = {k: _united(np.concatenate([np.zeros(0, np.uint64), *a]), np.concatenate([np.zeros(0, "<u4"), *b])) for k, (a, b) in held.items()}
         keys = np.concatenate([united[k][0] for k in (0, 1, 2)])
         level = np.searchsorted(LEVELS, np.concatenate([united[k][1] for k in (0, 1, 2)]), side="right")
         bits = np.zeros(1 + int(level.sum()) * BITS_PER_EVENT // 64, np.uint64)
