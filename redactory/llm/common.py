@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,15 +131,14 @@ def fold_hash(parts: list[np.ndarray]) -> np.ndarray:
 def chunks(batches, columns: list[str], text: str = "text", size: int = CHUNK_BYTES):
     """Dicts of column lists, each with about ``size`` characters of text, from Arrow batches."""
     for batch in batches:
-        values = {c: batch.column(c).to_pylist() for c in columns}
+        lengths = pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_pylist()
         start = weight = 0
-        for i, t in enumerate(values[text]):
-            weight += len(t or "") + 32
-            if weight >= size:
-                yield {c: v[start : i + 1] for c, v in values.items()}
+        for i, n in enumerate(lengths):
+            weight += n + 32
+            if weight >= size or i == batch.num_rows - 1:
+                part = batch.slice(start, i + 1 - start)  # only this part becomes Python objects
+                yield {c: part.column(c).to_pylist() for c in columns}
                 start, weight = i + 1, 0
-        if start < batch.num_rows:
-            yield {c: v[start:] for c, v in values.items()}
 
 
 def per_group(df: DataFrame, by: list[str], fn: Callable, schema: str) -> DataFrame:
