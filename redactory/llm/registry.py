@@ -5,6 +5,7 @@ from __future__ import annotations
 from redactory.llm.chat import OP7_SQL, op7_chat_format
 from redactory.llm.decontaminate import op2_decontaminate
 from redactory.llm.line_dedup import OP8_SQL, op8_line_dedup
+from redactory.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from redactory.llm.lm_score import op1_lm_score
 from redactory.llm.near_dedup import op5_near_dedup
 from redactory.llm.packing import op4_packing
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 ORACLE_SQL = {
     "op3_url_filter": OP3_SQL,
     "op7_chat_format": OP7_SQL,
     "op8_line_dedup": OP8_SQL,
+    "op11_hard_negatives": OP11_SQL,
 }
