@@ -9,6 +9,7 @@ from redactory.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from redactory.llm.lm_score import op1_lm_score
 from redactory.llm.near_dedup import op5_near_dedup
 from redactory.llm.packing import op4_packing
+from redactory.llm.permutation_index import op13_nearest_neighbours
 from redactory.llm.repetition import op6_quality_rules
 from redactory.llm.substring_dedup import op10_substring_dedup
 from redactory.llm.toxicity import op9_toxicity
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 ORACLE_SQL = {
     "op3_url_filter": OP3_SQL,
