@@ -10,6 +10,7 @@ from redactory.llm.lm_score import op1_lm_score
 from redactory.llm.near_dedup import op5_near_dedup
 from redactory.llm.packing import op4_packing
 from redactory.llm.permutation_index import op13_nearest_neighbours
+from redactory.llm.prefix_trie import OP12_SQL, op12_prefix_trie
 from redactory.llm.repetition import op6_quality_rules
 from redactory.llm.substring_dedup import op10_substring_dedup
 from redactory.llm.toxicity import op9_toxicity
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 ORACLE_SQL = {
@@ -34,4 +36,5 @@ ORACLE_SQL = {
     "op7_chat_format": OP7_SQL,
     "op8_line_dedup": OP8_SQL,
     "op11_hard_negatives": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
 }
