@@ -93,24 +93,38 @@ class InvertedFiles:
         return np.argpartition(-(total * self.n - np.arange(self.n)), n - 1)[:n]
 
 
+class Stripe:
+    """The rows of one range of norms, by id, with their inverted files."""
+
+    def __init__(self, held: pa.Table, pivots: int, width: int, posted: int):
+        held = held.sort_by([("vec_id", "ascending"), ("uid", "ascending")]).combine_chunks()
+        self.v, self.ids, self.uids = unpacked(held.column("v").combine_chunks(), width, np.float64), held.column("vec_id").to_numpy(), held.column("uid").to_numpy()
+        self.files = InvertedFiles(unpacked(held.column("order").combine_chunks(), posted, np.uint16).astype(np.int64), pivots)
+
+    def search(self, q: np.ndarray, order: np.ndarray, own: int, share: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, scores) with the k best of the candidates among them."""
+        near = self.files.nearest(order, max(int(np.ceil(share * len(self.ids))), LEAST_CANDIDATES * k))
+        near = near[self.uids[near] != own]
+        s = self.v[near] @ q
+        if len(near) > 4 * k:  # everything as good as the k-th
+            keep = s >= np.partition(s, len(s) - k)[len(s) - k]
+            near, s = near[keep], s[keep]
+        return near, s
+
+
 def search_cell(ask: pa.Table, held: pa.Table, pivots: int, width: int, posted: int, asked: int, share: float, k: int):
-    held = held.sort_by([("vec_id", "ascending"), ("uid", "ascending")]).combine_chunks()
-    v, ids, uids = unpacked(held.column("v").combine_chunks(), width, np.float64), held.column("vec_id").to_numpy(), held.column("uid").to_numpy()
-    files = InvertedFiles(unpacked(held.column("order").combine_chunks(), posted, np.uint16).astype(np.int64), pivots)
-    n = max(int(np.ceil(share * len(ids))), LEAST_CANDIDATES * k)
+    """The k best rows of all stripes of a cell, for each query."""
+    number = held.column("stripe").to_numpy()
+    stripes = [Stripe(held.filter(pa.array(number == x)), pivots, width, posted) for x in np.unique(number)]
     for at in range(0, ask.num_rows, 1024):
         part = ask.slice(at, 1024).combine_chunks()
         q, orders = unpacked(part.column("v").combine_chunks(), width, np.float64), unpacked(part.column("order").combine_chunks(), posted, np.uint16).astype(np.int64)
         own, name, out = part.column("uid").to_numpy(), part.column("vec_id").to_numpy(), []
         for i in range(len(q)):
-            near = files.nearest(orders[i, :asked], n)
-            near = near[uids[near] != own[i]]
-            s = v[near] @ q[i]
-            if len(near) > 4 * k:  # everything as good as the k-th, then in order
-                keep = s >= np.partition(s, len(s) - k)[len(s) - k]
-                near, s = near[keep], s[keep]
-            first = np.lexsort((ids[near], -s))[:k]
-            out.append((np.full(len(first), own[i]), np.full(len(first), name[i]), uids[near[first]], ids[near[first]], s[first]))
+            found = [(x, *x.search(q[i], orders[i, :asked], own[i], share, k)) for x in stripes]
+            ids, uids, s = (np.concatenate(c) for c in zip(*((x.ids[near], x.uids[near], s) for x, near, s in found)))
+            first = np.lexsort((ids, -s))[:k]
+            out.append((np.full(len(first), own[i]), np.full(len(first), name[i]), uids[first], ids[first], s[first]))
         uid, query_id, found_uid, vec_id, score = (np.concatenate(x) for x in zip(*out))
         yield batch_of(_FOUND, uid=uid, query_id=query_id, found_uid=found_uid, vec_id=vec_id, score=score)
 
@@ -129,12 +143,12 @@ def nearest_neighbours(
     posted, asked = max(1, int(n_pivots * posted)), max(1, int(n_pivots * asked))
     rows = stored(indexed(vectors, pivots, posted))
     n, n_queries = rows.agg(F.count("*"), F.count_if(is_query)).first()
-    striped = stored(rows.repartitionByRange(parts(n, stripe_rows), "norm", "uid").withColumn("s", F.spark_partition_id()))
-    n_stripes = striped.agg(F.coalesce(F.max("s"), F.lit(0))).first()[0] + 1
-    n_blocks = parts(n_queries, block_rows)
+    striped = stored(rows.repartitionByRange(parts(n, stripe_rows), "norm", "uid").withColumn("stripe", F.spark_partition_id()))
+    n_cells, n_blocks = parts(n, stripe_rows), parts(n_queries, block_rows)  # a cell may hold several stripes, if they are small
+    striped = striped.withColumn("s", (F.col("stripe") % n_cells).cast("int"))
     asking = striped.where(is_query).drop("s").withColumn("j", dealt(n_blocks))
     found = in_cells(
-        striped, asking, n_stripes, n_blocks, lambda ask, held: search_cell(ask, held, n_pivots, width, posted, asked, share, k), "uid long, query_id long, found_uid long, vec_id long, score double"
+        striped, asking, n_cells, n_blocks, lambda ask, held: search_cell(ask, held, n_pivots, width, posted, asked, share, k), "uid long, query_id long, found_uid long, vec_id long, score double"
     )
     best = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id", "found_uid")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
