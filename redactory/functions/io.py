@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, kind: str) -> str:
@@ -23,3 +24,8 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_path(df.sparkSession, "rows")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sent_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df marked to be sent to all workers, if it has no more than so many rows (which are counted), else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -7,12 +7,11 @@ first fake gets a hash of the value as a suffix, so that every fake stands for o
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redactory.functions.dialect import DUCK, SPARK
-from redactory.functions.io import written
+from redactory.functions.io import sent_if_small, written
 from redactory.operators.detect import long_form
 from redactory.operators.rules import MASKABLE_TYPES
 
@@ -181,7 +180,7 @@ def mask(scanned: DataFrame, table: DataFrame) -> DataFrame:
     Findings are spliced from left to right; one whose place is not where its value is (a licence number is placed at
     its keyword) is replaced wherever the value stands.
     """
-    swaps = long_form(scanned.select("id", "findings")).where(F.col("type").isin(*MASKABLE_TYPES)).join(table.select(F.col("real").alias("value"), "fake"), "value")
+    swaps = long_form(scanned.select("id", "findings")).where(F.col("type").isin(*MASKABLE_TYPES)).join(sent_if_small(table.select(F.col("real").alias("value"), "fake")), "value")
     listed = swaps.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "value", "fake", "type"))).alias("swaps"))
     out = scanned.select("id", "t").join(listed, "id", "left").withColumn("swaps", F.coalesce("swaps", F.expr("CAST(array() AS array<struct<start:bigint,value:string,fake:string,type:string>>)")))
     here = "substring(t, CAST(x.start + 1 AS INT), length(x.value)) = x.value"
@@ -212,75 +211,36 @@ def mask_sql(scanned: str, table: str) -> str:
       SELECT id, t, masked, CAST(len(swaps) AS BIGINT) AS n_swaps, list_reduce(back, lambda a, x: replace(a, x.fake, x.value), masked) AS restored FROM ordered"""
 
 
-def restore_rules(table: DataFrame) -> DataFrame:
-    """(fake, real, pattern, to, n, head) rules from a mapping: whole values with loose gaps, and parts of names.
-
-    n orders longest first; head is the fake's run of letters and digits that the fewest rules share, '' if it has none.
-    """
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    names = table.where("type = 'NAME_PII'").select(words("fake").alias("f"), words("real").alias("r")).where("size(f) = size(r) AND size(f) > 1")
-    parts = names.select(F.explode(F.arrays_zip("f", "r")).alias("x")).select(F.col("x.f").alias("fake"), F.col("x.r").alias("real")).where("length(fake) > 1")
-    rules = table.select("fake", "real").unionByName(parts).groupBy("fake").agg(F.min("real").alias("real"))
-    quoted = F.transform(words("fake"), lambda w: F.regexp_replace(w, r"([.*+?^${}()|\[\]\\/-])", r"\\$1"))
-    body = F.concat(F.lit("(?<![A-Za-z0-9])"), F.array_join(quoted, r"[\s,]+"), F.lit("(?![A-Za-z0-9])"))
-    made = rules.select("fake", "real", body.alias("pattern"), F.regexp_replace("real", r"([\\$])", r"\\$1").alias("to"), F.length("fake").alias("n"))
-    tokens = rules.select("fake", F.explode(F.array_distinct(F.expr("regexp_extract_all(fake, '([A-Za-z0-9]+)', 1)"))).alias("token"))
-    common = tokens.groupBy("token").agg(F.count("*").alias("c"))
-    heads = tokens.join(common, "token").groupBy("fake").agg(F.min(F.struct("c", "token"))["token"].alias("head"))
-    return made.join(heads, "fake", "left").withColumn("head", F.coalesce("head", F.lit("")))
-
-
-def fitting_rules(texts: DataFrame, rules: DataFrame) -> DataFrame:
-    """(id, rules) for texts (id, t): rules of which the head is a word of the text, the longest first.
-
-    A rule without letters and digits meets every text.
-    """
-    words = texts.select("id", F.explode(F.array_union(F.expr("regexp_extract_all(t, '([A-Za-z0-9]+)', 1)"), F.array(F.lit("")))).alias("head"))
-    entry = F.struct((-F.col("n")).alias("n"), "pattern", "to", "fake", "real")
-    return words.join(rules, "head").groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("rules"))
-
-
-NO_RULES = "CAST(array() AS array<struct<n:int,pattern:string,to:string,fake:string,real:string>>)"
+#: Patterns of this many characters and more are found by a run of so many; shorter ones by themselves.
+GRAM = 8
 
 
-def restore_by_rules(texts: DataFrame, rules: DataFrame) -> DataFrame:
-    """texts (id, t) -> restored and hits, the fakes that stood in the text. A text meets only rules that fit it, by an equi-join."""
-    out = texts.join(fitting_rules(texts, rules), "id", "left").withColumn("rules", F.expr(f"coalesce(rules, {NO_RULES})"))
-    hits = "transform(filter(rules, r -> t RLIKE r.pattern), r -> r.fake)"
-    return out.select(*texts.columns, F.expr("aggregate(rules, t, (a, r) -> regexp_replace(a, r.pattern, r.to))").alias("restored"), F.expr(hits).alias("hits"))
+def _grams(text: str, q: int) -> Column:
+    """All runs of q characters, by a look ahead at every place: linear in the text."""
+    return F.array_distinct(F.expr(f"regexp_extract_all({text}, '(?s)(?=(.{{{q}}}))', 1)"))
 
 
-def texts_with_fakes(texts: DataFrame, fakes: DataFrame, block: int = 200_000) -> DataFrame:
-    """texts (id, t) in which a fake stands, anywhere in it. Fakes go to the workers in blocks of bounded size."""
-    context = texts.sparkSession.sparkContext
+def texts_with_fakes(texts: DataFrame, fakes: DataFrame) -> DataFrame:
+    """texts (id, t) in which a fake stands, anywhere in it; an id is one text.
 
-    def search(words: list[str]) -> DataFrame:
-        sent = context.broadcast(words)
-
-        def run(batches):
-            import ahocorasick
-
-            automaton = ahocorasick.Automaton()
-            for w in sent.value:
-                automaton.add_word(w, 1)
-            automaton.make_automaton()
-            for b in batches:
-                found = [len(sent.value) > 0 and next(automaton.iter(t or ""), None) is not None for t in b.column("t").to_pylist()]
-                yield b.filter(pa.array(found, pa.bool_()))
-
-        return texts.mapInArrow(run, texts.schema)
-
-    out, held = [], []
-    for row in fakes.select("fake").where("fake <> ''").distinct().toLocalIterator():
-        held.append(row["fake"])
-        if len(held) == block:
-            out, held = [*out, search(held)], []
-    if held or not out:
-        out.append(search(held))
-    found = out[0]
-    for x in out[1:]:
-        found = found.unionByName(x)
-    return found.dropDuplicates(["id"]) if len(out) > 1 else found
+    Each fake is filed under its rarest run of ``GRAM`` characters (as rare among the fakes), a shorter one under itself.
+    Texts meet fakes by an equi-join on their own runs, and what meets is looked at exactly. A null text has no fakes, and an
+    empty fake stands nowhere.
+    """
+    wanted = written(fakes.select("fake").where("fake <> ''").distinct().withColumn("q", F.least(F.lit(GRAM), F.length("fake"))))
+    sizes = [r["q"] for r in wanted.select("q").distinct().collect()]  # at most GRAM
+    if not sizes:
+        return texts.limit(0)
+    runs = wanted.where(F.col("q") == GRAM).select("fake", "q", F.explode(_grams("fake", GRAM)).alias("gram"))
+    common = runs.groupBy("gram").agg(F.count("*").alias("c"))
+    long_ones = runs.join(common, "gram").groupBy("fake", "q").agg(F.min(F.struct("c", "gram"))["gram"].alias("gram"))
+    filed = written(long_ones.unionByName(wanted.where(F.col("q") < GRAM).select("fake", "q", F.col("fake").alias("gram"))))
+    found = [texts.select("id", F.lit(q).alias("q"), F.explode(_grams("t", q)).alias("gram")) for q in sizes]
+    met = found[0]
+    for x in found[1:]:
+        met = met.unionByName(x)
+    pairs = met.join(sent_if_small(filed), ["q", "gram"]).select("id", "fake")
+    return texts.join(pairs, "id").where(F.contains("t", "fake")).select(*texts.columns).dropDuplicates(["id"])
 
 
 def shown(type_: Column, real: Column) -> Column:

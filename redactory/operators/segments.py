@@ -1,6 +1,6 @@
 """Restoring answers that come as messages of several text segments, with views that people pin.
 
-segments (msg_id, seg_no, t); rules as ``masking.restore_rules`` gives them. A message is the unit that meets in one row;
+segments (msg_id, seg_no, t); rules as ``restoring.restore_rules`` gives them. A message is the unit that meets in one row;
 everything else is joins on its id.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactory.operators.masking import NO_RULES, fitting_rules, restore_by_rules
+from redactory.operators.restoring import NO_RULES, fitting_rules, restore_by_rules
 
 
 def restored_segments(segments: DataFrame, rules: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def restored_segments(segments: DataFrame, rules: DataFrame) -> DataFrame:
     """
     key = F.struct("msg_id", "seg_no").alias("id")
     single = restore_by_rules(segments.select(key, "t"), rules).select("id.*", "t", "restored", "hits")
-    return _across(single, rules.where(r"fake RLIKE '\\S\\s+\\S'"))
+    return _across(single, rules.where(r"seek RLIKE '\\S\\s+\\S'"))
 
 
 def _across(single: DataFrame, rules: DataFrame) -> DataFrame:
@@ -35,11 +35,11 @@ def _across(single: DataFrame, rules: DataFrame) -> DataFrame:
     placed = joined.join(fits, "msg_id").withColumn("segs", F.expr(
         """aggregate(xs, named_struct('p', CAST(0 AS BIGINT), 'o', CAST(array() AS array<struct<no:bigint,s:bigint,e:bigint,x:string>>)),
             (a, g) -> named_struct('p', a.p + length(g.x) + 1, 'o', array_append(a.o, named_struct('no', CAST(g.seg_no AS BIGINT), 's', a.p, 'e', a.p + length(g.x), 'x', g.x))), a -> a.o)"""))
-    marked = "split(regexp_replace(t, concat('(', r.pattern, ')'), concat(char(1), '$1', char(2))), char(1), -1)"
+    marked = "split(regexp_replace(t, concat('((?<![A-Za-z0-9])', r.pattern, '(?![A-Za-z0-9]))'), concat(char(1), '$1', char(2))), char(1), -1)"
     found = f"""flatten(transform({NO_RULES.replace('CAST(array()', 'CAST(rules')}, (r, k) -> aggregate({marked}, named_struct('p', CAST(-1 AS BIGINT), 'o', CAST(array() AS array<struct<s:bigint,k:int,e:bigint,real:string,fake:string>>)),
         (a, y) -> CASE WHEN a.p < 0 THEN named_struct('p', CAST(length(y) AS BIGINT), 'o', a.o)
           ELSE named_struct('p', a.p + length(y) - 1, 'o', CASE WHEN contains(substring_index(y, char(2), 1), char(10))
-            THEN array_append(a.o, named_struct('s', a.p, 'k', k, 'e', a.p + length(substring_index(y, char(2), 1)), 'real', r.real, 'fake', r.fake)) ELSE a.o END) END, a -> a.o)))"""
+            THEN array_append(a.o, named_struct('s', a.p, 'k', k, 'e', a.p + length(substring_index(y, char(2), 1)), 'real', r.put, 'fake', r.seek)) ELSE a.o END) END, a -> a.o)))"""
     kept = """aggregate(sort_array(found), slice(found, 1, 0), (a, m) -> CASE WHEN size(a) = 0 OR m.s >= element_at(a, -1).e THEN array_append(a, m) ELSE a END)"""
     cut = """transform(segs, g -> named_struct('no', g.no, 'n', size(filter(kept, m -> m.s >= g.s AND m.s < g.e)), 'hits', transform(filter(kept, m -> m.s >= g.s AND m.s < g.e), m -> m.fake),
         'x', aggregate(filter(kept, m -> m.s < g.e AND m.e > g.s), named_struct('o', '', 'p', CAST(0 AS BIGINT)),

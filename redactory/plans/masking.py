@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from redactory.functions.io import written
 from redactory.operators import masking, review, segments
 from redactory.operators.detect import long_form, long_form_sql, resolve, resolve_sql, scan, scan_sql
-from redactory.operators.masking import mapping, mapping_sql, mask, mask_sql, restore_by_rules, restore_literal, restore_rules
+from redactory.operators.masking import mapping, mapping_sql, mask, mask_sql, restore_literal
+from redactory.operators.restoring import owned, restore_by_rules, restore_rules, restore_sql
+from redactory.operators.rules import MASKABLE_TYPES
 from redactory.sources.messages import messages, messages_sql
 
 _SOURCE = f"SELECT msg_id AS id, t FROM ({messages_sql(True)})"
@@ -95,10 +97,30 @@ def restore_messages(spark, sf_dir):
     return restore_literal(_masked(spark, sf_dir)[0]).select("id", "restored", (F.col("restored") == F.col("t")).alias("same"))
 
 
-def restore_messages_by_rules(spark, sf_dir):
+def _owned(spark, sf_dir):
+    """Masked messages with their owners, and each owner's part of the mapping."""
     masked, table = _masked(spark, sf_dir)
-    answers = masked.select("id", F.concat(F.lit("Re: "), "masked").alias("t"))
-    return restore_by_rules(answers, restore_rules(table)).select("id", "restored")
+    masked = masked.join(messages(spark, sf_dir).select(F.col("msg_id").alias("id"), F.col("session_id").alias("owner")), "id")
+    swaps = masked.select("owner", "id", F.explode("swaps").alias("x")).select("owner", "id", "x.type", "x.value", "x.start")
+    return masked, written(owned(swaps, table))
+
+
+def owned_mapping(spark, sf_dir):
+    return _owned(spark, sf_dir)[1].select("owner", "real", "type", "fake", F.col("first.id").alias("first_id"), F.col("last.id").alias("last_id"))
+
+
+def restore_messages_by_rules(spark, sf_dir):
+    """Answers that quote an owner's masked message, restored by that owner's rules."""
+    masked, mine = _owned(spark, sf_dir)
+    answers = masked.select("owner", "id", F.concat(F.lit("Re: "), "masked").alias("t"))
+    return restore_by_rules(answers, written(restore_rules(mine))).select("id", "restored", F.size("hits").cast("long").alias("n_hits"))
+
+
+def remask_messages(spark, sf_dir):
+    """The other direction: what of a message an owner's assistant has been shown."""
+    masked, mine = _owned(spark, sf_dir)
+    answers = masked.select("owner", "id", F.concat(F.lit("Re: "), "t").alias("t"))
+    return restore_by_rules(answers, written(restore_rules(mine, "mask"))).select("id", "restored", F.size("hits").cast("long").alias("n_hits"))
 
 
 def messages_with_fakes(spark, sf_dir):
@@ -190,10 +212,21 @@ def pruned_log(spark, sf_dir):
 
 QUERIES = {
     "mapping_table": mapping_table, "mapping_upsert": mapping_upsert, "mapping_edits": mapping_edits, "mapping_previews": mapping_previews, "mapping_size": mapping_size, "mapping_shown": mapping_shown,
-    "mask_messages": mask_messages, "restore_literal": restore_messages, "restore_rules": restore_messages_by_rules, "messages_with_fakes": messages_with_fakes, "manual_masks": manual_masks,
+    "mask_messages": mask_messages, "restore_literal": restore_messages, "restore_rules": restore_messages_by_rules, "remask_messages": remask_messages, "owned_mapping": owned_mapping, "messages_with_fakes": messages_with_fakes, "manual_masks": manual_masks,
     "sent_as_typed": sent_as_typed, "extra_findings": extra_findings, "restored_answers": restored_answers, "restore_pass": restore_pass, "restore_log": restore_log, "pruned_log": pruned_log,
 }
+_OWNED = f"""SELECT owner, real, any_value(m.type) AS type, any_value(fake) AS fake, min(id) AS first_id, max(id) AS last_id
+  FROM ({_ROWS}) r JOIN ({mapping_sql(_ROWS)}) m ON m.real = r."value" JOIN (SELECT msg_id AS id, session_id AS owner FROM ({messages_sql(True)})) USING (id) WHERE r."type" IN ({', '.join(f"'{t}'" for t in MASKABLE_TYPES)}) GROUP BY owner, real"""
+
+
+def _quoted_sql(text: str) -> str:
+    return f"SELECT session_id AS owner, id, 'Re: ' || {text} AS t FROM ({mask_sql(_SCANNED, mapping_sql(_ROWS))}) x JOIN (SELECT msg_id AS id, session_id FROM ({messages_sql(True)})) USING (id)"
+
+
 SQL = {
+    "owned_mapping": _OWNED,
+    "restore_rules": restore_sql(_quoted_sql("masked"), _OWNED),
+    "remask_messages": restore_sql(_quoted_sql("x.t"), _OWNED, "mask"),
     "mapping_table": mapping_sql(_ROWS),
     "mapping_upsert": mapping_sql(_ROWS, mapping_sql(_HALF)),
     "mapping_edits": _EDITS,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from redactory.functions.io import shared_path, written
 from redactory.operators import activity
-from redactory.operators.masking import restore_by_rules, restore_rules
+from redactory.operators.restoring import restore_by_rules, restore_rules
 
 #: How long after an announcement its like is still held back; the state of older ones is dropped.
 HELD_BACK = "60 days"

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from redactory.functions.dialect import SPARK
 from redactory.operators import cells, forms, review, roster, segments
 from redactory.operators.detect import long_form, resolve, scan
-from redactory.operators.masking import drawn_digits, mapping, mask, restore_by_rules, restore_literal, restore_rules
+from redactory.operators.masking import drawn_digits, mapping, mask, restore_literal, texts_with_fakes
+from redactory.operators.restoring import owned, restore_by_rules, restore_rules
 from redactory.plans import registry
 from redactory.sources.sheets import csv_cells, read_xlsx
 
