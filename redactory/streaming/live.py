@@ -1,8 +1,7 @@
 """Streams: counters over stat events, once-only announcements, and restoring answers as they arrive.
 
 They run on Structured Streaming with a checkpoint in the shared folder. A query processes what has arrived and ends
-(``availableNow``); a live job passes ``processingTime="180 milliseconds"`` or so, the nearest there is to waiting for
-a pause in the changes. Sessions and conversations are keys, so that a new one starts afresh and mappings stay.
+(``availableNow``). Debounced restoring, changing settings, growing mappings and resets are in ``sessions``.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from redactory.functions.io import shared_path, written
 from redactory.operators import activity
 from redactory.operators.restoring import restore_by_rules, restore_rules
+from redactory.streaming import sessions
 
 #: How long after an announcement its like is still held back; the state of older ones is dropped.
 HELD_BACK = "60 days"
@@ -61,11 +61,39 @@ def conversation_announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _announced(spark, sf_dir, ["session_id", "kind", "item"])
 
 
+#: What an event of the table is to a session; stand-ins are F0 to F6.
+_FAKE = "concat('F', CAST(event_id % 7 AS STRING))"
+_ANSWER = f"named_struct('kind', 'answer', 'name', CAST(event_id AS STRING), 'value', concat('see ', {_FAKE}, ' now'))"
+_PAIR = f"named_struct('kind', 'pair', 'name', {_FAKE}, 'value', concat('R', CAST(event_id % 7 AS STRING)))"
+GROWING = f"CASE WHEN event_type = 'signup' THEN {_PAIR} ELSE {_ANSWER} END"
+SETTINGS = """CASE WHEN event_type = 'purchase' THEN named_struct('kind', 'setting', 'name', 'auto_restore', 'value', CAST(event_id % 2 = 0 AS STRING))
+  ELSE named_struct('kind', 'message', 'name', concat('p', CAST(user_id % 3 AS STRING)), 'value', CAST(event_id AS STRING)) END"""
+RESETS = f"CASE WHEN event_type = 'error' THEN named_struct('kind', 'reset', 'name', '', 'value', '') ELSE named_struct('kind', 'say', 'name', {_FAKE}, 'value', '') END"
+
+
+def _session_results(spark: SparkSession, sf_dir: str, kinds: str) -> DataFrame:
+    return _finished(sessions.live_sessions(sessions.scaled_events(_stream(spark, sf_dir, "events"), kinds)), "append")
+
+
+def debounced_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passes of each session: after a pause in its changes, and within the ceiling in a burst."""
+    return _session_results(spark, sf_dir, GROWING).where("kind = 'pass'").select("session", "at")
+
+
+def growing_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each answer shows in the end, by a mapping of which the pairs come with the stream, some after the answer."""
+    shown = _session_results(spark, sf_dir, GROWING).where("kind = 'shown'")
+    return shown.groupBy("session", F.col("name").cast("long").alias("id")).agg(F.max_by("value", "at").alias("shown"))
+
+
 def answered_with_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages by platform of sessions that have auto-restore on, by the settings as they stand when a batch comes."""
-    settings = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("session_id"), (F.col("c_nationkey") % 2 == 0).alias("auto_restore"))
-    stats = activity.stat_events(_stream(spark, sf_dir, "events")).join(settings, "session_id").where("auto_restore")
-    return _finished(activity.platform_messages(stats), "complete")
+    """Messages by platform that come while their session restores by itself; settings change with the stream."""
+    return _session_results(spark, sf_dir, SETTINGS).where("kind = 'message'").groupBy(F.col("name").alias("platform")).agg(F.count("*").alias("n_messages"))
+
+
+def announcements_after_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each announcement is made in a session: once, and again after each reset."""
+    return _session_results(spark, sf_dir, RESETS).where("kind = 'say'").groupBy("session", "name").agg(F.count("*").alias("n"))
 
 
 def restored_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
