@@ -111,7 +111,7 @@ def grouped_prefixes(rows: DataFrame, texts: DataFrame, most_rounds: int = 40) -
         if unlike.isEmpty():
             return grouped
         other_key = F.xxhash64("key", "h1", "h2", "before", F.lit(number))
-        new = rows.join(unlike.withColumn("is_unlike", F.lit(True)), ["c", "depth"], "left").withColumn("key", F.when("is_unlike", other_key).otherwise(F.col("key"))).drop("is_unlike")
+        new = rows.join(unlike.withColumn("is_unlike", F.lit(True)), ["c", "depth"], "left").withColumn("key", F.when(F.col("is_unlike"), other_key).otherwise(F.col("key"))).drop("is_unlike")
         above = new.select("c", (F.col("depth") + 1).alias("depth"), F.col("key").alias("above"))
         rows = stored(new.join(above, ["c", "depth"], "left").withColumn("before", F.coalesce("above", F.lit(0))).select(*rows.columns))
     raise RuntimeError(f"prefixes did not settle in {most_rounds} rounds")
