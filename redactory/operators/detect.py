@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redactory.functions.dialect import DUCK, SPARK
-from redactory.operators.rules import BANK_CONTEXT, IDENTIFIER_TYPES, INTRO_PHRASES, RULES
+from redactory.operators.rules import ACCOUNT_WORDS, BANK_CONTEXT, DOB_WORDS, IDENTIFIER_TYPES, INTRO_PHRASES, MONEY_WORDS, PHONE_WORDS, RULES
 
 FIELDS = {"type": "string", "label": "string", "value": "string", "start": "bigint", "severity": "string", "ord": "bigint"}
 BY_NAME = {r.name: (i, r) for i, r in enumerate(RULES)}
@@ -75,10 +75,49 @@ def _pattern(d, k: int) -> str:
     return _spark_pattern(RULES[k].name, RULES[k].pattern) if d.name == "spark" else RULES[k].pattern
 
 
+#: What a text must hold for a rule to find anything: so many digits at least, one of these words (in small letters), these
+#: characters. A rule whose needs are not met is skipped, so that most texts are looked through once and not once a rule.
+NEEDS: dict[str, tuple[int, list[str], str]] = {
+    "credit_card": (13, [], ""), "medicare": (10, [], ""), "tfn": (8, [], ""), "abn": (11, [], ""), "acn": (9, ["acn", "company number"], ""), "passport": (7, [], ""), "licence": (0, ["licence", "license"], ""),
+    "bsb": (6, [], "-"), "bank_account": (6, ACCOUNT_WORDS, ""), "gps": (11, [], ".,"), "email": (0, [], "@."), "phone_au": (10, [], ""), "phone_service": (10, [], ""), "phone_ctx": (7, PHONE_WORDS, ""),
+    "address": (1, [], ""), "dob_written": (5, DOB_WORDS, ""), "dob_numeric": (6, DOB_WORDS, ""), "money": (4, MONEY_WORDS, "$"), "money_verbal": (1, ["million", "billion", "trillion"], "$"),
+    "confidential": (0, ["confidential", "do not ", "internal ", "non-disclosure", "nda", "proprietary", "classified", "not for distribution"], ""),
+    "business": (0, ["revenue", "turnover", "arr", "mrr", "profit", "ebitda", "valuation", "gross margin", "net income", "client list", "customer list"], ""),
+    "health": (0, [
+        "medicare", "diagnos", "prescri", "medication", "dosage", "mg", "symptom", "cancer", "diabet", "depression", "anxiety", "bipolar", "schizophreni", "hiv", "aids", "pregnan", "therapy", "psychiatr",
+        "mental health", "blood test", "medical "], ""),
+    "legal": (0, ["lawsuit", "litigation", "court ", "case", "settlement agreement", "legal proceedings", "subpoena", "plaintiff", "defendant"], ""),
+    "immigration": (0, ["subclass", "visa", "immigration", "permanent residency", "work permit", "citizenship application", "sponsorship", "green card"], ""),
+    "password_kw": (0, ["pass", "pwd", "login", "credential", "key", "secret", "token", "auth"], ""), "password_token": (1, [], ""), "name": (0, [], ""),
+}
+
+
+def _holds(words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(lo, {SPARK.text(w)})" for w in words) + ")"
+
+
+def _may_find(name: str) -> str:
+    """Over t, lo (t in small letters) and nd (its digits)."""
+    n, words, characters = NEEDS[name]
+    tests = ([f"nd >= {n}"] if n else []) + [f"contains(t, '{c}')" for c in characters] + ([_holds(words)] if words else [])
+    return " AND ".join(tests) or "true"
+
+
+_SIGNATURE = {"lo": "lower(t)", "nd": "CASE WHEN t RLIKE '[0-9]' THEN length(regexp_replace(t, '[^0-9]+', '')) ELSE 0 END"}
+
+
+def _marked(d, k: int, when: str | None = None) -> str:
+    marked = d.marked("t", _pattern(d, k))
+    return f"CASE WHEN {when or _may_find(RULES[k].name)} THEN {marked} ELSE array('') END" if d.name == "spark" else marked
+
+
 def _steps(d, rules: list[int]) -> list[dict[str, str]]:
     """Projections to be applied one after another; each adds columns to those before it."""
     services = [k for k in rules if RULES[k].name in ("phone_au", "phone_service")]
-    steps = [{"t": _clean(d, "t")}, {f"g{k}": d.marked("t", _pattern(d, k)) for k in rules}, {f"r{k}": _raw(d, k) for k in rules}, {f"f{k}": _found(d, k) for k in rules}]
+    name = BY_NAME["name"][0]
+    gated = name in rules and len(rules) > 1
+    first = [k for k in rules if k != name] if gated and d.name == "spark" else rules  # for Spark names wait for their gate
+    steps = [{"t": _clean(d, "t")}, *([_SIGNATURE] if d.name == "spark" else []), {f"g{k}": _marked(d, k) for k in first}, {f"r{k}": _raw(d, k) for k in first}, {f"f{k}": _found(d, k) for k in first}]
     last: dict[str, str] = {}
     ctx = BY_NAME["phone_ctx"][0]
     if ctx in rules and services:
@@ -87,13 +126,16 @@ def _steps(d, rules: list[int]) -> list[dict[str, str]]:
         last[f"f{ctx}"] = d.filter(f"f{ctx}", "x", f"NOT {inside}")
     if last:
         steps.append(last)
-    name = BY_NAME["name"][0]
-    if name in rules and len(rules) > 1:
+    if gated:
         others = d.concat_lists([f"f{k}" for k in rules if k != name])
         types = ", ".join(f"'{t}'" for t in IDENTIFIER_TYPES)
-        intro = d.matches("lower(t)", "|".join(INTRO_PHRASES))
-        gate = f"({d.exists(others, 'g', f'g.type IN ({types})')} OR {d.matches('t', _spark_pattern('bank', BANK_CONTEXT) if d.name == 'spark' else BANK_CONTEXT)} OR {intro})"
-        steps.append({f"f{name}": f"CASE WHEN {gate} THEN f{name} ELSE {d.empty(FIELDS)} END"})
+        known = d.exists(others, "g", f"g.type IN ({types})")
+        if d.name == "spark":
+            bank = f"contains(lo, 'bank') OR contains(lo, 'account holder') OR contains(lo, 'savings account')) AND {d.matches('t', _spark_pattern('bank', BANK_CONTEXT))}"
+            steps += [{"others": known}, {f"g{name}": _marked(d, name, f"(others OR {_holds(INTRO_PHRASES)} OR (({bank}))")}, {f"r{name}": _raw(d, name)}, {f"f{name}": _found(d, name)}]
+        else:
+            gate = f"({known} OR {d.matches('t', BANK_CONTEXT)} OR {d.matches('lower(t)', '|'.join(INTRO_PHRASES))})"
+            steps.append({f"f{name}": f"CASE WHEN {gate} THEN f{name} ELSE {d.empty(FIELDS)} END"})
     steps.append({"findings": d.concat_lists([f"f{k}" for k in rules])})
     return steps
 
