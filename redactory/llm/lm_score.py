@@ -33,7 +33,9 @@ from redactory.llm.common import Words, batch_of, chunks, fold_hash, held_out, m
 BITS_PER_EVENT, PROBES = 12, 5
 BLOCK_CHARS = 8_000_000
 LIMIT_BYTES = 256 << 20
-GROUP, ASKED_BYTES, BUNDLE_CHARS, STEP_TOKENS = 32, 32 << 20, 4 << 20, 1 << 20
+GROUP, ASKED_BYTES, BUNDLE_CHARS, STEP_TOKENS = 32, 32 << 20, 4 << 20, 1 << 17
+#: Characters scored at once: what a worker holds beside the filter is in proportion.
+SCORED_CHARS = 1 << 18
 END, START = np.uint64(0xE4D0), np.uint64(0x57A7)
 
 
@@ -232,7 +234,7 @@ def _scored_by_broadcast(docs: DataFrame, blocks: DataFrame, n_blocks: int, tota
         return sent.value.exact(singles), sent.value.levels(singles), sent.value.levels(pairs)
 
     def run(batches):
-        for c in chunks(batches, ["doc_id", "text"]):
+        for c in chunks(batches, ["doc_id", "text"], size=SCORED_CHARS):
             yield score_texts(c["doc_id"], c["text"], known, totals)
 
     return docs.select("doc_id", "text").mapInArrow(run, _SCORED_DDL)
