@@ -36,6 +36,7 @@ PLACES = BANDS * ROWS
 LEAST_AGREEMENT = 0.6
 #: Ids of clustered documents go to the workers up to this many (16 MB); beyond it, texts are joined by shuffle.
 IDS_SENT = 2_000_000
+HOT_CLASSES = 100_000
 #: A set weighs this much at least, so that a part of a cluster holds at most some 2,000 sets, however short the texts.
 LEAST_WEIGHT = 400
 #: Members that every block of a large group is compared with, about.
@@ -298,11 +299,24 @@ def linked(rows: DataFrame, group: str, value: str, connect, block_weight: int,
     return first.unionByName(_forests(again, group, value, connect))
 
 
+def _in_classes(signed: DataFrame, class_of: DataFrame) -> DataFrame:
+    """signed (n, d1, d2, ...) with class_id and component_id, null for sets without a class.
+
+    Classes of more than a ``HOT_CLASSES``-th of all rows are fewer than ``HOT_CLASSES`` and are sent to the workers, so that
+    no key of the join is large; empty sets, which have no class, do not take part in it.
+    """
+    key, ids = ["n", "d1", "d2"], ["class_id", "component_id"]
+    hot = F.col("copies") > F.lit(signed.count()) / HOT_CLASSES
+    near = signed.join(F.broadcast(class_of.where(hot).drop("copies")), key, "left")
+    rest = near.where("class_id IS NULL AND n > 0").drop(*ids).join(class_of.where(~hot).drop("copies"), key, "left")
+    return near.where("class_id IS NOT NULL OR n = 0").unionByName(rest.select(*near.columns))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, keep: list[str] | None = None) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, class_id (equal sets), component_id, kept; and ``keep``, long columns of docs."""
     keep = keep or []
     signed = stored(signatures(docs, width, keep=keep))
-    classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("buckets").alias("buckets"))
+    classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("buckets").alias("buckets"), F.count("*").alias("copies"))
     classes = stored(classes)
     least = int(LEAST_AGREEMENT * PLACES)
     members = classes.select("rep", F.explode(F.array_distinct("buckets")).alias("bucket"), F.lit(1).alias("w"))
@@ -318,8 +332,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, keep: li
     sets = sets.withColumn("w", F.greatest("n", F.lit(LEAST_WEIGHT)))
     links = linked(sets, "cluster", "shingles", lambda x: similar([np.asarray(v.values) for v in x], percent), 400_000, 800_000)
     found = connected_components(links).toDF("rep", "component")
-    class_of = classes.join(found, "rep", "left").select("n", "d1", "d2", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n", "d1", "d2", *keep).join(class_of, ["n", "d1", "d2"], "left")
+    class_of = classes.join(found, "rep", "left").select("n", "d1", "d2", "copies", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
+    out = _in_classes(signed.select("doc_id", "n", "d1", "d2", *keep), stored(class_of))
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *keep)
 

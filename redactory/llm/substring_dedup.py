@@ -7,7 +7,7 @@ occurrences go if, together with the repeated units next to them in the text, th
 words or more, so that short stock lines stay. Offsets are those of the original text, in code points.
 
 A passage may share its first and last sentence with other text, or have no end of a sentence at all. So windows of
-``MIN_WORDS`` words are hashed too (64 bits), wherever they begin; of those that begin at neighbouring words the one
+``MIN_WORDS`` words are hashed too (128 bits), wherever they begin; of those that begin at neighbouring words the one
 of least hash is taken (winnowing), so that two runs of ``RUN_WORDS`` equal words always have a window in common. Its
 later copies go, with the repeated units that overlap or touch them; a window that overlaps its own first copy stays.
 Of any ``RUN_WORDS`` words of a longer repeated run, ``MIN_WORDS`` or more go; up to 21 words at each end may stay.
@@ -64,20 +64,24 @@ def _sliding(best: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
     return best(values[: len(values) - (width - size)], values[width - size :])
 
 
-def sampled_windows(words: Words, size: int, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, hash) of windows of ``size`` words; equal runs of ``run`` words in texts have one in common."""
+def sampled_windows(words: Words, size: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, hash, another hash) of windows of ``size`` words; equal runs of ``run`` words in texts have one in common."""
     n, near = len(words.hashes), run - size + 1
     if n < run:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     power, inverse = power_tables(n + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.hashes * power[:n])])
-    hashes = mix((sums[size:] - sums[:-size]) * inverse[: n - size + 1])
+
+    def rolled(of_words: np.ndarray, at=slice(None)) -> np.ndarray:
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(of_words * power[:n])])
+        return mix((sums[size:][at] - sums[:-size][at]) * inverse[: n - size + 1][at])
+
+    hashes = rolled(words.hashes)
     least = _sliding(np.minimum, hashes, near)
     owner = words.text_of()
     least[owner[: n - run + 1] != owner[run - 1 :]] = 0
     edge = np.zeros(near - 1, np.uint64)
     at = np.flatnonzero((_sliding(np.maximum, np.concatenate([edge, least, edge]), near) == hashes) & (hashes > 0))
-    return at, hashes[at]
+    return at, hashes[at], rolled(words.hashed([None], check=True)[0], at)
 
 
 _INT = pa.int32()
@@ -119,10 +123,10 @@ def unit_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             yield _unit_rows(ids, np.array(cols[0], np.int64), *cols[1:], d[:, 0].copy(), d[:, 1].copy())
             words = Words([_BLANK.sub(" ", t) for t in texts])
-            at, hashes = sampled_windows(words, min_words, max(min_words, RUN_WORDS))
+            at, hashes, others = sampled_windows(words, min_words, max(min_words, RUN_WORDS))
             own = words.text_of()[at]
             first, start, end = (words.chars_before(x) for x in (words.text_starts[own], words.starts[at], words.ends[at + min_words - 1]))
-            yield _unit_rows(ids, own, at - words.bounds[own], start - first, end - first, np.full(len(at), min_words), hashes.view(np.int64), np.zeros(len(at), np.int64))
+            yield _unit_rows(ids, own, at - words.bounds[own], start - first, end - first, np.full(len(at), min_words), hashes.view(np.int64), others.view(np.int64))
 
     ddl = "doc_id long, place int, start int, end int, words int, hi long, lo long, later boolean"
     return docs.select("doc_id", "text").mapInArrow(run, ddl)
