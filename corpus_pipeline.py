@@ -2,11 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; its result is written and read
 again. All but the last return the columns of documents. Which row goes is decided by the operators' production
-parameters; the docstring of each says what happens to nulls, empty texts, repeated rows and empty tables.
+parameters. Operators see doc_id and text only under these names: other columns, whatever they are called, come back
+as they were. Stages that compare rows number them in a written copy, so that rows of one id, or of none, are told apart.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,46 +22,76 @@ from redactory.llm.packing import pack_documents, public_tokenizer
 from redactory.llm.toxicity import fit_toxicity, score_toxicity
 
 
+def keeps_columns(stage: Callable) -> Callable:
+    """The stage sees columns other than doc_id and text under names that nothing else has."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        plain = [n if n in ("doc_id", "text") else f"own_{i}_{n}" if n == "n_chars" else f"own_{i}" for i, n in enumerate(names)]
+        return stage(spark, docs.toDF(*plain), sf_dir).select(*plain).toDF(*names)
+
+    return run
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return stored(docs.withColumn("row_no", F.monotonically_increasing_id()))
+
+
+@keeps_columns
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go, labelled or not; the model learns from the labelled documents that came in."""
-    scored = score_toxicity(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
-    return scored.where("predicted = 0").select(*docs.columns)
+    """Documents predicted toxic go, labelled or not; the model learns from the labelled documents that came in.
 
+    Each row is scored by itself, also one that repeats or has no doc_id; null and empty texts get the score of a text
+    without words; without labels of both kinds all rows get the same score; an empty table gives none.
+    """
+    return score_toxicity(docs, fit_toxicity(docs.select("doc_id", "text"), read_table(spark, sf_dir, "labels"))).where("predicted = 0")
 
+
+@keeps_columns
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines in five documents or more stay in one. n_chars follows a changed text."""
+    """Lines in five documents or more stay in one. n_chars follows a changed text.
+
+    All rows stay. A null or empty text has no line that is long enough and stays as it is; rows of one doc_id count as one
+    document; rows without a doc_id keep their lines; an empty table gives none.
+    """
     out = drop_lines(docs)
-    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    counts = [c for c in docs.columns if c.endswith("_n_chars")]
+    return out.withColumns({c: F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(c)) for c in counts})
 
 
+@keeps_columns
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the least doc_id stays; a null doc_id stays.
+    """Of each group of near copies (five-word shingles, similarity 0.8) the row with the least doc_id stays.
 
-    Rows are compared by text and told apart by doc_id and text: of rows that share a doc_id only those go whose own
-    text is a copy, and of rows equal in both one stays. Texts without words are no copies.
+    Of rows that share a doc_id only those go whose own text is a copy, and of rows equal in both one stays. Texts without
+    words are no copies, and a row without a doc_id stays; an empty table gives none.
     """
-    text_key = F.xxhash64("text").alias("text_key")
-    rows = near_duplicates(docs.select(F.xxhash64("text").alias("doc_id"), "text", F.col("doc_id").alias("own_id")), width=5, percent=80, keep=["own_id"])
-    near = stored(rows.where("n_shingles > 0 AND own_id IS NOT NULL").select(F.col("own_id").alias("doc_id"), F.col("doc_id").alias("text_key"), "component_id"))
-    groups = near.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("keeper"), F.count("*").alias("n")).where("n > 1")
-    gone = near.join(groups, "component_id").where("doc_id <> keeper.doc_id OR text_key <> keeper.text_key").select("doc_id", "text_key").distinct()
-    left = docs.select("*", text_key).join(gone, ["doc_id", "text_key"], "left_anti")
-    twice = near.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_key")
-    if not twice.isEmpty():
-        left = left.join(twice, ["doc_id", "text_key"], "left_anti").unionByName(left.join(twice, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"]))
-    return left.select(*docs.columns)
+    rows = _numbered(docs)
+    near = near_duplicates(rows.select(F.col("row_no").alias("doc_id"), "text", F.col("doc_id").cast("long").alias("own_id")), width=5, percent=80, keep=["own_id"])
+    near = stored(near.select(F.col("doc_id").alias("row_no"), "own_id", "component_id", (F.expr("n_shingles > 0") & F.col("own_id").isNotNull()).alias("judged")))
+    keepers = near.where("judged").groupBy("component_id").agg(F.min(F.struct("own_id", "row_no"))["row_no"].alias("row_no"))
+    return rows.join(keepers.select("row_no").unionByName(near.where("NOT judged").select("row_no")), "row_no", "left_semi")
 
 
+@keeps_columns
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, or nearly, go: rows are known by their text, so a null doc_id is no shelter."""
-    text_key = F.xxhash64("text")
-    found = contaminated(docs.select(text_key.alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("text_key")).distinct()
-    return docs.withColumn("text_key", text_key).join(found, "text_key", "left_anti").select(*docs.columns)
+    """Documents that hold a benchmark item, or nearly, go, each row by itself, with a doc_id or without.
+
+    Null and empty texts hold nothing, and null and empty items are in nothing; an empty table gives none.
+    """
+    rows = _numbered(docs)
+    found = contaminated(rows.select(F.col("row_no").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row_no")).distinct()
+    return rows.join(found, "row_no", "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row a piece: where its tokens are in its document and in its sequence."""
-    return pack_documents(docs, public_tokenizer(), keep_ids=False)
+    """One row a piece: its token ids (little-endian, 32 bits each), and where they are in its document and in its sequence.
+
+    A null or empty text is its end token; rows that repeat are packed each; a null doc_id is carried along; an empty table
+    gives none.
+    """
+    return pack_documents(docs.select("doc_id", "text"), public_tokenizer())
 
 
 STAGES = [
