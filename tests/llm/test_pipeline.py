@@ -48,3 +48,26 @@ def test_rows_of_one_id_and_of_none(spark, tmp_path):
     assert kept == collections.Counter(x for x in rows if x != (7, a + " more")) - collections.Counter([(8, c)])
     clean = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_contaminated(spark, table, str(tmp_path)).collect())
     assert clean == collections.Counter(x for x in rows if item not in (x[1] or ""))
+
+
+def test_clashing_columns_come_through_every_stage(spark, tmp_path):
+    """Columns named like an operator's own, or like a stage's helpers, change nothing and come back as they were."""
+    rng = random.Random(32)
+    prose = lambda n: " ".join(f"t{rng.randrange(3000)}" for _ in range(n))
+    line = "a line that stands in a good many of the documents here"
+    texts = [prose(60) + (" vilething vileword vilething" if i % 6 == 0 else "") + (f"\n{line}" if i % 5 == 1 else "") for i in range(60)]
+    texts += [texts[1], texts[2] + " more", None, "", f"{prose(9)} b1 b2 b3 b4 b5 b6 b7 b8 b9 {prose(9)}"]
+    clashing = ["text_key", "own_id", "score", "predicted", "toxic_spans", "n_lines", "n_dropped", "row_no", "offset", "component_id", "kept", "own_0", "rep", "n", "d1", "piece", "sequence_id", "_drop", "_id", "judged"]
+    schema = "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in clashing)
+    own = lambda i: [f"{c}-{i}" for c in clashing]
+    table = spark.createDataFrame([(i, t, *own(i)) for i, t in enumerate(texts)], schema)
+    plain = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(7, "B1 b2 b3 b4 b5 b6 b7 b8 b9")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got, want = stored(stage(spark, table, str(tmp_path))), stored(stage(spark, plain, str(tmp_path)))
+        assert got.columns == table.columns
+        assert sorted((r.doc_id, r.text or "") for r in got.collect()) == sorted((r.doc_id, r.text or "") for r in want.collect())
+        assert all(list(r)[2:] == own(r.doc_id) for r in got.collect())
+    pieces = corpus_pipeline.pack(spark, table, str(tmp_path)).collect()
+    assert sorted({r.doc_id for r in pieces}) == list(range(len(texts))) and all(len(r.ids) == 4 * r.length for r in pieces)
