@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactory.llm.common import Words, batch_of, chunks, fold_hash, held_out, mix, per_group, read_table, stored, text_volume
+from redactory.llm.common import Words, batch_of, bound_batches, chunks, fold_hash, held_out, mix, per_group, read_table, stored, text_volume
 
 BITS_PER_EVENT, PROBES = 12, 5
 BLOCK_CHARS = 8_000_000
@@ -296,6 +296,7 @@ def _scored_by_exchange(docs: DataFrame, blocks: DataFrame, n_blocks: int, total
 
 def score_documents(docs: DataFrame, train: DataFrame, limit_bytes: int = LIMIT_BYTES) -> DataFrame:
     """docs (doc_id, text) scored by a model of train (text): n_tokens, n_known, train_tokens, base_score, score."""
+    bound_batches(docs.sparkSession)
     n_blocks = max(1, -(-text_volume(train) // BLOCK_CHARS))
     blocks = stored(filter_blocks(count_ngrams(train, n_blocks)))
     sums = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "bigrams", "once")), F.coalesce(F.sum(F.octet_length("bits") + F.octet_length("keys") * 2), F.lit(0)).alias("size")).first()
