@@ -154,14 +154,14 @@ def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
-#: Spark's own bound of the bytes that go to a Python worker at once, and the one that texts are sent with.
-BATCH_BYTES_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+#: Spark's bound of the bytes that go to a Python worker at once, what it is if nobody has set it, and what texts are sent with.
+BATCH_SETTING, UNSET, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Texts go to Python workers a few MB at a time, unless the session bounds them lower: each task holds several copies of a batch."""
-    if int(spark.conf.get(BATCH_BYTES_SETTING, "-1").rstrip("b")) not in range(1, BATCH_BYTES + 1):
-        spark.conf.set(BATCH_BYTES_SETTING, str(BATCH_BYTES))
+    """Texts go to Python workers a few MB at a time, unless the session says otherwise: a task holds several copies of a batch."""
+    if spark.conf.get(BATCH_SETTING, UNSET) == UNSET:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
