@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from redactory.llm.common import batch_of, chunks, mix, per_group, read_table, stored
+from redactory.llm.common import batch_of, bound_batches, chunks, mix, per_group, read_table, stored
 
 MIN_CHARS, MIN_DOCS = 40, 5
 SLICE_BITS = 1 << 19
@@ -246,6 +246,7 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     A key of ``min_chars`` code points or more in ``min_docs`` documents or more stays in the largest doc_id only.
     """
     docs = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped", "_drop", "_id")])
+    bound_batches(docs.sparkSession)
     keys = stored(key_table(docs, min_chars))
     n_keys = int(keys.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0))).first()[0]) // 16
     found = stored(suspects(keys, n_keys, limit_bytes).distinct())

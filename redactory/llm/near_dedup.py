@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactory.llm.common import Words, batch_of, chunks, connected_components, fold_hash, mix, per_group, read_table, stored
+from redactory.llm.common import Words, batch_of, bound_batches, chunks, connected_components, fold_hash, mix, per_group, read_table, stored
 
 BANDS, ROWS = 24, 4
 PLACES = BANDS * ROWS
@@ -314,6 +314,7 @@ def _in_classes(signed: DataFrame, class_of: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, keep: list[str] | None = None) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, class_id (equal sets), component_id, kept; and ``keep``, long columns of docs."""
+    bound_batches(docs.sparkSession)
     keep = keep or []
     signed = stored(signatures(docs, width, keep=keep))
     classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("buckets").alias("buckets"), F.count("*").alias("copies"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from redactory.llm.common import Words, chunks, mix, power_tables, read_table, stored
+from redactory.llm.common import Words, bound_batches, chunks, mix, power_tables, read_table, stored
 
 #: Words of a passage that goes; words of an equal run that is found wherever it begins and ends.
 MIN_WORDS, RUN_WORDS = 30, 51
@@ -134,6 +134,7 @@ def unit_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start, end, words, first_docs) of each passage to remove; first_docs: documents that keep its units."""
+    bound_batches(docs.sparkSession)
     units = stored(unit_table(docs, min_words))
     groups = stored(units.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1"))
     hot = F.col("n") > units.count() // HOT_KEYS
