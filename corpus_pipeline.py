@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; its result is written and read
 again. All but the last return the columns of documents. Which row goes is decided by the operators' production
 parameters. Operators see doc_id and text only under these names: other columns, whatever they are called, come back
-as they were. Stages that compare rows number them in a written copy, so that rows of one id, or of none, are told apart.
+as they were. Where doc_ids repeat or are null, stages that compare rows number them in a written copy.
 """
 
 from __future__ import annotations
@@ -35,7 +35,9 @@ def keeps_columns(stage: Callable) -> Callable:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    return stored(docs.withColumn("row_no", F.monotonically_increasing_id()))
+    """docs with row_no, another for each row: the doc_id if it is one, else a number in a written copy."""
+    n, n_ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    return docs.withColumn("row_no", F.col("doc_id").cast("long")) if n == n_ids else stored(docs.withColumn("row_no", F.monotonically_increasing_id()))
 
 
 @keeps_columns
