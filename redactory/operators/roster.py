@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from redactory.functions.io import sent_if_small
+
 ACTIVE, PIPELINE = ("enrolled", "suspended"), ("inquiry", "quote_sent", "invoice_sent")
 #: The orders in which statuses change.
 STATUS_CYCLE = ["inquiry", "quote_sent", "invoice_sent", "wait_list", "enrolled", "suspended", "left"]
@@ -100,19 +102,20 @@ def forecast_band(expected: Column, capacity: Column) -> Column:
     return F.when(percent >= 100, "full").when(percent >= 85, "tight").when(percent >= 60, "filling").otherwise("open")
 
 
-def next_ids(students: DataFrame, added: DataFrame, key: str, buckets: int = 64) -> DataFrame:
-    """Rows to append with ids after the greatest, by bucket of the key and then by key.
+def next_ids(students: DataFrame, added: DataFrame, key: str, size: int = 100_000) -> DataFrame:
+    """Rows to append with ids after the greatest, in order of the key, a whole number that says which row came first.
 
-    Each bucket is numbered by itself and starts after those before it; only the buckets' sizes meet in one place.
+    Runs of ``size`` keys are numbered each by itself and start after those before them; only the runs' sizes meet in one
+    place. Rows without a key come first.
     """
     top = students.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    placed = added.withColumn("_bucket", F.pmod(F.col(key), F.lit(buckets)))
-    sizes = placed.groupBy("_bucket").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most ``buckets`` rows
-    starts = sizes.select("_bucket", before.alias("_before")).crossJoin(F.broadcast(top))
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
-    out = placed.withColumn("_no", inside).join(F.broadcast(starts), "_bucket")
-    return out.withColumn("id", (F.col("top") + F.col("_before") + F.col("_no")).cast("int")).drop("_bucket", "_no", "_before", "top")
+    placed = added.withColumn("_run", F.coalesce(F.floor(F.col(key) / size), F.lit(-(1 << 62))))
+    sizes = placed.groupBy("_run").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_run", before.alias("_before")).crossJoin(F.broadcast(top))  # one row beside each run
+    inside = F.row_number().over(Window.partitionBy("_run").orderBy(key))
+    out = placed.withColumn("_no", inside).join(starts, "_run")
+    return out.withColumn("id", (F.col("top") + F.col("_before") + F.col("_no")).cast("int")).drop("_run", "_no", "_before", "top")
 
 
 def updated(students: DataFrame, patches: DataFrame) -> DataFrame:
@@ -150,5 +153,5 @@ def guessed_gender(people: DataFrame, dictionary: DataFrame, name: str = "name")
     """people with ``guess``: F, M or X by the first name without accents, from a dictionary (first_name, gender)."""
     plain = F.translate(F.lower(F.regexp_extract(F.trim(F.col(name)), r"^(\S+)", 1)), "áàâãäåéèêëíìîïóòôõöúùûüçñøð", "aaaaaaeeeeiiiiooooouuuucnod")
     first = F.replace(plain, F.lit("æ"), F.lit("ae"))
-    known = F.broadcast(dictionary.groupBy(F.col("first_name").alias("_first")).agg(F.min("gender").alias("_gender")))
+    known = sent_if_small(dictionary.groupBy(F.col("first_name").alias("_first")).agg(F.min("gender").alias("_gender")))
     return people.withColumn("_first", first).join(known, "_first", "left").withColumn("guess", F.coalesce("_gender", F.lit("X"))).drop("_first", "_gender")

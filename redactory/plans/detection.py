@@ -13,6 +13,9 @@ QUERIES, SQL = {}, {}
 _SOURCES = {
     "messages": (lambda s, d: messages(s, d).select(F.col("msg_id").alias("id"), "t"), f"SELECT msg_id AS id, t FROM ({messages_sql(True)})"),
     "documents": (lambda s, d: s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("t")), "SELECT doc_id AS id, text AS t FROM documents"),
+    # a licence in every text, as the tables themselves hold none
+    "licensed_documents": (lambda s, d: s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), F.concat(F.coalesce("text", F.lit("")), F.lit("\nDriver LICENCE no. "), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("t")), "SELECT doc_id AS id, coalesce(text, '') || chr(10) || 'Driver LICENCE no. ' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS t FROM documents"),
+    "licensed_pages": (lambda s, d: s.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("id"), F.concat(F.lit("<p>license: AB"), F.lpad(F.col("page_id").cast("string"), 6, "0"), F.lit("</p>"), F.coalesce("html", F.lit(""))).alias("t")), "SELECT page_id AS id, '<p>license: AB' || lpad(CAST(page_id AS VARCHAR), 6, '0') || '</p>' || coalesce(html, '') AS t FROM pages"),
     "pages": (lambda s, d: s.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("id"), F.col("html").alias("t")), "SELECT page_id AS id, html AS t FROM pages"),
 }
 
@@ -41,7 +44,7 @@ for _rule in RULES:
     for _source in ("messages", "documents", "pages") if _rule.name in ("email", "credit_card", "password_kw", "licence") else ("messages",):
         _name = f"det_{_rule.name}" + ("" if _source == "messages" else f"_{_source}")
         _rules = ["phone_au", "phone_service", "phone_ctx"] if _rule.name == "phone_ctx" else [_rule.name]
-        QUERIES[_name], SQL[_name] = _detector(_source, _rules)
+        QUERIES[_name], SQL[_name] = _detector(f"licensed_{_source}" if _rule.name == "licence" and _source != "messages" else _source, _rules)
 
 
 def _register(name: str, source: str, build, sql: str):

@@ -60,7 +60,7 @@ _add("pipeline_by_stage", lambda s, c: s.where("archived = 0").groupBy("centre",
 _LIKE = lambda text, columns: "(" + " OR ".join(f"contains(lower({c}), '{text}')" for c in columns) + ")"
 _ANY, _WHO = ["name", "nationality", "parents"], ["name", "nationality", "parents", "email"]
 _add("all_students_search", lambda s, c: roster.searched(roster.scope(s).where("status = 'enrolled' AND class_id = 'pks'"), "AUSTR", _ANY).select("id", "name", "parents"), f"SELECT id, name, parents FROM students WHERE {_HERE} AND status = 'enrolled' AND class_id = 'pks' AND {_LIKE('austr', _ANY)}")
-_add("archive_search", lambda s, c: roster.searched(roster.archive(s).where("start_year = 2022 AND class_id = 'el2d'"), "family.1", _WHO).select("id", "name", "email", "start_year"), f"SELECT id, name, email, 2022 AS start_year FROM students WHERE archived = 1 AND class_id = 'el2d' AND start_date LIKE '2022%' AND {_LIKE('family.1', _WHO)}")
+_add("archive_search", lambda s, c: roster.searched(roster.archive(s).where("start_year = 2023 AND class_id = 'el2d'"), "FAMILY.1", _WHO).select("id", "name", "email", "start_year"), f"SELECT id, name, email, 2023 AS start_year FROM students WHERE archived = 1 AND class_id = 'el2d' AND start_date LIKE '2023%' AND {_LIKE('family.1', _WHO)}")
 _add("pipeline_badge", lambda s, c: s.where("centre = 'north' AND archived = 0").where(F.col("status").isin(*roster.PIPELINE, "wait_list")).agg(F.count("*").alias("n")), f"SELECT count(*) AS n FROM students WHERE {_HERE} AND (status IN {_PIPE} OR status = 'wait_list')")
 _add("archive_years", lambda s, c: roster.archive(s).select("start_year").distinct().orderBy(F.desc("start_year")), "SELECT DISTINCT year(TRY_CAST(start_date AS DATE)) AS start_year FROM students WHERE archived = 1 ORDER BY 1 DESC")
 _add(
@@ -75,18 +75,19 @@ _add(
 )
 _ADVANCE = "CASE status " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in roster.ADVANCE.items()) + " ELSE status END"
 _add("advance_pipeline", lambda s, c: s.where("archived = 0").select("id", roster.advanced(F.col("status")).alias("status")), f"SELECT id, {_ADVANCE} AS status FROM students WHERE archived = 0")
-_add("delete_guard", lambda s, c: roster.deletable(c, roster.scope(s, "south")).select("id"), "SELECT id FROM classes WHERE id NOT IN (SELECT class_id FROM students WHERE archived = 0 AND centre = 'south')")
+_opened = lambda c: c.select("id").unionByName(c.select(F.concat("id", F.lit(" (new)")).alias("id")))  # noqa: E731  each class, and a new one beside it that nobody is in yet
+_add("delete_guard", lambda s, c: roster.deletable(_opened(c), roster.scope(s, "south")).select("id"), "SELECT id FROM (SELECT id FROM classes UNION ALL SELECT id || ' (new)' FROM classes) WHERE id NOT IN (SELECT class_id FROM students WHERE archived = 0 AND centre = 'south')")
 _add("class_lookup", lambda s, c: s.join(F.broadcast(c.select(F.col("id").alias("cid"), F.col("name").alias("class_name"))), F.col("class_id") == F.col("cid"), "left").select("id", F.coalesce("class_name", "class_id").alias("class_name")), "SELECT s.id, coalesce(c.name, s.class_id) AS class_name FROM students s LEFT JOIN classes c ON c.id = s.class_id")
 _add("sidebar_counts", lambda s, c: s.where("centre = 'north'").groupBy("class_id").agg(F.count("*").alias("n")), "SELECT class_id, count(*) AS n FROM students WHERE centre = 'north' GROUP BY class_id")
 _NEW = "(SELECT 'New ' || name AS name, id AS k FROM students WHERE archived = 1)"
 _add(
     "added_students",
     lambda s, c: s.select("id", "name").unionByName(roster.next_ids(s.select("id"), s.where("archived = 1").select(F.concat(F.lit("New "), "name").alias("name"), F.col("id").alias("k")), "k").select("id", "name")),
-    f"SELECT id, name FROM students UNION ALL SELECT CAST((SELECT max(id) FROM students) + row_number() OVER (ORDER BY k % 64, k) AS INTEGER), name FROM {_NEW}",
+    f"SELECT id, name FROM students UNION ALL SELECT CAST((SELECT max(id) FROM students) + row_number() OVER (ORDER BY k) AS INTEGER), name FROM {_NEW}",
 )
 _add(
     "import_replaces", lambda s, c: roster.imported(s.where("status = 'inquiry'").withColumn("k", F.col("id")).drop("id"), "south", "k").select("id", "name", "centre", "class_id", "invoice", "bond", "archived"),
-    """SELECT CAST(row_number() OVER (ORDER BY id % 64, id) AS INTEGER) AS id, name, 'south' AS centre, class_id, 'not_sent' AS invoice, 0 AS bond, 0 AS archived FROM students WHERE status = 'inquiry'""",
+    """SELECT CAST(row_number() OVER (ORDER BY id) AS INTEGER) AS id, name, 'south' AS centre, class_id, 'not_sent' AS invoice, 0 AS bond, 0 AS archived FROM students WHERE status = 'inquiry'""",
 )
 _add(
     "import_summary", lambda s, c: roster.import_summary(s.where("status = 'enrolled'"), c),

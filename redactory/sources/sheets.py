@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 _CELL = "sheet string, row_no long, col_no long, value string"
 
 
-def csv_cells(spark: SparkSession, path: str, sheet: str, sep: str = ",", width: int = 256) -> DataFrame:
+def csv_cells(spark: SparkSession, path: str, sheet: str, sep: str = ",") -> DataFrame:
     """Cells of one CSV or TSV file that are not empty; quoted fields may hold separators and new lines.
 
-    A file with quoted new lines cannot be split, so it is one task, and a row's number in the task is its number.
+    The file's lines are looked through for the most separators first, so that no column is lost. A file with quoted new
+    lines cannot be split, so it is then one task, and a row's number in the task is its number.
     """
+    width = spark.read.text(path).agg(F.coalesce(F.max(F.length("value") - F.length(F.replace("value", F.lit(sep), F.lit("")))), F.lit(0))).first()[0] + 1
     names = [f"c{i}" for i in range(width)]
-    rows = spark.read.csv(path, ", ".join(f"{c} string" for c in names), sep=sep, quote='"', escape='"', multiLine=True, header=False)
+    rows = spark.read.csv(path, ", ".join(f"{c} string" for c in names), sep=sep, quote='"', escape='"', multiLine=True, header=False, maxColumns=max(width, 20480))
     numbered = rows.select(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row_no"), F.array(*names).alias("cells"))
     return numbered.select("row_no", F.posexplode("cells").alias("col_no", "value")).where("value IS NOT NULL").select(F.lit(sheet).alias("sheet"), "row_no", F.col("col_no").cast("long").alias("col_no"), "value")
 
