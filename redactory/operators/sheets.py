@@ -10,9 +10,9 @@ from redactory.operators.cells import class_hint, day_mark, iso_date, lunch_mark
 #: Sheets, and columns counted from the block's base.
 SHEET_CLASSES = {"el 1": "el1", "el2 daf": "el2d", "el2 hib": "el2h", "pk saf": "pks", "pk lav": "pkl", "jr. kindergarten": "jrk", "kindergarten": "kg"}
 SKIPPED = ["age calculator", "total enrolment", "enrolment forecast", "25+ enrolments"]
-COLUMNS = {"name": 1, "start": 2, "last": 4, "dob": 5, "mon": 7, "tue": 8, "wed": 9, "thu": 10, "fri": 11, "lunch": 12, "nationality": 13, "parents": 14, "email": 15, "phone": 16, "note": 17, "suspension": 18, "stay": 19, "bond": 20, "paid_from": 21, "paid_until": 22}
+COLUMNS = {"no": 0, "name": 1, "start": 2, "last": 4, "dob": 5, "mon": 7, "tue": 8, "wed": 9, "thu": 10, "fri": 11, "lunch": 12, "nationality": 13, "parents": 14, "email": 15, "phone": 16, "note": 17, "suspension": 18, "stay": 19, "bond": 20, "paid_from": 21, "paid_until": 22}
 BLOCK, BLOCKS, HEADER_ROWS = 25, 5, 3
-STOP_WORDS = ["total", "holiday suspension", "full day", "half day"]
+TOTALS = ["total", "full day", "half day"]
 
 
 def sheet_classes(cells: DataFrame) -> DataFrame:
@@ -45,11 +45,9 @@ def student_cells(cells: DataFrame) -> DataFrame:
     named = placed.select("sheet", "row_no", F.try_element_at(table, offset.cast("int")).alias("c"), stripped(F.col("value")).alias("value")).where("c IS NOT NULL")
     rows = named.groupBy("sheet", "row_no").pivot("c", list(COLUMNS)).agg(F.first("value")).na.fill("", list(COLUMNS))
     low = F.lower("name")
-    stop = F.lit(False)
-    for w in STOP_WORDS:
-        stop = stop | F.startswith(low, F.lit(w))
+    stop = F.startswith(low, F.lit("total")) | F.contains(low, F.lit("holiday suspension")) | low.isin(*TOTALS) | F.lower("no").isin(*TOTALS)
     before = F.max(stop.cast("int")).over(Window.partitionBy("sheet").orderBy("row_no").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    kept = rows.withColumn("_stopped", before).where("_stopped = 0 AND name <> '' AND NOT name RLIKE '^[0-9]+$' AND NOT contains(lower(name), 'child name')").drop("_stopped")
+    kept = rows.withColumn("_stopped", before).where("_stopped = 0 AND name <> '' AND NOT name RLIKE '^[0-9]+$' AND lower(name) NOT IN ('child name', 'no')").drop("_stopped")
     typed = kept.join(F.broadcast(sheet_classes(cells)), "sheet").where("class_id IS NOT NULL")
     days = [day_mark(F.col(d)).alias(d) for d in ("mon", "tue", "wed", "thu", "fri")]
     return typed.select(
@@ -58,6 +56,16 @@ def student_cells(cells: DataFrame) -> DataFrame:
     )
 
 
+def import_warnings(cells: DataFrame) -> DataFrame:
+    """(sheet, warning): sheets without a class, children without a date of birth, and files without either rows or warnings."""
+    students = student_cells(cells)
+    unknown = sheet_classes(cells).where("warning IS NOT NULL").select("sheet", "warning")
+    undated = students.where("dob = ''").select("sheet", F.concat(F.lit('"'), "name", F.lit('" ('), "sheet", F.lit("): no date of birth")).alias("warning"))
+    found = unknown.unionByName(undated)
+    nothing = students.select("sheet").limit(1).unionByName(found.select("sheet").limit(1)).agg(F.count("*").alias("n")).where("n = 0")
+    return found.unionByName(nothing.select(F.lit("").alias("sheet"), F.lit("no student data found").alias("warning")))
+
+
 def distinct_parents(students: DataFrame) -> DataFrame:
     """How many parents there are, by name without case."""
     names = students.select(F.explode(F.split("parents", "[/,&]")).alias("p")).select(F.lower(stripped(F.col("p"))).alias("p")).where("p <> ''")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from redactory.operators import forms, sheets
 from redactory.sources.form_mail import fields_sql, mails
 from redactory.sources.roster import roster_sql, students
-from redactory.sources.sheets import sheet_cells
+from redactory.sources.sheets import SHEETS, sheet_cells
 
 
 def _fields(spark, sf_dir):
@@ -40,6 +40,7 @@ QUERIES = {
     "import_latest_block": lambda spark, sf_dir: sheets.latest_blocks(_cells(spark, sf_dir)),
     "import_until_total": lambda spark, sf_dir: _imported(spark, sf_dir).select(F.col("class_id").alias("sheet"), "class_id", "row_no", "name", "start", "mon", "wed", "lunch", "parents"),
     "import_sheet_counts": lambda spark, sf_dir: sheets.sheet_counts(_imported(spark, sf_dir)).select("class_id", "n"),
+    "import_warnings": lambda spark, sf_dir: sheets.import_warnings(_cells(spark, sf_dir)),
     "distinct_parents": lambda spark, sf_dir: sheets.distinct_parents(_imported(spark, sf_dir)),
 }
 SQL: dict[str, str] = {
@@ -49,6 +50,8 @@ SQL: dict[str, str] = {
       coalesce(requestedClass, 'el2d') AS class_id, 'inquiry' AS status, concat_ws(' / ', parent1Name, parent2Name) AS parents, concat_ws(chr(10), parent1Phone || ' (M)', parent2Phone || ' (D)') AS phone,
       parent1Email AS email, concat_ws(';', sibling1Name || '|', sibling2Name || '|' || sibling2Dob) AS siblings, nannyName AS nanny, otherNotes AS note, coalesce(foodAllergiesDetails, '') AS foodAllergiesDetails FROM ({_WIDE})""",
     "import_until_total": _ROWS,
+    "import_warnings": f"""WITH kept AS ({_ROWS.replace("name, CASE", "name, dob, CASE")}), sheets(class_id, sheet) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in SHEETS.items())})
+      SELECT s.sheet, '"' || name || '" (' || s.sheet || '): no date of birth' AS warning FROM kept JOIN sheets s USING (class_id) WHERE dob = ''""",
     "import_sheet_counts": f"SELECT class_id, count(*) AS n FROM ({_ROWS}) GROUP BY class_id",
     "distinct_parents": f"SELECT count(DISTINCT p) AS n_parents FROM (SELECT trim(lower(unnest(string_split(parents, '&')))) AS p FROM ({_ROWS})) WHERE p <> ''",
     "import_latest_block": "SELECT * FROM (VALUES ('EL 1', 1), ('EL2 Daf', 0), ('EL2 Hib', 1), ('PK Saf', 1), ('PK Lav', 1), ('Jr. Kindergarten', 1), ('Kindergarten', 1), ('Age Calculator', 0)) AS v(sheet, block)",

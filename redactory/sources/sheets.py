@@ -1,11 +1,14 @@
-"""Spreadsheets as cells (sheet, row_no, col_no, value): CSV or TSV by Spark's reader, xlsx files one a task."""
+"""Spreadsheets as cells (sheet, row_no, col_no, value): CSV or TSV by Spark's reader, workbooks a sheet a task."""
 
 from __future__ import annotations
 
 import io
 import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -69,28 +72,82 @@ def _tag(element) -> str:
     return element.tag.rpartition("}")[2]
 
 
-def read_xlsx(content: bytes) -> list[tuple[str, int, int, str]]:
-    """All cells of all sheets of one file, as text; numbers as they are stored."""
-    out = []
+def _packed(z: zipfile.ZipFile, name: str) -> tuple[bytes, bool]:
+    """A member as it lies in the file, and whether it is deflated."""
+    info = z.getinfo(name)
+    z.fp.seek(info.header_offset + 26)  # after the fixed part of its header: name, extra field, data
+    skip = struct.unpack("<HH", z.fp.read(4))
+    z.fp.seek(sum(skip), 1)
+    return z.fp.read(info.compress_size), info.compress_type != zipfile.ZIP_STORED
+
+
+def _rows(packed: bytes, deflated: bool, tag: str) -> Iterator[ElementTree.Element]:
+    """The elements of one name of a packed XML file, one after another; what has been read is let go."""
+    unpack = zlib.decompressobj(-15) if deflated else None
+    parser = ElementTree.XMLPullParser(["start", "end"])
+    root = None
+    for at in range(0, len(packed) + 1, 1 << 16):
+        part = packed[at : at + (1 << 16)]
+        parser.feed(unpack.decompress(part) if unpack else part)
+        for event, element in parser.read_events():
+            if event == "start":
+                root = element if root is None else root
+            elif _tag(element) == tag:
+                yield element
+                element.clear()
+                if tag == "row":
+                    for parent in root:  # rows hang on the sheet's data
+                        parent.clear() if _tag(parent) == "sheetData" else None
+
+
+def workbook_sheets(content: bytes) -> list[tuple[str, int, bytes, bool, bytes, bool]]:
+    """(sheet, number, packed rows, deflated, packed shared strings, deflated) for each sheet of a workbook, nothing unpacked."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
-        shared = ["".join(t.text or "" for t in si.iter() if _tag(t) == "t") for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
+        shared = _packed(z, "xl/sharedStrings.xml") if "xl/sharedStrings.xml" in names else (b"", False)
         book = [s.attrib for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _tag(s) == "sheet"]
-        targets = {r.attrib["Id"]: r.attrib["Target"] for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for s in book:
-            target = targets[next(v for k, v in s.items() if k.endswith("}id"))].lstrip("/")
-            for c in ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}")).iter():
-                if _tag(c) == "c":
-                    text = "".join(x.text or "" for x in c.iter() if _tag(x) in ("v", "t"))
-                    value = shared[int(text)] if c.attrib.get("t") == "s" and text else text
-                    out.append((s["name"], int(re.search(r"\d+", c.attrib["r"]).group()) - 1, _column(c.attrib["r"]), value))
-    return out
+        targets = {r.attrib["Id"]: r.attrib["Target"].lstrip("/") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        at = [targets[next(v for k, v in s.items() if k.endswith("}id"))] for s in book]
+        return [(s["name"], i, *_packed(z, t if t.startswith("xl/") else f"xl/{t}"), *shared) for i, (s, t) in enumerate(zip(book, at))]
+
+
+def cells_of(sheet: str, number: int, packed: bytes, deflated: bool, shared: bytes, shared_deflated: bool) -> Iterator[tuple[str, int, int, str]]:
+    """The cells of one sheet as text, row by row; numbers as they are stored. Formulas give their stored results."""
+    strings = ["".join(t.text or "" for t in si.iter() if _tag(t) == "t") for si in _rows(shared, shared_deflated, "si")] if shared else []
+    for row in _rows(packed, deflated, "row"):
+        for c in row:
+            text = "".join(x.text or "" for x in c.iter() if _tag(x) in ("v", "t"))
+            value = strings[int(text)] if c.attrib.get("t") == "s" and text else text
+            yield sheet, int(re.search(r"\d+", c.attrib["r"]).group()) - 1, _column(c.attrib["r"]), value
+
+
+def read_xlsx(content: bytes) -> list[tuple[str, int, int, str]]:
+    """All cells of all sheets of one workbook."""
+    return [cell for sheet in workbook_sheets(content) for cell in cells_of(*sheet)]
+
+
+_SHEET = "sheet string, number int, packed binary, deflated boolean, shared binary, shared_deflated boolean"
 
 
 def xlsx_cells(spark: SparkSession, path: str) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cells of all sheets of the workbooks at a path, read by Spark's own reader wherever they are.
+
+    One task opens a workbook and deals its sheets out, still packed; each sheet is then unpacked and read row by row in a task
+    of its own, so that a workbook of many sheets is the work of many tasks and a large sheet is never whole in memory.
+    """
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for content in f["content"]:
-                yield pd.DataFrame(read_xlsx(bytes(content)), columns=["sheet", "row_no", "col_no", "value"])
+                yield pd.DataFrame(workbook_sheets(bytes(content)), columns=["sheet", "number", "packed", "deflated", "shared", "shared_deflated"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, _CELL)
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for row in f.itertuples(index=False):
+                cells = cells_of(row.sheet, row.number, bytes(row.packed), row.deflated, bytes(row.shared), row.shared_deflated)
+                while part := list(islice(cells, 50_000)):
+                    yield pd.DataFrame(part, columns=["sheet", "row_no", "col_no", "value"])
+
+    sheets = spark.read.format("binaryFile").load(path).select("content").mapInPandas(deal, _SHEET)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return sheets.repartition(n, F.xxhash64("sheet", "number")).mapInPandas(read, _CELL)

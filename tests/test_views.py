@@ -168,3 +168,48 @@ def test_a_wide_csv_file_keeps_its_columns(spark, tmp_path):
     assert len(cells) == 302 and cells[0, 299] == "v299" and cells[1, 0] == "a,b\nc"
     (tmp_path / "e.csv").write_text("")
     assert csv_cells(spark, str(tmp_path / "e.csv"), "S").count() == 0
+
+
+def workbook(sheets, stored=False):
+    """A workbook by hand: cells (row, column letters, value) by sheet, values shared, inline or numbers."""
+    import io
+    import zipfile
+
+    out, shared = io.BytesIO(), []
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED if stored else zipfile.ZIP_DEFLATED) as z:
+        listed = "".join(f'<sheet name="{n}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets, 1))
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="m" xmlns:r="r"><sheets>{listed}</sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="rId{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1)) + "</Relationships>")
+        for i, rows in enumerate(sheets.values(), 1):
+            body = []
+            for r, cells in rows.items():
+                inside = ""
+                for c, v in cells.items():
+                    if isinstance(v, int):
+                        inside += f'<c r="{c}{r}"><v>{v}</v></c>'
+                    elif v.startswith("="):
+                        inside += f'<c r="{c}{r}" t="inlineStr"><is><t>{v[1:]}</t></is></c>'
+                    else:
+                        shared.append(v)
+                        inside += f'<c r="{c}{r}" t="s"><v>{len(shared) - 1}</v></c>'
+                body.append(f'<row r="{r}">{inside}</row>')
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="m"><sheetData>{"".join(body)}</sheetData></worksheet>')
+        z.writestr("xl/sharedStrings.xml", "<sst>" + "".join(f"<si><t>{v}</t></si>" for v in shared) + "</sst>")
+    return out.getvalue()
+
+
+def test_a_workbook_is_the_work_of_several_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from redactory.sources.sheets import read_xlsx, xlsx_cells
+
+    sheets = {f"Sheet {i}": {r: {"A": f"name {i} {r}", "B": r, "ZZ": "=far"} for r in range(1, 40)} for i in range(12)}
+    sheets["Long"] = {r: {"A": "x" * 50, "C": r} for r in range(1, 6000)}
+    sheets["Empty"] = {}
+    (tmp_path / "a.xlsx").write_bytes(workbook(sheets))
+    cells = xlsx_cells(spark, str(tmp_path / "a.xlsx"))
+    want = {(n, r - 1, {"A": 0, "B": 1, "C": 2, "ZZ": 701}[c], str(v).lstrip("=")) for n, rows in sheets.items() for r, cs in rows.items() for c, v in cs.items()}
+    assert {tuple(r) for r in cells.collect()} == want
+    assert cells.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    small = {"S": {1: {"A": "one"}, 2: {"AB": 46146}}}
+    assert read_xlsx(workbook(small, stored=True)) == [("S", 0, 0, "one"), ("S", 1, 27, "46146")]
