@@ -48,6 +48,9 @@ class Spark:
     def last(self, xs):
         return f"element_at({xs}, -1)"
 
+    def at_list(self, xs, i):
+        return f"element_at({xs}, {i})"
+
     def tail(self, xs):
         return f"slice({xs}, 2, greatest(size({xs}) - 1, 0))"
 
@@ -152,6 +155,9 @@ class Duck(Spark):
     def last(self, xs):
         return f"{xs}[-1]"
 
+    def at_list(self, xs, i):
+        return f"{xs}[{i}]"
+
     def tail(self, xs):
         return f"{xs}[2:]"
 

@@ -1,17 +1,18 @@
 """Masking findings with stand-ins and restoring them.
 
 A stand-in is an expression over the type and the real value: the seed is a hash of both, so runs agree. One mapping
-table holds real and fake. A real value that would share a fake with another draws again once; if that is taken too, its
-first fake gets a hash of the value as a suffix, so that every fake stands for one value and can be restored.
+table holds real and fake. A real value that would share a fake with another draws again once; if that is taken too, it
+gets a stand-in by its rank from a larger pool (see ``standins``), so that every fake stands for one value and can be restored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redactory.functions.dialect import DUCK, SPARK
 from redactory.functions.io import sent_if_small, written
+from redactory.operators import standins
 from redactory.operators.detect import long_form
 from redactory.operators.rules import MASKABLE_TYPES
 
@@ -105,6 +106,45 @@ def _owners(drawn: DataFrame, *taken: DataFrame) -> DataFrame:
     return out.select("real", "type", "fake")
 
 
+def _ranked(values: DataFrame) -> DataFrame:
+    """values (real, type) with rank, from 0 in each type, in the order of a hash.
+
+    Runs of hashes are numbered each by itself after those before them; only the runs' sizes meet in one place.
+    """
+    hashed = values.withColumn("_h", F.md5(F.col("real").cast("binary"))).withColumn("_run", F.substring("_h", 1, 4))
+    sizes = hashed.groupBy("type", "_run").agg(F.count("*").alias("_n"))  # at most 65,536 a type
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("type").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("type", "_run").orderBy("_h", "real"))
+    out = hashed.withColumn("_no", inside).join(sizes.select("type", "_run", before.alias("_before")), ["type", "_run"])
+    return out.select("real", "type", (F.col("_no") + F.col("_before") - 1).cast("long").alias("rank"))
+
+
+def _by_rank(values: DataFrame, existing: DataFrame | None) -> DataFrame:
+    """values (real, type) with fakes by rank, none of which ``existing`` has: ranks begin after as many as it knows of a type."""
+    used = None if existing is None else existing.groupBy("type").agg(F.count("*").alias("_used"))  # a row a type
+    done, left, step = [], values, 0
+    while True:
+        ranked = _ranked(left)
+        if used is not None:
+            ranked = ranked.join(F.broadcast(used), "type", "left").withColumn("rank", F.col("rank") + F.coalesce("_used", F.lit(0)) + step).drop("_used")
+        for columns in (standins.spaces(SPARK), {"h": standins.permuted(SPARK)}, {"l": "h[0]", "r": "h[1]", "lv": "rank div (fa * fb)"}):
+            ranked = ranked.withColumns({c: F.expr(e) for c, e in columns.items()})
+        made = ranked.select("real", "type", F.expr(standins.ranked(SPARK)).alias("fake"))
+        if existing is None:
+            return made
+        made = written(made)
+        known = existing.select("fake").distinct()
+        done.append(made.join(known, "fake", "left_anti").select("real", "type", "fake"))
+        taken = made.join(known, "fake", "left_semi").select("real", "type")
+        if taken.isEmpty():
+            break
+        left, step = taken, step + made.count()
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def mapping(findings: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """(real, type, fake) for the maskable findings (id, type, value, start): one row a real value, no fake twice.
 
@@ -119,10 +159,9 @@ def mapping(findings: DataFrame, existing: DataFrame | None = None) -> DataFrame
     taken = [] if existing is None else [existing]
     told_apart = drawn.where("type <> 'PASSWORD'")
     first = written(_owners(told_apart, *taken))
-    left = told_apart.join(first.select("real"), "real", "left_anti").select("real", "type", F.col("fake").alias("base"))
-    second = written(_owners(_faked(left.select("real", "type", F.lit(1).alias("attempt"))), first, *taken))
-    suffixed = F.concat("base", F.lit("-"), F.substring(F.md5(F.col("real").cast("binary")), 1, 16)).alias("fake")
-    rest = left.join(second.select("real"), "real", "left_anti").select("real", "type", suffixed)
+    left = told_apart.join(first.select("real"), "real", "left_anti").select("real", "type")
+    second = written(_owners(_faked(left.withColumn("attempt", F.lit(1))), first, *taken))
+    rest = _by_rank(left.join(second.select("real"), "real", "left_anti").select("real", "type"), existing)
     return first.unionByName(second).unionByName(rest).unionByName(drawn.where("type = 'PASSWORD'").select("real", "type", "fake"))
 
 
@@ -137,11 +176,15 @@ def mapping_sql(findings: str, existing: str | None = None) -> str:
         return f"SELECT real, type, attempt, {stand_in(DUCK)} AS fake FROM (SELECT *, {drawn_digits(DUCK, 'sd', 15)} AS dg FROM ({seeded}))"
 
     own = "SELECT min(real) AS real, arg_min(type, real) AS type, fake FROM {0} WHERE type <> 'PASSWORD' AND fake NOT IN (SELECT fake FROM ex){1} GROUP BY fake"
+    rest = "SELECT real, type FROM drawn WHERE type <> 'PASSWORD' AND real NOT IN (SELECT real FROM one) AND real NOT IN (SELECT real FROM two)"
+    rank = f"SELECT real, type, row_number() OVER (PARTITION BY type ORDER BY md5(real), real) - 1 + (SELECT count(*) FROM ex WHERE ex.type = x.type) AS rank FROM ({rest}) x"
+    columns = ", ".join(f"{e} AS {c}" for c, e in standins.spaces(DUCK).items())
+    ranked = f"SELECT real, type, {standins.ranked(DUCK)} AS fake FROM (SELECT *, h[1] AS l, h[2] AS r, rank // (fa * fb) AS lv FROM (SELECT *, {standins.permuted(DUCK)} AS h FROM (SELECT *, {columns} FROM ({rank}))))"
     first, second = own.format("drawn", ""), own.format("again", " AND fake NOT IN (SELECT fake FROM one)")
     return f"""WITH {known}, drawn AS MATERIALIZED ({faked(f"SELECT *, 0 AS attempt FROM ({reals})")}), one AS MATERIALIZED ({first}),
       again AS MATERIALIZED ({faked("SELECT real, type, 1 AS attempt FROM drawn WHERE type <> 'PASSWORD' AND real NOT IN (SELECT real FROM one)")}), two AS MATERIALIZED ({second})
       SELECT real, type, fake FROM one UNION ALL SELECT real, type, fake FROM two UNION ALL SELECT real, type, fake FROM drawn WHERE type = 'PASSWORD'
-      UNION ALL SELECT real, type, fake || '-' || substr(md5(real), 1, 16) FROM drawn WHERE type <> 'PASSWORD' AND real NOT IN (SELECT real FROM one) AND real NOT IN (SELECT real FROM two)"""
+      UNION ALL ({ranked})"""
 
 
 def preview(values: DataFrame, existing: DataFrame) -> DataFrame:

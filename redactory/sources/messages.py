@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: {n} is a nine-digit number, {d2} two digits 10 to 28, {k} the customer, {y} a year.
+from redactory.functions.dialect import DUCK, SPARK
+
+#: {n} is a nine-digit number, {d2} two digits 10 to 28, {k} the customer, {p} the customer's name, {y} a year.
 TEMPLATES = [
     "Please charge card 4111 1111 1111 1111 for order {k} today",
     "My Medicare is 2123 45670 1 and yours 2123 45671 1",
@@ -37,7 +39,9 @@ TEMPLATES = [
     "Dear John Smith, my name is Jane Doe and I bank with Acme Corp",
     "é{n4} numéro é04{d2} {n3} {n3}, Jane Doe, card é4111111111111111",
     "nothing of note in order {k}",
+    "this is {p}, order {k}",
 ]
+_NAMES = (["Ada", "Bo", "Cleo", "Dag", "Eva", "Finn", "Gus"], ["lin", "ra", "mund", "nie", "ta"], ["Abel", "Berg", "Cort", "Dahl", "Ek", "Falk", "Gren", "Holm", "Ivar", "Jul", "Krog"], ["sen", "strom", "man", "by", "lund", "quist", "ner"])
 
 _FIELDS = {
     "{k}": "CAST(o_custkey AS {text})", "{n}": "lpad(CAST((o_orderkey * 7919 + 12345) % 1000000000 AS {text}), 9, '0')",
@@ -47,17 +51,24 @@ _FIELDS = {
 }
 
 
+def _name(d) -> str:
+    """A name for each of some 2,700 keys, then the same again."""
+    given = f"{d.pick(_NAMES[0], 'o_custkey')}, {d.pick(_NAMES[1], d.div('o_custkey', '7'))}"
+    return f"concat({given}, ' ', {d.pick(_NAMES[2], 'o_custkey')}, {d.pick(_NAMES[3], d.div('o_custkey', '35'))})"
+
+
 def _template(parts: str, text: str) -> str:
     out, rest = [], parts
+    fields = _FIELDS | {"{p}": _name(DUCK if text == "VARCHAR" else SPARK)}
     while rest:
-        at = [(rest.find(k), k) for k in _FIELDS if k in rest]
+        at = [(rest.find(k), k) for k in fields if k in rest]
         if not at:
             out.append(f"'{rest}'")
             break
         i, k = min(at)
         if i:
             out.append(f"'{rest[:i]}'")
-        out.append(_FIELDS[k].format(text=text))
+        out.append(fields[k].format(text=text))
         rest = rest[i + len(k) :]
     return f"concat({', '.join(out)})"
 
