@@ -13,8 +13,8 @@ The benchmark is the stated query set: it is taken in blocks of ``BLOCK_ITEMS``
 sent to the workers and run against all documents where they lie; no text is shuffled.
 
 Defined cases: null and empty texts and items match nothing; items under five words must match exactly; very long texts
-are searched whole; of equal matches in a text the first counts; rows that repeat a doc_id are searched each; equal
-items are all reported; an empty table gives no rows; other columns are ignored.
+are searched whole; of equal matches in a text the first counts; rows that repeat a doc_id are searched each, and
+rows without one too, with a null doc_id in the result; equal items are all reported; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ from redactory.llm.prefix_trie import OP12_SQL, op12_prefix_trie
 from redactory.llm.repetition import op6_quality_rules
 from redactory.llm.substring_dedup import op10_substring_dedup
 from redactory.llm.toxicity import op9_toxicity
-from redactory.llm.url_filter import OP3_SQL, op3_url_filter
+from redactory.llm.url_filter import ALIASES_SQL, OP3_SQL, op3_url_filter, url_aliases
 
 QUERIES = {
     "op1_lm_score": op1_lm_score,
@@ -28,6 +28,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "url_aliases": url_aliases,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_nearest_neighbours": op13_nearest_neighbours,
 }
@@ -36,5 +37,6 @@ ORACLE_SQL = {
     "op7_chat_format": OP7_SQL,
     "op8_line_dedup": OP8_SQL,
     "op11_hard_negatives": OP11_SQL,
+    "url_aliases": ALIASES_SQL,
     "op12_prefix_trie": OP12_SQL,
 }

@@ -6,7 +6,8 @@ spans of repeats of ``MIN_REPEAT`` words or more are united. A text fails if the
 if one repeat is too long. Many texts share one array: words count as different in different texts.
 
 Work is row-local, so no text moves: one scan, no shuffle. Defined cases: null or empty texts have no words and fail
-the base rule; a very long text is handled whole; repeated rows are judged each; other columns are ignored.
+the base rule; a very long text is handled whole; repeated rows are judged each; of repeats that
+are equally long all count, as their spans are united; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

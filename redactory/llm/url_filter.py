@@ -5,7 +5,8 @@ components are sets of aliases. A URL without a rule of its own is blocked if an
 takes precedence: a URL with an allow rule stays allowed whatever its aliases are.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, no rule and no aliases; null html has
-no links; repeated pages are judged each; an empty table gives no rows; of the input only the named columns are used.
+no links; repeated pages are judged each; of fitting rules that are equally long
+the one named first counts; an empty table gives no rows; of the input only the named columns are used.
 """
 
 from __future__ import annotations
@@ -88,6 +89,16 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, RULES, link_edges(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where pages have aliases: each five pages in a row name the first of them as canonical, in one form or another."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    first = pages.select(F.col("page_id").alias("first_id"), F.col("url").alias("target"))
+    linked = pages.withColumn("first_id", F.col("page_id") - F.col("page_id") % 5).join(first, "first_id", "left")
+    tag = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<link rel="canonical" href="'), "target", F.lit('">'))).otherwise(F.concat(F.lit('<META http-equiv=refresh content="0; url='), "target", F.lit('">')))
+    linked = linked.select("page_id", "url", F.concat(F.coalesce("html", F.lit("")), F.coalesce(tag, F.lit(""))).alias("html"))
+    return judge_urls(linked, RULES, link_edges(linked)).select("page_id", "host", "path", "rule", "verdict")
+
+
 #: The same by SQL for absolute links: who can be reached from a blocked URL over the edges in either direction.
 OP3_SQL = r"""
 WITH RECURSIVE parts AS (
@@ -118,3 +129,6 @@ SELECT page_id, host, path, rule,
   coalesce((SELECT verdict FROM rules WHERE h || pre = rule), CASE WHEN split_part(url, '#', 1) IN (SELECT n FROM reached) THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged
 """
+_LINKED = """WITH RECURSIVE linked_pages AS (SELECT p.page_id, p.url, coalesce(p.html, '') || coalesce(CASE WHEN p.page_id % 2 = 0 THEN '<link rel="canonical" href="' || q.url || '">'
+  ELSE '<META http-equiv=refresh content="0; url=' || q.url || '">' END, '') AS html FROM pages p LEFT JOIN pages q ON q.page_id = p.page_id - p.page_id % 5), parts AS"""
+ALIASES_SQL = OP3_SQL.replace("FROM pages", "FROM linked_pages").replace("WITH RECURSIVE parts AS", _LINKED)
