@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from redactory.sources import xls
+
 _CELL = "sheet string, row_no long, col_no long, value string"
 
 
@@ -100,8 +102,13 @@ def _rows(packed: bytes, deflated: bool, tag: str) -> Iterator[ElementTree.Eleme
                         parent.clear() if _tag(parent) == "sheetData" else None
 
 
-def workbook_sheets(content: bytes) -> list[tuple[str, int, bytes, bool, bytes, bool]]:
-    """(sheet, number, packed rows, deflated, packed shared strings, deflated) for each sheet of a workbook, nothing unpacked."""
+def workbook_sheets(content: bytes) -> list[tuple[str, int, bytes, bool | None, bytes, bool]]:
+    """(sheet, number, packed rows, deflated, packed shared strings, deflated) for each sheet of a workbook, nothing unpacked.
+
+    An older workbook (.xls) has records instead of packed rows, and no word on deflating.
+    """
+    if content.startswith(xls.MAGIC):
+        return [(name, i, own, None, shared, False) for name, i, own, shared in xls.sheets(content)]
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         shared = _packed(z, "xl/sharedStrings.xml") if "xl/sharedStrings.xml" in names else (b"", False)
@@ -111,8 +118,11 @@ def workbook_sheets(content: bytes) -> list[tuple[str, int, bytes, bool, bytes,
         return [(s["name"], i, *_packed(z, t if t.startswith("xl/") else f"xl/{t}"), *shared) for i, (s, t) in enumerate(zip(book, at))]
 
 
-def cells_of(sheet: str, number: int, packed: bytes, deflated: bool, shared: bytes, shared_deflated: bool) -> Iterator[tuple[str, int, int, str]]:
+def cells_of(sheet: str, number: int, packed: bytes, deflated: bool | None, shared: bytes, shared_deflated: bool) -> Iterator[tuple[str, int, int, str]]:
     """The cells of one sheet as text, row by row; numbers as they are stored. Formulas give their stored results."""
+    if deflated is None:
+        yield from ((sheet, *cell) for cell in xls.cells(packed, shared))
+        return
     strings = ["".join(t.text or "" for t in si.iter() if _tag(t) == "t") for si in _rows(shared, shared_deflated, "si")] if shared else []
     for row in _rows(packed, deflated, "row"):
         for c in row:
@@ -121,7 +131,7 @@ def cells_of(sheet: str, number: int, packed: bytes, deflated: bool, shared: byt
             yield sheet, int(re.search(r"\d+", c.attrib["r"]).group()) - 1, _column(c.attrib["r"]), value
 
 
-def read_xlsx(content: bytes) -> list[tuple[str, int, int, str]]:
+def read_workbook(content: bytes) -> list[tuple[str, int, int, str]]:
     """All cells of all sheets of one workbook."""
     return [cell for sheet in workbook_sheets(content) for cell in cells_of(*sheet)]
 
@@ -129,8 +139,8 @@ def read_xlsx(content: bytes) -> list[tuple[str, int, int, str]]:
 _SHEET = "sheet string, number int, packed binary, deflated boolean, shared binary, shared_deflated boolean"
 
 
-def xlsx_cells(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of all sheets of the workbooks at a path, read by Spark's own reader wherever they are.
+def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
+    """Cells of all sheets of the workbooks (.xlsx or .xls) at a path, read by Spark's own reader wherever they are.
 
     One task opens a workbook and deals its sheets out, still packed; each sheet is then unpacked and read row by row in a task
     of its own, so that a workbook of many sheets is the work of many tasks and a large sheet is never whole in memory.

@@ -13,7 +13,7 @@ from redactory.operators.detect import long_form, resolve, scan
 from redactory.operators.masking import drawn_digits, mapping, mask, restore_literal, texts_with_fakes
 from redactory.operators.restoring import owned, restore_by_rules, restore_rules
 from redactory.plans import registry
-from redactory.sources.sheets import csv_cells, read_xlsx
+from redactory.sources.sheets import csv_cells, read_workbook
 
 #: text, rules (None: all), and what is found as (type, value, start).
 VECTORS = [
@@ -192,7 +192,7 @@ def test_sheet_files(spark, tmp_path):
         z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a" Target="worksheets/s.xml"/></Relationships>')
         z.writestr("xl/sharedStrings.xml", "<sst><si><t>one</t></si></sst>")
         z.writestr("xl/worksheets/s.xml", '<worksheet><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="AB2"><v>46146</v></c></row></sheetData></worksheet>')
-    assert read_xlsx(content.getvalue()) == [("S", 0, 0, "one"), ("S", 1, 27, "46146")]
+    assert read_workbook(content.getvalue()) == [("S", 0, 0, "one"), ("S", 1, 27, "46146")]
     (tmp_path / "s.csv").write_text('a,"b, ""x""\ny"\n,c,d')
     assert {(r.row_no, r.col_no, r.value) for r in csv_cells(spark, str(tmp_path / "s.csv"), "S").collect()} == {(0, 0, "a"), (0, 1, 'b, "x"\ny'), (1, 1, "c"), (1, 2, "d")}
 

@@ -201,15 +201,15 @@ def workbook(sheets, stored=False):
 def test_a_workbook_is_the_work_of_several_tasks(spark, tmp_path):
     from pyspark.sql import functions as F
 
-    from redactory.sources.sheets import read_xlsx, xlsx_cells
+    from redactory.sources.sheets import read_workbook, workbook_cells
 
     sheets = {f"Sheet {i}": {r: {"A": f"name {i} {r}", "B": r, "ZZ": "=far"} for r in range(1, 40)} for i in range(12)}
     sheets["Long"] = {r: {"A": "x" * 50, "C": r} for r in range(1, 6000)}
     sheets["Empty"] = {}
     (tmp_path / "a.xlsx").write_bytes(workbook(sheets))
-    cells = xlsx_cells(spark, str(tmp_path / "a.xlsx"))
+    cells = workbook_cells(spark, str(tmp_path / "a.xlsx"))
     want = {(n, r - 1, {"A": 0, "B": 1, "C": 2, "ZZ": 701}[c], str(v).lstrip("=")) for n, rows in sheets.items() for r, cs in rows.items() for c, v in cs.items()}
     assert {tuple(r) for r in cells.collect()} == want
     assert cells.select(F.spark_partition_id().alias("p")).distinct().count() > 1
     small = {"S": {1: {"A": "one"}, 2: {"AB": 46146}}}
-    assert read_xlsx(workbook(small, stored=True)) == [("S", 0, 0, "one"), ("S", 1, 27, "46146")]
+    assert read_workbook(workbook(small, stored=True)) == [("S", 0, 0, "one"), ("S", 1, 27, "46146")]
