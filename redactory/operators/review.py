@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from redactory.operators.cells import one_spaced
@@ -61,15 +61,21 @@ def needs_no_scan(sent: DataFrame, typed: DataFrame) -> DataFrame:
 
 
 def without_overlaps(extra: DataFrame, findings: DataFrame) -> DataFrame:
-    """extra findings (id, start, value, ...) that overlap neither the rules' findings nor an extra one taken before.
+    """extra findings (id, start, value, ...) that overlap neither the rules' findings nor an extra one taken before, in order of place.
 
-    Both are folded per text, in order of place.
+    A finding of the rules overlaps if one that begins no later reaches beyond the extra one's start, or one that begins later
+    does so before its end: both are running extremes over the text's findings. An empty value overlaps what it stands inside of,
+    and nothing that begins where it stands. The extra ones left are folded one by one.
     """
     end = F.col("start") + F.length("value")
-    taken = findings.groupBy("id").agg(F.collect_list(F.struct(F.col("start").alias("a"), end.alias("z"))).alias("taken"))
     rest = [c for c in extra.columns if c != "id"]
-    listed = extra.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.col("start").alias("a"), end.alias("z"), F.struct(*rest).alias("row")))).alias("xs"))
-    none = "CAST(array() AS array<struct<a:bigint,z:bigint>>)"
-    folded = f"""aggregate(xs, named_struct('t', coalesce(taken, {none}), 'k', slice(xs, 1, 0)),
-        (acc, x) -> CASE WHEN exists(acc.t, g -> x.a < g.z AND x.z > g.a) THEN acc ELSE named_struct('t', array_append(acc.t, named_struct('a', x.a, 'z', x.z)), 'k', array_append(acc.k, x)) END, acc -> acc.k)"""
-    return listed.join(taken, "id", "left").select("id", F.explode(F.expr(folded)).alias("x")).select("id", "x.row.*")
+    row = extra.select("id", F.col("start").cast("long").alias("a"), end.cast("long").alias("z"), F.struct(*rest).alias("row"))
+    both = row.withColumn("kind", F.when(F.col("a") < F.col("z"), 1).otherwise(-1)).unionByName(findings.select("id", F.col("start").cast("long").alias("a"), end.cast("long").alias("z"), F.lit(None).cast(row.schema["row"].dataType).alias("row"), F.lit(0).alias("kind")))
+    before = Window.partitionBy("id").orderBy("a", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy("id").orderBy("a", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    reach, next_ = F.max(F.when(F.col("kind") == 0, F.col("z"))).over(before), F.min(F.when(F.col("kind") == 0, F.col("a"))).over(after)
+    free = both.withColumn("_reach", F.coalesce(reach, F.col("a"))).withColumn("_next", F.coalesce(next_, F.col("z"))).where("kind <> 0 AND _reach <= a AND _next >= z")
+    listed = free.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("a", "z", "row"))).alias("xs"))
+    folded = """aggregate(xs, named_struct('a', CAST(-1 AS BIGINT), 'z', CAST(-1 AS BIGINT), 'k', slice(xs, 1, 0)),
+        (acc, x) -> CASE WHEN x.a < acc.z AND x.z > acc.a THEN acc ELSE named_struct('a', CASE WHEN x.z >= acc.z THEN x.a ELSE acc.a END, 'z', greatest(x.z, acc.z), 'k', array_append(acc.k, x)) END, acc -> acc.k)"""
+    return listed.select("id", F.explode(F.expr(folded)).alias("x")).select("id", "x.row.*")

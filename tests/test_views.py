@@ -213,3 +213,21 @@ def test_a_workbook_is_the_work_of_several_tasks(spark, tmp_path):
     assert cells.select(F.spark_partition_id().alias("p")).distinct().count() > 1
     small = {"S": {1: {"A": "one"}, 2: {"AB": 46146}}}
     assert read_workbook(workbook(small, stored=True)) == [("S", 0, 0, "one"), ("S", 1, 27, "46146")]
+
+
+def test_extra_findings_keep_clear_of_others_and_of_each_other(spark):
+    from redactory.operators.review import without_overlaps
+
+    rng = random.Random(8)
+    spans = lambda n: [(i, rng.randint(0, 60), "x" * rng.randint(0, 6), j) for i in range(40) for j in range(rng.randint(0, n))]
+    extra, found = spans(9), spans(4)
+    want = set()
+    for i in range(40):
+        taken = [(s, s + len(v)) for k, s, v, _ in found if k == i]
+        for s, z, v, j in sorted((s, s + len(v), v, j) for k, s, v, j in extra if k == i):
+            if not any(s < b and z > a for a, b in taken):
+                want.add((i, s, v, j))
+                taken.append((s, z))
+    schema = "id long, start long, value string, no long"
+    got = without_overlaps(spark.createDataFrame(extra, schema), spark.createDataFrame(found, schema).drop("no"))
+    assert {tuple(r) for r in got.select("id", "start", "value", "no").collect()} == want and len(want) > 50
