@@ -226,8 +226,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model |
     clean = measured.where("toxic = 0 AND n > 0")
     mean = clean.agg(F.avg(F.col("best") * model.lam - F.log("n"))).first()[0]
     model.log_k = (mean or 0.0) - 0.5772156649
-    sample = measured.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("toxic", "n", "scores").collect()
-    pairs = [features(model, r["n"], [(0, 0, s) for s in r["scores"]]) for r in sample]
+    # the two features of each sampled text, as ``features`` gives them; the segments themselves stay where they are
+    shift = F.log(F.greatest("n", F.lit(1))) + F.lit(float(model.log_k))
+    z = F.concat(F.array(-shift), F.transform("scores", lambda s: s * F.lit(float(model.lam)) - shift))
+    significant = F.size(F.filter(F.transform("scores", lambda s: s * F.lit(float(model.lam)) - shift), lambda x: x > F.lit(-math.log(MAX_E))))
+    sample = measured.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("toxic", F.array_max(z).alias("best"), significant.alias("n_significant")).collect()
+    pairs = [(r["best"], r["n_significant"]) for r in sample]
     if pairs and 0 < sum(r["toxic"] for r in sample) < len(sample):
         model.weights = _fit_logistic(np.array([x for x, _ in pairs]), np.array([x for _, x in pairs]), np.array([r["toxic"] for r in sample]))
     else:
