@@ -32,7 +32,7 @@ def matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def width_of(vectors: DataFrame, column: str = "embedding") -> int:
     """The longest vector's number of components."""
-    return int(vectors.agg(F.coalesce(F.max(F.size(column)), F.lit(0))).first()[0])
+    return int(vectors.agg(F.greatest(F.coalesce(F.max(F.size(column)), F.lit(0)), F.lit(0))).first()[0])
 
 
 def unpacked(column: pa.Array, width: int, kind) -> np.ndarray:
