@@ -15,7 +15,7 @@ def _fields(spark, sf_dir):
 
 
 def _inquiries(spark, sf_dir):
-    rows = forms.inquiry_rows(_fields(spark, sf_dir))
+    rows = forms.mail_inquiries(mails(spark, sf_dir))
     siblings = F.array_join(F.transform("siblings", lambda x: F.concat(x["name"], F.lit("|"), x["dob"])), ";")
     return rows.select("mail_id", "name", "gender", "class_id", "status", "parents", "phone", "email", siblings.alias("siblings"), F.col("nanny.name").alias("nanny"), "note", "foodAllergiesDetails")
 

@@ -86,8 +86,9 @@ def _mail(text: str, new_line: str) -> str:
 
 
 def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(mail_id, text): one form mail a customer."""
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr(f"{_K} AS mail_id", f"{_mail('STRING', 'char(10)')} AS text")
+    """(mail_id, text): one form mail a customer. Only keys are dealt out, as mails are read in the task that makes them."""
+    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select(_K)
+    return keys.repartition(3 * spark.sparkContext.defaultParallelism).selectExpr(f"{_K} AS mail_id", f"{_mail('STRING', 'char(10)')} AS text")
 
 
 def fields_sql() -> str:

@@ -185,6 +185,16 @@ def test_form_mail(spark):
     assert (row.gender, row.class_id, row.name, row.parents, row.siblings, row.nanny, row.vaccinationsDetails) == ("F", "el2d", "Unnamed child", "", [], None, "DTP,\nMMR")
 
 
+def test_mails_do_not_meet(spark):
+    rows = spark.createDataFrame([(1, "Gender: male"), (2, "nothing"), (3, "Gender: Female\nIf yes, please supply us: lost\nDoes your child require an Epipen?: No")], "mail_id long, text string")
+    made = {"fields": forms.form_fields(rows), "inquiries": forms.mail_inquiries(rows)}
+    for df in made.values():
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("regexp_extract") <= 2
+    assert sorted(map(tuple, made["fields"].collect())) == [(1, "gender", "male"), (3, "epipen", "No"), (3, "gender", "Female")]
+    assert sorted(map(repr, made["inquiries"].collect())) == sorted(map(repr, forms.inquiry_rows(forms.form_fields(rows)).collect()))
+
+
 def test_sheet_files(spark, tmp_path):
     content = io.BytesIO()
     with zipfile.ZipFile(content, "w") as z:
