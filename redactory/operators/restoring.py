@@ -14,6 +14,8 @@ from redactory.functions.io import sent_if_small
 from redactory.operators.rules import MASKABLE_TYPES
 
 NO_RULES = "CAST(array() AS array<struct<n:int,pattern:string,seek:string,put:string>>)"
+#: Rules that are sent to all workers; bits that tell heads of more rules from other words (16 MB).
+MOST_SENT, _BITS = 200_000, 1 << 27
 _TOKENS = "regexp_extract_all({}, '([A-Za-z0-9]+)', 1)"
 
 
@@ -60,16 +62,29 @@ def restore_rules(table: DataFrame, direction: str = "unmask", ambiguous: str =
     return made.join(heads, ["owner", "seek"], "left").withColumn("head", F.coalesce("head", F.lit("")))
 
 
+def _likely(words: DataFrame, heads: DataFrame) -> DataFrame:
+    """words (head, ...) of which the head may be one of heads, by a bitmap of ``_BITS`` hashes that is sent to all workers."""
+    at = lambda: F.pmod(F.xxhash64("head"), F.lit(_BITS))
+    maps = heads.select(at().alias("at")).groupBy(F.bitmap_bucket_number("at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_bits"))
+    placed = words.withColumn("_at", at()).withColumn("_bucket", F.bitmap_bucket_number("_at")).join(F.broadcast(maps), "_bucket")
+    byte = "CAST(conv(hex(substring(_bits, CAST(bitmap_bit_position(_at) div 8 + 1 AS INT), 1)), 16, 10) AS INT)"
+    return placed.where(f"shiftright({byte}, CAST(bitmap_bit_position(_at) % 8 AS INT)) & 1 = 1").select(*words.columns)
+
+
 def fitting_rules(texts: DataFrame, rules: DataFrame) -> DataFrame:
     """(id, rules) for texts (id, t, owner): rules of their owner of which the head is a word of the text, the longest first.
 
-    Few rules are sent to the texts; else words are sent only if they are the head of some rule. Rules without letters and
+    Few rules are sent to the texts; else words are sent only if they are likely the head of some rule. Rules without letters and
     digits meet their owner's texts.
     """
     texts, rules = with_owner(texts), with_owner(rules)
     words = texts.select("owner", "id", F.explode(F.array_distinct(F.expr(_TOKENS.format("t")))).alias("head"))
     entry = F.struct((-F.col("n")).alias("n"), "pattern", "seek", "put")
-    headed = sent_if_small(rules.where("head <> ''"))
+    headed = rules.where("head <> ''")
+    if headed.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        headed = F.broadcast(headed)
+    else:
+        words = _likely(words, headed)
     fits = words.join(headed, ["owner", "head"]).select("id", entry.alias("r"))
     bare = rules.where("head = ''")
     if not bare.isEmpty():

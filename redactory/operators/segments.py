@@ -6,9 +6,10 @@ everything else is joins on its id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from redactory.functions.io import written
 from redactory.operators.restoring import NO_RULES, fitting_rules, restore_by_rules
 
 
@@ -18,7 +19,7 @@ def restored_segments(segments: DataFrame, rules: DataFrame) -> DataFrame:
     Blank segments stay as they are and are no boundary.
     """
     key = F.struct("msg_id", "seg_no").alias("id")
-    single = restore_by_rules(segments.select(key, "t"), rules).select("id.*", "t", "restored", "hits")
+    single = written(restore_by_rules(segments.select(key, "t"), rules).select("id.*", "t", "restored", "hits"))  # read by itself and joined
     return _across(single, rules.where(r"seek RLIKE '\\S\\s+\\S'"))
 
 
@@ -69,13 +70,28 @@ def restore_pass(segments: DataFrame, messages: DataFrame, rules: DataFrame, aut
     With auto-restore all messages are restored but those pinned to the fake view, and what stood in them is logged as
     unmasked. Without it only messages in the real view change, and what is found in any is logged as pending.
     """
-    out = restored_segments(segments, rules).join(messages.select("msg_id", "view", "lock"), "msg_id", "left")
-    open_ = F.coalesce(F.col("lock") != "fake", F.lit(True)) if auto_restore else F.coalesce(F.col("view") == "real", F.lit(False))
+    return passed(restored_segments(segments, rules), messages, auto_restore)
+
+
+def passed(restored: DataFrame, messages: DataFrame, auto_restore: bool) -> tuple[DataFrame, DataFrame]:
+    """restore_pass over segments that restored_segments has restored, so that several passes need it once."""
+    out, open_ = _opened(restored, messages, auto_restore)
     seen = out.where(open_) if auto_restore else out
     log = seen.select(F.explode("hits").alias("fake")).distinct().select(F.lit("unmask" if auto_restore else "pending").alias("kind"), "fake")
     return out.select("msg_id", "seg_no", F.when(open_, F.col("restored")).otherwise(F.col("t")).alias("shown")), log
 
 
+def with_shown(restored: DataFrame, messages: DataFrame, auto_restore: bool, name: str) -> DataFrame:
+    """Restored segments with what they show after a pass in a column of this name; passes beside each other need no other join."""
+    out, open_ = _opened(restored, messages, auto_restore)
+    return out.select(*restored.columns, F.when(open_, F.col("restored")).otherwise(F.col("t")).alias(name))
+
+
+def _opened(restored: DataFrame, messages: DataFrame, auto_restore: bool) -> tuple[DataFrame, Column]:
+    open_ = F.coalesce(F.col("lock") != "fake", F.lit(True)) if auto_restore else F.coalesce(F.col("view") == "real", F.lit(False))
+    return restored.join(messages.select("msg_id", "view", "lock"), "msg_id", "left"), open_
+
+
 def revealed(log: DataFrame, ids: DataFrame) -> DataFrame:
     """log (id, revealed, ...) with these entries revealed."""
     return log.join(ids.select("id", F.lit(True).alias("_hit")).distinct(), "id", "left").withColumn("revealed", F.coalesce("_hit", "revealed")).select(*log.columns)

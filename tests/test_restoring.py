@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from redactory.operators import restoring, segments
 from redactory.operators.masking import GRAM, texts_with_fakes
 from redactory.operators.restoring import owned, restore_by_rules, restore_rules
 
@@ -100,3 +101,25 @@ def test_search_for_fakes_equals_contains(spark, monkeypatch, most):
     plan = got._jdf.queryExecution().toString()
     assert "Python" not in plan and "InArrow" not in plan
     assert texts_with_fakes(spark.createDataFrame(texts, "id long, t string"), spark.createDataFrame([], "fake string")).count() == 0
+
+
+def test_many_rules_meet_only_likely_words_and_restore_the_same(spark, monkeypatch):
+    rules = restore_rules(spark.createDataFrame([(f"Real {i}", "CUSTOM", f"Client {i}") for i in range(300)] + [("é", "CUSTOM", "--")], "real string, type string, fake string"))
+    texts = spark.createDataFrame([(i, f"About Client {i}, not xClient {i} -- and Client,\n{i}.") for i in range(400)], "id long, t string")
+    few = sorted(map(repr, restore_by_rules(texts, rules).collect()))
+    monkeypatch.setattr(restoring, "MOST_SENT", 10)
+    assert sorted(map(repr, restore_by_rules(texts, rules).collect())) == few
+    words = texts.select(F.explode(F.split("t", "[^A-Za-z0-9]+")).alias("head")).distinct()
+    likely = {r.head for r in restoring._likely(words, rules.where("head <> ''")).collect()}
+    assert {str(i) for i in range(300)} <= likely and len(likely) < 320
+
+
+def test_passes_beside_each_other_restore_once(spark):
+    rules = restore_rules(spark.createDataFrame([("Ada Berg", "CUSTOM", "Client 1")], "real string, type string, fake string"))
+    segs = spark.createDataFrame([(1, 0, "to Client"), (1, 1, "1 or Client 1"), (2, 0, "Client 1")], "msg_id long, seg_no int, t string")
+    pins = spark.createDataFrame([(1, "real", None), (2, "fake", "fake")], "msg_id long, view string, lock string")
+    both = segments.with_shown(segments.with_shown(segments.restored_segments(segs, rules), pins, True, "on"), pins, False, "off")
+    assert r"\A(?:" not in both._jdf.queryExecution().optimizedPlan().toString()  # what matches a text is in a written step
+    for auto, name in ((True, "on"), (False, "off")):
+        alone = {(r.msg_id, r.seg_no): r.shown for r in segments.restore_pass(segs, pins, rules, auto)[0].collect()}
+        assert {(r.msg_id, r.seg_no): r[name] for r in both.collect()} == alone
