@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redactory.functions.dialect import DUCK, SPARK
+from redactory.functions.io import compiled_by_parts
 from redactory.operators.rules import ACCOUNT_WORDS, BANK_CONTEXT, DOB_WORDS, IDENTIFIER_TYPES, INTRO_PHRASES, MONEY_WORDS, PHONE_WORDS, RULES
 
 FIELDS = {"type": "string", "label": "string", "value": "string", "start": "bigint", "severity": "string", "ord": "bigint"}
@@ -23,12 +24,13 @@ def _clean(d, text: str) -> str:
     return f"translate(coalesce({text}, ''), concat({d.char(1)}, {d.char(2)}), '')"
 
 
-def _raw(d, k: int) -> str:
-    """Matches of rule k as structs (m, s, i) from its marked segments."""
+def _raw(d, k: int, with_digits: bool = False) -> str:
+    """Matches of rule k as structs (m, s, i) from its marked segments; for Spark, on request, with their digits, d."""
     seg = f"g{k}"
     if d.name == "spark":  # one pass that carries the place
-        found = "named_struct('m', substring_index(y, char(2), 1), 's', a.p, 'i', CAST(size(a.o) AS BIGINT))"
-        start = f"named_struct('p', CAST(length(element_at({seg}, 1)) AS BIGINT), 'o', {d.empty({'m': 'string', 's': 'bigint', 'i': 'bigint'})})"
+        match, more = "substring_index(y, char(2), 1)", {"d": "string"} if with_digits else {}
+        found = d.struct(m=match, s="a.p", i="CAST(size(a.o) AS BIGINT)", **{c: f"regexp_replace({match}, '[^0-9]+', '')" for c in more})
+        start = f"named_struct('p', CAST(length(element_at({seg}, 1)) AS BIGINT), 'o', {d.empty({'m': 'string', 's': 'bigint', 'i': 'bigint', **more})})"
         return f"aggregate({d.tail(seg)}, {start}, (a, y) -> named_struct('p', a.p + length(y) - 1, 'o', array_append(a.o, {found})), a -> a.o)"
     position = f"CAST(list_sum(list_transform({seg}[1:i], lambda z: length(z))) - (i - 1) AS BIGINT)"
     return f"list_transform({d.tail(seg)}, lambda y, i: {{'m': split_part(y, chr(2), 1), 's': {position}, 'i': CAST(i - 1 AS BIGINT)}})"
@@ -36,12 +38,19 @@ def _raw(d, k: int) -> str:
 
 def _found(d, k: int) -> str:
     rule = RULES[k]
-    kept = d.filter(f"r{k}", "x", f"coalesce({rule.keep(d)}, false)")
+    keep = rule.keep(d)
+    kept = d.filter(_raw(d, k, "x.d" in keep) if d.name == "spark" else f"r{k}", "x", f"coalesce({keep}, false)")
     fields = {
         "type": f"'{rule.type}'", "label": f"'{rule.label}'", "value": rule.value(d), "start": f"CAST({rule.start(d)} AS BIGINT)",
         "severity": rule.severity(d), "ord": f"CAST({k * 1_000_000} + x.i AS BIGINT)",
     }
-    return d.transform(kept, "x", d.struct(**fields))
+    found = d.transform(kept, "x", d.struct(**fields))
+    return f"CASE WHEN size(g{k}) > 1 THEN {found} END" if d.name == "spark" else found  # most rules find nothing in a text
+
+
+def _together(d, rules: list[int]) -> str:
+    """The findings of some rules; for Spark a rule without matches has null."""
+    return d.concat_lists([f"coalesce(f{k}, {d.empty(FIELDS)})" if d.name == "spark" else f"f{k}" for k in rules])
 
 
 #: Spark can look ahead, so the token rule need not list every long word there; the same tokens result.
@@ -108,7 +117,7 @@ _SIGNATURE = {"lo": "lower(t)", "nd": "CASE WHEN t RLIKE '[0-9]' THEN length(reg
 
 def _marked(d, k: int, when: str | None = None) -> str:
     marked = d.marked("t", _pattern(d, k))
-    return f"CASE WHEN {when or _may_find(RULES[k].name)} THEN {marked} ELSE array('') END" if d.name == "spark" else marked
+    return f"CASE WHEN {when or _may_find(RULES[k].name)} THEN {marked} END" if d.name == "spark" else marked
 
 
 def _steps(d, rules: list[int]) -> list[dict[str, str]]:
@@ -117,26 +126,28 @@ def _steps(d, rules: list[int]) -> list[dict[str, str]]:
     name = BY_NAME["name"][0]
     gated = name in rules and len(rules) > 1
     first = [k for k in rules if k != name] if gated and d.name == "spark" else rules  # for Spark names wait for their gate
-    steps = [{"t": _clean(d, "t")}, *([_SIGNATURE] if d.name == "spark" else []), {f"g{k}": _marked(d, k) for k in first}, {f"r{k}": _raw(d, k) for k in first}, {f"f{k}": _found(d, k) for k in first}]
+    steps = [{"t": _clean(d, "t")}, *([_SIGNATURE] if d.name == "spark" else []), {f"g{k}": _marked(d, k) for k in first}]
+    steps += ([] if d.name == "spark" else [{f"r{k}": _raw(d, k) for k in first}]) + [{f"f{k}": _found(d, k) for k in first}]
     last: dict[str, str] = {}
     ctx = BY_NAME["phone_ctx"][0]
     if ctx in rules and services:
-        known = d.concat_lists([f"f{k}" for k in services])
+        known = _together(d, services)
         inside = d.exists(known, "g", "g.start <= x.start AND x.start + length(x.value) <= g.start + length(g.value)")
         last[f"f{ctx}"] = d.filter(f"f{ctx}", "x", f"NOT {inside}")
     if last:
         steps.append(last)
     if gated:
-        others = d.concat_lists([f"f{k}" for k in rules if k != name])
-        types = ", ".join(f"'{t}'" for t in IDENTIFIER_TYPES)
-        known = d.exists(others, "g", f"g.type IN ({types})")
         if d.name == "spark":
+            known = " OR ".join(f"coalesce(size(f{k}), 0) > 0" for k in rules if RULES[k].type in IDENTIFIER_TYPES) or "false"
             bank = f"contains(lo, 'bank') OR contains(lo, 'account holder') OR contains(lo, 'savings account')) AND {d.matches('t', _spark_pattern('bank', BANK_CONTEXT))}"
-            steps += [{"others": known}, {f"g{name}": _marked(d, name, f"(others OR {_holds(INTRO_PHRASES)} OR (({bank}))")}, {f"r{name}": _raw(d, name)}, {f"f{name}": _found(d, name)}]
+            steps += [{"others": known}, {f"g{name}": _marked(d, name, f"(others OR {_holds(INTRO_PHRASES)} OR (({bank}))")}, {f"f{name}": _found(d, name)}]
         else:
+            others = d.concat_lists([f"f{k}" for k in rules if k != name])
+            types = ", ".join(f"'{t}'" for t in IDENTIFIER_TYPES)
+            known = d.exists(others, "g", f"g.type IN ({types})")
             gate = f"({known} OR {d.matches('t', BANK_CONTEXT)} OR {d.matches('lower(t)', '|'.join(INTRO_PHRASES))})"
             steps.append({f"f{name}": f"CASE WHEN {gate} THEN f{name} ELSE {d.empty(FIELDS)} END"})
-    steps.append({"findings": d.concat_lists([f"f{k}" for k in rules])})
+    steps.append({"findings": _together(d, rules)})
     return steps
 
 
@@ -151,6 +162,7 @@ def scan(docs: DataFrame, text: str = "text", rules: list[str] | None = None) ->
     for alone, it is ungated.
     """
     numbers = _rule_numbers(rules)
+    compiled_by_parts(docs.sparkSession)
     out = docs.select(*[c for c in docs.columns if c not in ("findings", "t")], F.col(text).alias("t"))
     kept = [c for c in out.columns if c != "t"]
     for step in _steps(SPARK, numbers):
@@ -176,7 +188,8 @@ def _resolved(d) -> str:
     clash = d.exists("acc", "g", "(x.start < g.start + length(g.value) AND x.start + length(x.value) > g.start) OR (x.type = g.type AND x.start = g.start AND x.value = g.value)")
     taken = d.fold(ordered, d.empty(FIELDS), "acc", "x", f"CASE WHEN {clash} THEN acc ELSE {d.append('acc', 'x')} END")
     by_start = d.sort(d.transform(taken, "x", d.struct(at="x.start", neg="-CAST(length(x.value) AS BIGINT)", o="x.ord", f="x")))
-    return d.transform(by_start, "x", "x.f")
+    resolved = d.transform(by_start, "x", "x.f")
+    return f"CASE WHEN size(findings) > 1 THEN {resolved} ELSE findings END" if d.name == "spark" else resolved
 
 
 def resolve(scanned: DataFrame) -> DataFrame:

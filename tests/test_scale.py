@@ -1,5 +1,8 @@
 """Steps whose work a row must stay small: what is looked at in plans and steps, and that results stay."""
 
+import re
+
+from redactory.operators import detect
 from redactory.operators.review import needs_no_scan
 from redactory.sources.messages import messages
 
@@ -17,3 +20,13 @@ def test_message_keys_are_dealt_out(spark, tmp_path):
     spark.range(1000).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
     out = messages(spark, str(tmp_path))
     assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and out.count() == 1000
+
+
+def test_rules_without_matches_are_skipped(spark):
+    steps = detect._steps(detect.SPARK, list(range(len(detect.RULES))))
+    found = {c: e for step in steps for c, e in step.items() if re.fullmatch(r"f\d+", c) and "transform" in e}
+    assert len(found) == len(detect.RULES) and all(e.startswith(f"CASE WHEN size(g{c[1:]}) > 1 THEN") for c, e in found.items())
+    assert all("regexp_replace(x.m, r'[^0-9]', '')" not in e for c, e in found.items() if detect.RULES[int(c[1:])].name in ("tfn", "medicare", "abn"))  # digits are taken once a match
+    texts = ["nothing", "", None, "tax file 123 456 782 of Jane Doe, BSB 062-123"]
+    got = detect.resolve(detect.scan(spark.createDataFrame(list(enumerate(texts)), "id int, text string"))).orderBy("id").collect()
+    assert [[(f.type, f.value, f.start) for f in r.findings] for r in got] == [[], [], [], [("TFN", "123 456 782", 9), ("NAME_PII", "Jane Doe", 24), ("BSB", "062-123", 38)]]
