@@ -218,14 +218,14 @@ def pruned(log: DataFrame, fakes: DataFrame) -> DataFrame:
 
 
 def mask(scanned: DataFrame, table: DataFrame) -> DataFrame:
-    """(id, t, findings) and a mapping -> id, t, masked, swaps.
+    """(id, t, findings, ...) and a mapping -> id, t, ..., masked, swaps.
 
     Findings are spliced from left to right; one whose place is not where its value is (a licence number is placed at
     its keyword) is replaced wherever the value stands.
     """
     swaps = long_form(scanned.select("id", "findings")).where(F.col("type").isin(*MASKABLE_TYPES)).join(sent_if_small(table.select(F.col("real").alias("value"), "fake")), "value")
     listed = swaps.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "value", "fake", "type"))).alias("swaps"))
-    out = scanned.select("id", "t").join(listed, "id", "left").withColumn("swaps", F.coalesce("swaps", F.expr("CAST(array() AS array<struct<start:bigint,value:string,fake:string,type:string>>)")))
+    out = scanned.drop("findings").join(listed, "id", "left").withColumn("swaps", F.coalesce("swaps", F.expr("CAST(array() AS array<struct<start:bigint,value:string,fake:string,type:string>>)")))
     here = "substring(t, CAST(x.start + 1 AS INT), length(x.value)) = x.value"
     splice = f"""aggregate(filter(swaps, x -> {here}), named_struct('s', '', 'p', CAST(0 AS BIGINT)),
         (a, x) -> named_struct('s', concat(a.s, substring(t, CAST(a.p + 1 AS INT), CAST(x.start - a.p AS INT)), x.fake), 'p', x.start + length(x.value)),

@@ -3,6 +3,7 @@
 import re
 
 from redactory.operators import detect
+from redactory.operators.masking import mask
 from redactory.operators.review import needs_no_scan
 from redactory.sources.messages import messages
 
@@ -30,3 +31,10 @@ def test_rules_without_matches_are_skipped(spark):
     texts = ["nothing", "", None, "tax file 123 456 782 of Jane Doe, BSB 062-123"]
     got = detect.resolve(detect.scan(spark.createDataFrame(list(enumerate(texts)), "id int, text string"))).orderBy("id").collect()
     assert [[(f.type, f.value, f.start) for f in r.findings] for r in got] == [[], [], [], [("TFN", "123 456 782", 9), ("NAME_PII", "Jane Doe", 24), ("BSB", "062-123", 38)]]
+
+
+def test_masking_keeps_the_owner(spark):
+    """So that owners need not be joined again."""
+    scanned = detect.resolve(detect.scan(spark.createDataFrame([(1, 7, "write to a.b@c.org"), (2, 8, "nothing")], "id long, owner long, text string").selectExpr("*", "text AS t"))).withColumnRenamed("text", "t")
+    table = spark.createDataFrame([("a.b@c.org", "EMAIL", "x@y.z")], "real string, type string, fake string")
+    assert {(r.id, r.owner, r.masked) for r in mask(scanned, table).collect()} == {(1, 7, "write to x@y.z"), (2, 8, "nothing")}
