@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +137,31 @@ def test_lm_counts_are_exact_and_both_ways_agree(spark, make, corpus, odd, empty
     assert all(r.score <= 0 for r in lm_score.score_documents(odd, empty).collect())
 
 
+def test_lm_exchange_gathers_no_group_and_learns_by_condition(spark, make, corpus, monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK_CHARS", 9_000)
+    docs, learnt = make(corpus), ~held_out(F.col("doc_id"), 10)
+    sent = {r.doc_id: r for r in lm_score.score_documents(docs, learnt).collect()}
+    plans = []
+    monkeypatch.setattr(lm_score, "stored", lambda df, f=lm_score.stored: (plans.append(df), f(df))[1])
+    exchanged = lm_score.score_documents(docs, learnt, limit_bytes=0)
+    for df in [*plans, exchanged]:
+        plan = df._jdf.queryExecution().toString()
+        assert "collect_list" not in plan and "Join" not in plan
+    rows = exchanged.collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        assert (r.n_tokens, r.n_known, r.train_tokens) == sent[r.doc_id][1:3] + (sent[r.doc_id].train_tokens,)
+        assert math.isclose(r.score, sent[r.doc_id].score, rel_tol=1e-12) and math.isclose(r.base_score, sent[r.doc_id].base_score, rel_tol=1e-12)
+
+
+def test_lm_bundles_are_cut_by_size_and_keep_all_rows(monkeypatch):
+    monkeypatch.setattr(lm_score, "BUNDLE_CHARS", 1000)
+    texts = [None, "", *("x" * n for n in (10, 5000, 3, 900, 900, 1, 968, 968))]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": range(i, i + 3), "text": texts[i : i + 3], "counted": [True] * 3}) for i in (0, 3, 6)]
+    tables = list(lm_score._tied(iter(batches)))
+    assert [t.column("doc_id").to_pylist() for t in tables] == [[0, 1, 2, 3], [4, 5, 6], [7, 8]] and [x for t in tables for x in t.column("text").to_pylist()] == texts[:9]
+
+
 def test_filter_never_misses_and_seldom_overstates(spark):
     rng = np.random.default_rng(2)
     keys, counts = np.unique(rng.integers(0, 2**63, 20_000, dtype=np.uint64)), None
