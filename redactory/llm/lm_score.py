@@ -55,15 +55,15 @@ LEVELS = _thresholds()
 MIDDLE = np.concatenate([[0.0], (LEVELS[:-1] + LEVELS[1:] - 1) / 2, [float(LEVELS[-1])]])
 
 
-def ngrams(texts: list[str | None]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """words, tokens (with ends), the token before each (START at first), bounds of each text's tokens."""
+def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """tokens (with ends), the token before each (START at first), bounds of each text's tokens."""
     words = Words(texts)
     ends = words.bounds[1:]
     tokens = np.insert(words.hashes, ends, END)
     bounds = words.bounds + np.arange(len(words.bounds))
     before = np.concatenate([[START], tokens[:-1]]).astype(np.uint64)
     before[bounds[:-1]] = START
-    return words, tokens, before, bounds
+    return tokens, before, bounds
 
 
 _PART = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -90,7 +90,9 @@ def _bits(keys: np.ndarray, level: np.ndarray) -> np.ndarray:
     """A block's filter: the events of its n-grams."""
     bits = np.zeros(1 + int(level.sum()) * BITS_PER_EVENT // 64, np.uint64)
     for j in range(1, int(level.max(initial=0)) + 1):
-        np.bitwise_or.at(bits, *_events(keys[level >= j], j, len(bits)))
+        live = keys[level >= j]
+        for a in range(0, len(live), STEP_TOKENS):
+            np.bitwise_or.at(bits, *_events(live[a : a + STEP_TOKENS], j, len(bits)))
     return bits
 
 
@@ -110,7 +112,7 @@ def count_ngrams(train: DataFrame, n_blocks: int) -> DataFrame:
         held: dict[int, list] = {0: [], 1: [], 2: []}
         n = 0
         for c in chunks(batches, ["text"]):
-            _, tokens, before, bounds = ngrams(c["text"])
+            tokens, before, bounds = ngrams(c["text"])
             held[0].append(np.full(len(c["text"]), START, np.uint64))
             held[1].append(tokens)
             held[2].append(fold_hash([before, tokens]))
@@ -206,7 +208,7 @@ _SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known
 
 def score_texts(ids: list, grams: tuple, known, totals: Totals) -> pa.RecordBatch:
     """grams: ``ngrams`` of the texts; known(singles, pairs) -> exact counts and levels of singles, levels of pairs; singles are distinct."""
-    _, all_tokens, all_before, bounds = grams
+    all_tokens, all_before, bounds = grams
     size = totals.tokens + 0.1 * (totals.types + 1)
     n_known, base_sum, score_sum = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids))
     owner = np.repeat(np.arange(len(ids)), np.diff(bounds))
@@ -297,7 +299,7 @@ def _bundles(docs: DataFrame) -> DataFrame:
 
 def _asked(grams: tuple, counted: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """Distinct singles (START, too) and pairs of a bundle, in order, and how often the counted texts have them."""
-    _, tokens, before, bounds = grams
+    tokens, before, bounds = grams
     n = np.repeat(counted, np.diff(bounds)).astype(np.int64)
     return _united(np.append(tokens, START), np.append(n, counted.sum())), _united(fold_hash([before, tokens]), n)
 
@@ -338,9 +340,10 @@ def _keys_of(raw: bytes) -> np.ndarray:
 
 
 class _Block:
-    """A block's filter, made of rows with counts, and what it answers."""
+    """A block's filter, made of rows with counts, and what it answers. The rows are taken out of their list."""
 
     def __init__(self, block: int, n_blocks: int, rows: list[dict]):
+        self.bundles = [r["bundle"] for r in rows]
         self.keys, self.counts, self.which = {}, {}, {}
         for kind in ("singles", "pairs"):
             all_keys = np.concatenate([np.zeros(0, np.uint64), *(_keys_of(r[kind]) for r in rows)])
@@ -348,14 +351,17 @@ class _Block:
             self.keys[kind], which = np.unique(all_keys, return_inverse=True)
             self.counts[kind] = np.bincount(which, counts, len(self.keys[kind])).astype(np.int64)
             ends = np.cumsum([0, *(len(r[kind]) // 8 for r in rows)])
+            which = which.astype(np.uint32)
             self.which[kind] = [which[a:b] for a, b in zip(ends[:-1], ends[1:])]
+            del all_keys, counts
+        rows.clear()
         keys, counts = (np.concatenate([x["singles"], x["pairs"]]) for x in (self.keys, self.counts))
         bits = _bits(keys, np.searchsorted(LEVELS, counts, side="right"))
         token = (self.counts["singles"] > 0) & (self.keys["singles"] != START)
         tokens, n = self.keys["singles"][token], self.counts["singles"][token]
         self.filter = Filter(n_blocks, [(block, 8 * len(bits), 8 * len(tokens))], int(n.sum()))
         self.filter.add(block, bits.tobytes(), tokens.tobytes(), n.astype("<i8").tobytes())
-        self.levels = {kind: self.filter.levels(k) for kind, k in self.keys.items()}
+        self.levels = {kind: self._levels(k) for kind, k in self.keys.items()}
         self.exact = self.filter.exact(self.keys["singles"])
         paired = self.counts["pairs"]
         self.totals = {"tokens": int(n.sum()), "types": len(n), "bigrams": int(paired.sum()), "once": int((paired == 1).sum())}
@@ -367,11 +373,14 @@ class _Block:
 
     def answer_late(self, row: dict) -> bytes:
         s, p = _keys_of(row["singles"]), _keys_of(row["pairs"])
-        return self._packed(self.filter.levels(s), self.filter.levels(p), self.filter.exact(s))
+        return self._packed(self._levels(s), self._levels(p), self.filter.exact(s))
+
+    def _levels(self, keys: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint8), *(self.filter.levels(keys[a : a + STEP_TOKENS]).astype(np.uint8) for a in range(0, len(keys), STEP_TOKENS))])
 
     @staticmethod
     def _packed(singles: np.ndarray, pairs: np.ndarray, exact: np.ndarray) -> bytes:
-        return pa.compress(singles.astype(np.uint8).tobytes() + pairs.astype(np.uint8).tobytes() + _planes(exact.astype("<i8")), codec="zstd", asbytes=True)
+        return pa.compress(singles.tobytes() + pairs.tobytes() + _planes(exact.astype("<i8")), codec="zstd", asbytes=True)
 
 
 def _scored_by_exchange(docs: DataFrame, train: DataFrame | Column, n_blocks: int) -> tuple[DataFrame, Totals]:
@@ -399,9 +408,9 @@ def _scored_by_exchange(docs: DataFrame, train: DataFrame | Column, n_blocks: in
                     yield told(block, out)
                     out = []
             made = made or _Block(block, n_blocks, held)
-            for i, r in enumerate(held):
-                if r["bundle"] is not None:
-                    out.append((r["bundle"], made.answer(i)))
+            for i, bundle in enumerate(made.bundles):
+                if bundle is not None:
+                    out.append((bundle, made.answer(i)))
                 if len(out) == REPLIES:
                     yield told(block, out)
                     out = []
