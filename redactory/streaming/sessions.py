@@ -96,8 +96,8 @@ class LiveSession(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         self._begin(key[0])
-        # no time and no number come last
-        for us, _, kind, name, value in sorted(((r.us, r.seq, r.kind, r.name, r.value) for r in rows), key=lambda e: (e[0] is None, e[0], e[1] is None, e[1])):
+        # no time and no number come last; what ties in both goes by what it is, not by arrival, which differs from run to run
+        for us, _, kind, name, value in sorted(((r.us, r.seq, r.kind, r.name, r.value) for r in rows), key=lambda e: (e[0] is None, e[0], e[1] is None, e[1], *(x or "" for x in e[2:]))):
             now = self.now if us is None else max(us // 1000, self.now)
             if self.due is not None and self.due <= now:  # its timer has not fired yet, but it comes before this event
                 self._pass(self.due)
